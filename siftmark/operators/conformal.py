@@ -43,7 +43,8 @@ def placed_scores(scores: DataFrame, keys: list[str], score: str, buckets: int |
 def lines_of(placed: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
     """The line of each group: the conformal rank among normals of calib, or of val if calib is empty.
 
-    NULL if there are too few normals for the rank.
+    NULL if there are too few normals for the rank. Other splits are passed over inside the aggregate,
+    not filtered out, so that a caller who also needs them shares the shuffles behind ``placed``.
     """
     rank = conformal_rank(F.col("neg_total"), alpha)
     at_rank = (F.col("neg_cum") >= rank) & (F.col("neg_cum") - F.col("neg") < rank)
@@ -51,16 +52,19 @@ def lines_of(placed: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFra
     def line(split: str) -> Column:
         return F.max(F.when(at_rank & (F.col("split") == split), F.col("score")))
 
-    def normals(split: str) -> Column:
-        return F.max(F.when(F.col("split") == split, F.col("neg_total")))
+    def rows_of(split: str, total: str) -> Column:
+        return F.max(F.when(F.col("split") == split, F.col(total)))
+
+    def chosen(total: str) -> Column:
+        return F.coalesce(F.when(has_calib, rows_of("calib", total)).otherwise(rows_of("val", total)), F.lit(0))
 
     has_calib = F.count_if(F.col("split") == "calib") > 0
     return (
-        placed.where(F.col("split").isin("val", "calib"))
-        .groupBy(*keys)
+        placed.groupBy(*keys)
         .agg(
             F.when(has_calib, line("calib")).otherwise(line("val")).alias("line"),
-            F.coalesce(F.when(has_calib, normals("calib")).otherwise(normals("val")), F.lit(0)).alias("n_normals"),
+            chosen("neg_total").alias("n_normals"),
+            chosen("pos_total").alias("n_defects"),
             F.when(has_calib, F.lit("calib")).otherwise(F.lit("val")).alias("threshold_split"),
         )
     )
@@ -77,22 +81,28 @@ def conformal_lines(
 def operating_points(
     scores: DataFrame, keys: list[str], alpha: float = 0.05, score: str = "score", buckets: int | None = None
 ) -> DataFrame:
-    """Per group: line, false-alarm rate and recall above it, precision at 5 % prevalence, AUROC."""
+    """Per group: line, size of its threshold set, false-alarm rate, recall, precision at 5 % prevalence, AUROC."""
     placed = placed_scores(scores, keys, score, buckets)
-    test = lookup(placed.where("split = 'test'"), lines_of(placed, keys, alpha), keys)
-    over = F.col("score") > F.col("line")
+    judged = lookup(placed, lines_of(placed, keys, alpha), keys)
+    test = F.col("split") == "test"
+    over = test & (F.col("score") > F.col("line"))
+
+    def of_test(total: str) -> Column:
+        return F.max(F.when(test, F.col(total)))
 
     def share(count: str) -> Column:
         hit = F.sum(F.when(over, F.col(count)).otherwise(0)).cast("double")
-        return F.when(F.max("line").isNotNull(), F.try_divide(hit, F.max(f"{count}_total")))
+        return F.when(F.max("line").isNotNull(), F.try_divide(hit, of_test(f"{count}_total")))
 
     below = (F.col("neg_cum") - F.col("neg")).cast("double") + F.col("neg") / F.lit(2.0)
-    pairs = F.max("pos_total").cast("double") * F.max("neg_total").cast("double")
-    points = test.groupBy(*keys).agg(
+    pairs = of_test("pos_total").cast("double") * of_test("neg_total").cast("double")
+    points = judged.groupBy(*keys).agg(
         F.max("line").alias("line"),
+        F.max("n_normals").alias("n_normals"),
+        F.max("n_defects").alias("n_defects"),
         share("neg").alias("false_alarms"),
         share("pos").alias("recall"),
-        F.try_divide(F.sum(F.col("pos") * below), pairs).alias("auroc"),
+        F.try_divide(F.sum(F.when(test, F.col("pos") * below)), pairs).alias("auroc"),
     )
     return points.withColumn("precision_5", precision_at_prevalence(F.col("recall"), F.col("false_alarms")))
 

@@ -8,35 +8,47 @@ from pyspark.sql import functions as F
 MAX_LOOKUP_ROWS = 1_000_000
 
 
-def _estimated_bytes(df: DataFrame) -> int | None:
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of all tables a plan reads, as the file listing gives them; None if that is not known."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except AttributeError:
         return None
 
 
-def _broadcast_limit(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    digits = "".join(ch for ch in text if ch.isdigit() or ch == "-")
-    return int(digits or 0)
+def _bytes_setting(df: DataFrame, key: str, default: str) -> int:
+    text = df.sparkSession.conf.get(key, default).strip().lower()
+    units = {"k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "b": 1, "": 1}
+    digits = text.rstrip("bkmg")
+    return int(digits) * units[text[len(digits):]]
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """True if everything a plan reads is known to be no larger than one input split.
+
+    Then no group can be too large for a task and no derived table too large to broadcast, so the
+    plain forms are used; in every other case the forms that split large groups are.
+    """
+    size = input_bytes(df)
+    return size is not None and size <= _bytes_setting(df, "spark.sql.files.maxPartitionBytes", "134217728b")
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join a large table with a derived one, broadcasting the latter only if its size was checked.
 
-    A plan estimate below the broadcast limit needs nothing: Spark broadcasts by itself. Otherwise the
-    derived table is materialised once in the checkpoint folder and counted; up to ``MAX_LOOKUP_ROWS``
-    rows it is broadcast, beyond that it is an ordinary shuffled join whose hot keys AQE splits. Where
-    no checkpoint folder is set, the join is left to AQE.
+    The derived table is materialised once in the checkpoint folder and counted; up to
+    ``MAX_LOOKUP_ROWS`` rows it is broadcast, beyond that it is an ordinary shuffled join whose hot keys
+    AQE splits. Small inputs, and sessions without a checkpoint folder, leave the choice to AQE.
     """
-    estimate = _estimated_bytes(table)
-    if estimate is None or estimate <= _broadcast_limit(table):
+    if fits_one_task(table):
         return rows.join(table, on, how)
     spark = table.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        return rows.join(table, on, how)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        if not folder:
+            return rows.join(table, on, how)
+        spark.sparkContext.setCheckpointDir(folder)
     table = table.checkpoint()
     small = table.limit(MAX_LOOKUP_ROWS + 1).count() <= MAX_LOOKUP_ROWS
     return rows.join(F.broadcast(table) if small else table, on, how)

@@ -14,14 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftmark.operators.joins import lookup
+from siftmark.operators.joins import fits_one_task, lookup
 
 MAX_BUCKETS = 4096
 SKETCH_ACCURACY = 20_000
 
 
 def default_buckets(df: DataFrame) -> int:
-    """One bucket per shuffle partition: no (group, bucket) then exceeds an average partition."""
+    """One bucket per shuffle partition: no (group, bucket) then exceeds an average partition.
+
+    A single bucket, which is the plain window, if all input fits one task anyway.
+    """
+    if fits_one_task(df):
+        return 1
     return max(1, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
 
 
@@ -32,8 +37,6 @@ def range_bucketed(rows: DataFrame, source: DataFrame, order: str, buckets: int)
     ``sqrt(buckets)`` so that a look-up compares with two short arrays. The quantiles are taken over all
     groups together: a bucket then holds about ``1 / buckets`` of all rows, whichever group they are in.
     """
-    if buckets <= 1:
-        return rows.withColumn("_bucket", F.lit(0))
     width = max(1, math.isqrt(buckets))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = source.agg(F.array_sort(F.array_distinct(F.percentile_approx(order, shares, SKETCH_ACCURACY))).alias("c"))
@@ -47,7 +50,8 @@ def range_bucketed(rows: DataFrame, source: DataFrame, order: str, buckets: int)
         .withColumn("_cut_row", F.coalesce(F.size(F.filter(table, lambda r: r[0] <= value)), F.lit(0)))
         .withColumn(
             "_bucket",
-            F.when(row > 0, (row - 1) * F.lit(width) + F.size(F.filter(F.get(table, row - 1), lambda c: c <= value))).otherwise(F.lit(0)),
+            # Never NULL: a nullable join key would put a filter on this expression into the scan.
+            F.coalesce((row - 1) * F.lit(width) + F.size(F.filter(F.get(table, row - 1), lambda c: c <= value)), F.lit(0)),
         )
         .drop("_cut_rows", "_cut_row")
     )
@@ -73,8 +77,16 @@ def running_totals(
     with the same ``order`` column to take the cut points from, if there is one.
     """
     buckets = default_buckets(rows) if buckets is None else buckets
-    parts = range_bucketed(rows, rows if source is None else source, order, buckets)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    if buckets <= 1:
+        group = Window.partitionBy(*keys)
+        upto = group.orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select(
+            "*",
+            *[F.sum(m).over(upto).alias(f"{m}_cum") for m in measures],
+            *[F.sum(m).over(group).alias(f"{m}_total") for m in measures],
+        )
+    parts = range_bucketed(rows, rows if source is None else source, order, buckets)
 
     inside = Window.partitionBy(*keys, "_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.select("*", *[F.sum(m).over(inside).alias(f"_{m}_in") for m in measures])
@@ -156,6 +168,8 @@ def hash_cuts(
     are shuffled, so a hot group is neither moved nor sorted.
     """
     digits = hash_digits(rows)
+    if fits_one_task(rows):
+        return _plain_cuts(rows, keys, order_key, takes, extra)
     prefixed = rows.select(*keys, order_key).withColumn("_prefix", F.substring(F.col(order_key), 1, digits))
     counts = prefixed.groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("_c"))
     in_order = Window.partitionBy(*keys).orderBy("_prefix")
@@ -183,6 +197,24 @@ def hash_cuts(
     return groups.join(cuts, keys, "left")
 
 
+def _plain_cuts(
+    rows: DataFrame, keys: list[str], order_key: str, takes: dict[str, Column], extra: DataFrame | None
+) -> DataFrame:
+    """``hash_cuts`` as one window per group, for inputs that fit one task."""
+    group = Window.partitionBy(*keys)
+    ranked = rows.select(
+        *keys, order_key, F.count(F.lit(1)).over(group).alias("n"), F.row_number().over(group.orderBy(order_key)).alias("_rank")
+    )
+    if extra is not None:
+        ranked = ranked.join(extra, keys)
+    ranked = ranked.select("*", *[F.least(F.greatest(c.cast("bigint"), F.lit(0)), F.col("n")).alias(t) for t, c in takes.items()])
+    return ranked.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        *[F.max(t).alias(t) for t in takes],
+        *[F.max(F.when(F.col("_rank") == F.col(t), F.col(order_key))).alias(f"{t}_cut") for t in takes],
+    )
+
+
 def taken(order_key: str, take: str) -> Column:
     """True for rows inside a take of ``hash_cuts``."""
     return F.coalesce(F.col(order_key) <= F.col(f"{take}_cut"), F.lit(False))
@@ -190,6 +222,10 @@ def taken(order_key: str, take: str) -> Column:
 
 def hash_positions(rows: DataFrame, keys: list[str], order_key: str, name: str = "pos") -> DataFrame:
     """Add the 0-based position of every row in hash order inside its group."""
+    if fits_one_task(rows):
+        group = Window.partitionBy(*keys)
+        position = (F.row_number().over(group.orderBy(order_key)) - 1).cast("bigint")
+        return rows.select("*", position.alias(name), F.count(F.lit(1)).over(group).alias(f"{name}_size"))
     digits = hash_digits(rows)
     prefixed = rows.withColumn("_prefix", F.substring(F.col(order_key), 1, digits))
     in_order = Window.partitionBy(*keys).orderBy("_prefix")

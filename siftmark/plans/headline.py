@@ -24,21 +24,21 @@ kept AS (
   SELECT dataset, category, seed, split, label, two_view AS score, path FROM scores
   WHERE NOT (dataset = 'F' AND split = 'test' AND label = 0 AND '/' || path NOT LIKE '%/test/good/%')),
 threshold_rows AS (
-  SELECT k.dataset, k.category, k.seed, k.score, k.split FROM kept k
+  SELECT k.dataset, k.category, k.seed, k.score, k.split, k.label FROM kept k
   JOIN (SELECT dataset, category, seed,
                CASE WHEN sum(CASE WHEN split = 'calib' THEN 1 ELSE 0 END) > 0 THEN 'calib' ELSE 'val' END AS chosen
         FROM kept GROUP BY ALL) c
-    ON k.dataset = c.dataset AND k.category = c.category AND k.seed = c.seed AND k.split = c.chosen
-  WHERE k.label = 0),
+    ON k.dataset = c.dataset AND k.category = c.category AND k.seed = c.seed AND k.split = c.chosen),
 ranked AS (
   SELECT dataset, category, seed, split, score,
-         row_number() OVER (PARTITION BY dataset, category, seed ORDER BY score) AS rk,
-         count(*) OVER (PARTITION BY dataset, category, seed) AS n
+         CASE WHEN label = 0 THEN row_number() OVER (PARTITION BY dataset, category, seed, label ORDER BY score) END AS rk,
+         sum(1 - label) OVER (PARTITION BY dataset, category, seed) AS n,
+         sum(label) OVER (PARTITION BY dataset, category, seed) AS n_def
   FROM threshold_rows),
 lines AS (
   SELECT dataset, category, seed,
          max(CASE WHEN rk = CAST(ceil((n + 1)::DOUBLE * 0.95::DOUBLE) AS BIGINT) THEN score END) AS line,
-         CAST(max(n) AS BIGINT) AS n_normals, max(split) AS threshold_split
+         CAST(max(n) AS BIGINT) AS n_normals, CAST(max(n_def) AS BIGINT) AS n_defects, max(split) AS threshold_split
   FROM ranked GROUP BY ALL),
 test_ranked AS (
   SELECT dataset, category, seed, label, score,
@@ -46,7 +46,7 @@ test_ranked AS (
          + (count(*) OVER (PARTITION BY dataset, category, seed, score) - 1) / 2.0::DOUBLE AS rk
   FROM kept WHERE split = 'test'),
 points AS (
-  SELECT t.dataset, t.category, t.seed, max(line) AS line,
+  SELECT t.dataset, t.category, t.seed, max(line) AS line, max(n_normals) AS n_normals, max(n_defects) AS n_defects,
          CASE WHEN max(line) IS NOT NULL THEN avg(CASE WHEN label = 0 THEN (score > line)::INTEGER::DOUBLE END) END AS false_alarms,
          CASE WHEN max(line) IS NOT NULL THEN avg(CASE WHEN label = 1 THEN (score > line)::INTEGER::DOUBLE END) END AS recall,
          CASE WHEN sum(label) > 0 AND sum(1 - label) > 0 THEN
@@ -79,7 +79,7 @@ def conformal_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "conformal_operating_points",
     f"""WITH {SCORES}, {LINES_SQL}
-    SELECT dataset, category, seed, round(line, 6) + 0.0 AS line, round(false_alarms, 6) + 0.0 AS false_alarms,
+    SELECT dataset, category, seed, round(line, 6) + 0.0 AS line, n_normals, n_defects, round(false_alarms, 6) + 0.0 AS false_alarms,
            round(recall, 6) + 0.0 AS recall, round(auroc, 6) + 0.0 AS auroc,
            round(CASE WHEN false_alarms + recall > 0 THEN 0.05::DOUBLE * recall / (0.05::DOUBLE * recall + 0.95::DOUBLE * false_alarms) END, 6) + 0.0 AS precision_5
     FROM points""",
