@@ -22,17 +22,16 @@ def class_counts(label: str = "label") -> dict[str, Column]:
     return {"pos": positive, "neg": F.lit(1).cast("bigint") - positive}
 
 
-def curve(
-    scores: DataFrame, keys: list[str], score: str = "score", label: str = "label", buckets: int | None = None
-) -> DataFrame:
-    """Per distinct score: pos, neg, and tp / fp at a threshold equal to it, with group totals p and n."""
-    counted = tally(scores, keys, score, class_counts(label))
-    placed = running_totals(
-        counted, keys, score, ["pos", "neg"], descending=True, buckets=buckets, source=scores.select(score)
-    )
+def curve_of(counted: DataFrame, keys: list[str], buckets: int | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Per distinct score: pos, neg, and tp / fp at a threshold equal to it, with group totals p and n.
+
+    ``counted`` has one row per (keys, score) with the numbers of positives and negatives, which may be
+    weights of a resample.
+    """
+    placed = running_totals(counted, keys, "score", ["pos", "neg"], descending=True, buckets=buckets, source=source)
     return placed.select(
         *keys,
-        F.col(score).alias("score"),
+        "score",
         "pos",
         "neg",
         F.col("pos_cum").alias("tp"),
@@ -42,6 +41,14 @@ def curve(
     )
 
 
+def curve(
+    scores: DataFrame, keys: list[str], score: str = "score", label: str = "label", buckets: int | None = None
+) -> DataFrame:
+    """``curve_of`` for plain rows."""
+    rows = scores.select(*keys, F.col(score).alias("score"), F.col(label).alias("label"))
+    return curve_of(tally(rows, keys, "score", class_counts()), keys, buckets, rows.select("score"))
+
+
 def _two_classes(value: Column) -> Column:
     return F.when((F.max("p") > 0) & (F.max("n") > 0), value)
 
@@ -59,6 +66,22 @@ def average_precision_of_curve() -> Column:
     return _two_classes(gain / F.max("p").cast("double"))
 
 
+def average_precision_positives_first() -> Column:
+    """Average precision when, among equal scores, the positives are listed before the negatives."""
+    above = F.col("tp") - F.col("pos")
+    false_above = F.col("fp") - F.col("neg")
+    steps = F.transform(
+        F.sequence(F.lit(1).cast("bigint"), F.greatest(F.col("pos"), F.lit(1)).cast("bigint")),
+        lambda j: (above + j).cast("double") / (above + false_above + j),
+    )
+    gain = F.when(F.col("pos") > 0, F.aggregate(steps, F.lit(0.0), lambda acc, v: acc + v))
+    return F.when(F.max("p") > 0, F.sum(gain) / F.max("p").cast("double"))
+
+
+# Metrics a resample may ask for by name, as aggregates over ``curve_of``.
+RESAMPLE_METRICS = {"auroc": auroc_of_curve, "aupr": average_precision_positives_first}
+
+
 def youden_of_curve() -> Column:
     """Highest threshold with the largest tpr - fpr; above every score if none beats zero."""
     gap = F.col("tp").cast("double") / F.col("p") - F.col("fp").cast("double") / F.col("n")
