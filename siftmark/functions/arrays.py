@@ -12,6 +12,14 @@ GEM_FLOOR, GEM_P_MIN, GEM_P_MAX = 1e-6, 1.0, 10.0
 LSE_P_MIN = 1e-4
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row.
+
+    An expression used inside a lambda is computed again for every element; bound this way it is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
 
@@ -35,17 +43,24 @@ def generalised_mean(values: Column, p: float = 3.0) -> Column:
 def log_sum_exp(values: Column, p: float = 1.0) -> Column:
     """Smooth maximum, shifted by the largest value so that ``exp`` cannot overflow."""
     p = max(float(p), LSE_P_MIN)
-    top = F.array_max(values).cast("double")
-    shifted = F.transform(values, lambda v: F.exp(F.lit(p) * (v.cast("double") - top)))
-    return top + (F.log(total(shifted)) - F.log(F.size(values).cast("double"))) / F.lit(p)
+
+    def shifted_by(top: Column) -> Column:
+        powers = F.transform(values, lambda v: F.exp(F.lit(p) * (v.cast("double") - top)))
+        return top + (F.log(total(powers)) - F.log(F.size(values).cast("double"))) / F.lit(p)
+
+    return let(F.array_max(values).cast("double"), shifted_by)
 
 
 def attention(values: Column, scores: Column) -> Column:
     """Sum of values weighted by the softmax of a score array of the same length."""
-    top = F.array_max(scores).cast("double")
-    weights = F.transform(scores, lambda s: F.exp(s.cast("double") - top))
-    weighted = F.zip_with(values, weights, lambda v, w: v.cast("double") * w)
-    return total(weighted) / total(weights)
+
+    def averaged(weights: Column) -> Column:
+        return total(F.zip_with(values, weights, lambda v, w: v.cast("double") * w)) / total(weights)
+
+    def softmax(top: Column) -> Column:
+        return F.transform(scores, lambda s: F.exp(s.cast("double") - top))
+
+    return let(let(F.array_max(scores).cast("double"), softmax), averaged)
 
 
 POOLS: dict[str, Callable[..., Column]] = {
@@ -78,8 +93,7 @@ def norm(values: Column) -> Column:
 
 def unit(values: Column, eps: float = 1e-12) -> Column:
     """The array scaled to length one."""
-    length = F.greatest(norm(values), F.lit(eps))
-    return F.transform(values, lambda v: v.cast("double") / length)
+    return let(F.greatest(norm(values), F.lit(eps)), lambda length: F.transform(values, lambda v: v.cast("double") / length))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

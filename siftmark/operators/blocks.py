@@ -93,11 +93,9 @@ def best_hosts(
         return found[[*keys, "donor_idx", "host", "cost"]]
 
     grain = [*keys, "_block", "_chunk"]
-    near = (
-        donor_side.select(*grain, "donor_idx", "ring", "pixels")
-        .groupBy(*grain)
-        .cogroup(host_side.select(*grain, "host", "host_pixels").groupBy(*grain))
-        .applyInPandas(match, schema)
-    )
+    # Aliased, since donors and hosts may be cut from the same table.
+    left = donor_side.select(*[F.col(c).alias(c) for c in (*grain, "donor_idx", "ring", "pixels")])
+    right = host_side.select(*[F.col(c).alias(c) for c in (*grain, "host", "host_pixels")])
+    near = left.groupBy(*grain).cogroup(right.groupBy(*grain)).applyInPandas(match, schema)
     order = Window.partitionBy(*keys, "donor_idx").orderBy("cost", "host")
     return near.withColumn("host_rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("host_rank") < per_donor)

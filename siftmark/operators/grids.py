@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftmark.functions.arrays import distance, mean
+from siftmark.functions.arrays import distance, let, mean
 from siftmark.operators.joins import lookup
 from siftmark.operators.vectors import means
 
@@ -29,21 +29,27 @@ def gray(r: Column, g: Column, b: Column) -> Column:
 
 def variance(values: Column) -> Column:
     """Population variance of an array."""
-    centre = mean(values)
-    return mean(F.transform(values, lambda v: F.pow(v.cast("double") - centre, F.lit(2.0))))
+
+    def around(centre: Column, of: Column) -> Column:
+        return mean(F.transform(of, lambda v: (v.cast("double") - centre) * (v.cast("double") - centre)))
+
+    return let(values, lambda of: let(mean(of), lambda centre: around(centre, of)))
 
 
 def wrapping_laplacian(grid: Column, width: int, height: int) -> Column:
     """Four-neighbour Laplacian whose edges wrap around."""
 
-    def at(row: Column, col: Column) -> Column:
-        return F.get(grid, (F.pmod(row, F.lit(height)) * width + F.pmod(col, F.lit(width))).cast("int")).cast("double")
+    def of(g: Column) -> Column:
+        def at(row: Column, col: Column) -> Column:
+            return F.get(g, (F.pmod(row, F.lit(height)) * width + F.pmod(col, F.lit(width))).cast("int")).cast("double")
+
+        def cell(value: Column, i: Column) -> Column:
+            row, col = F.floor(i / width), i % width
+            return F.lit(-4.0) * value.cast("double") + at(row - 1, col) + at(row + 1, col) + at(row, col - 1) + at(row, col + 1)
 
-    def cell(value: Column, i: Column) -> Column:
-        row, col = F.floor(i / width), i % width
-        return F.lit(-4.0) * value.cast("double") + at(row - 1, col) + at(row + 1, col) + at(row, col - 1) + at(row, col + 1)
+        return F.transform(g, cell)
 
-    return F.transform(grid, cell)
+    return let(grid, of)
 
 
 def hf_energy(grid: Column, width: int, height: int) -> Column:
@@ -56,26 +62,33 @@ def local_contrast(grid: Column, width: int, height: int, k: int = 8) -> Column:
     if across == 0 or down == 0:
         return F.sqrt(variance(grid))
 
-    def tile(t: Column) -> Column:
-        top, left = F.floor(t / across) * k, (t % across) * k
-        cells = F.transform(
-            F.sequence(F.lit(0), F.lit(k * k - 1)),
-            lambda j: F.get(grid, ((top + F.floor(j / k)) * width + left + j % k).cast("int")).cast("double"),
-        )
-        return F.sqrt(variance(cells))
+    def of(g: Column) -> Column:
+        def tile(t: Column) -> Column:
+            top, left = F.floor(t / across) * k, (t % across) * k
+            cells = F.transform(
+                F.sequence(F.lit(0), F.lit(k * k - 1)),
+                lambda j: F.get(g, ((top + F.floor(j / k)) * width + left + j % k).cast("int")).cast("double"),
+            )
+            return F.sqrt(variance(cells))
+
+        return mean(F.transform(F.sequence(F.lit(0), F.lit(across * down - 1)), tile))
 
-    return mean(F.transform(F.sequence(F.lit(0), F.lit(across * down - 1)), tile))
+    return let(grid, of)
 
 
 def density_histogram(grid: Column, bins: int = DENSITY_BINS, low: float = 0.0, high: float = 255.0) -> Column:
     """Share of values per bin over the bin width; the last bin is closed, values outside are left out."""
     width = (high - low) / bins
     inside = F.filter(grid, lambda v: (v >= low) & (v <= high))
-    places = F.transform(inside, lambda v: F.least(F.floor((v.cast("double") - low) / width), F.lit(bins - 1)))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(bins - 1)),
-        lambda b: F.coalesce(F.try_divide(F.size(F.filter(places, lambda p: p == b)).cast("double"), F.size(places) * F.lit(width)), F.lit(0.0)),
-    )
+    placed = F.transform(inside, lambda v: F.least(F.floor((v.cast("double") - low) / width), F.lit(bins - 1)))
+
+    def shares(places: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(bins - 1)),
+            lambda b: F.coalesce(F.try_divide(F.size(F.filter(places, lambda p: p == b)).cast("double"), F.size(places) * F.lit(width)), F.lit(0.0)),
+        )
+
+    return let(placed, shares)
 
 
 def descriptor(grid: Column, width: int, height: int, k: int = 8) -> Column:
@@ -91,24 +104,28 @@ def descriptor(grid: Column, width: int, height: int, k: int = 8) -> Column:
 
 def dilate(mask: Column, width: int, height: int, reach: int) -> Column:
     """Square dilation of a boolean grid: first along rows, then along columns."""
+    steps = F.array(*[F.lit(d * width) for d in range(-reach, reach + 1)])
 
-    def along_row(value: Column, i: Column) -> Column:
-        start = F.greatest(i - reach, i - i % width)
-        end = F.least(i + reach, i - i % width + (width - 1))
-        return F.exists(F.slice(mask, (start + 1).cast("int"), (end - start + 1).cast("int")), lambda v: v)
+    def wide(m: Column) -> Column:
+        def along_row(value: Column, i: Column) -> Column:
+            start = F.greatest(i - reach, i - i % width)
+            end = F.least(i + reach, i - i % width + (width - 1))
+            return F.exists(F.slice(m, (start + 1).cast("int"), (end - start + 1).cast("int")), lambda v: v)
 
-    rows = F.transform(mask, along_row)
-    steps = F.array(*[F.lit(d * width) for d in range(-reach, reach + 1)])
+        return F.transform(m, along_row)
+
+    def tall(rows: Column) -> Column:
+        def along_column(value: Column, i: Column) -> Column:
+            return F.exists(steps, lambda d: F.coalesce(F.when((i + d >= 0) & (i + d < width * height), F.get(rows, i + d)), F.lit(False)))
 
-    def along_column(value: Column, i: Column) -> Column:
-        return F.exists(steps, lambda d: F.coalesce(F.when((i + d >= 0) & (i + d < width * height), F.get(rows, i + d)), F.lit(False)))
+        return F.transform(rows, along_column)
 
-    return F.transform(rows, along_column)
+    return let(let(mask, wide), tall)
 
 
 def ring(mask: Column, width: int, height: int, reach: int) -> Column:
     """Cells within ``reach`` of the mask that are not in it."""
-    return F.zip_with(dilate(mask, width, height, reach), mask, lambda outer, inner: outer & ~inner)
+    return let(mask, lambda m: F.zip_with(dilate(m, width, height, reach), m, lambda outer, inner: outer & ~inner))
 
 
 def masked_contrast(grid: Column, mask: Column) -> Column:
