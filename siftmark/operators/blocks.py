@@ -57,12 +57,12 @@ def pairwise_spread(rows: DataFrame, keys: list[str], item: str, features: str,
 
 
 def best_hosts(
-    donors: DataFrame, hosts: DataFrame, keys: list[str], per_donor: int, block_rows: int = 4096, donor_block: int = 64
+    donors: DataFrame, hosts: DataFrame, keys: list[str], block_rows: int = 4096, donor_block: int = 64
 ) -> DataFrame:
-    """For each donor the ``per_donor`` hosts with the lowest context cost, ranked from 0.
+    """For each donor the hosts with the lowest context cost, as many as its ``need``, ranked from 0.
 
     The cost is the mean absolute difference over the donor's ``ring`` (0 for an empty ring); ties go to
-    the smaller host name. ``donors``: keys, donor_idx, ring array<boolean>, pixels; ``hosts``: keys, host,
+    the smaller host name. ``donors``: keys, donor_idx, need, ring array<boolean>, pixels; ``hosts``: keys, host,
     pixels. Hosts move once, in blocks; donors are copied to every block; a block keeps only its best.
     """
     plan = _numbered(hosts.withColumnRenamed("pixels", "host_pixels"), keys, "host", block_rows)
@@ -72,11 +72,11 @@ def best_hosts(
     block_counts = plan.select(*keys, "_blocks").distinct()
     donor_side = lookup(chunked, block_counts, keys, "inner").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     types = dict(hosts.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", donor_idx int, host {types['host']}, cost double"
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", donor_idx int, need int, host {types['host']}, cost double"
 
     def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame(columns=[*keys, "donor_idx", "host", "cost"])
+            return pd.DataFrame(columns=[*keys, "donor_idx", "need", "host", "cost"])
         right = right.sort_values("host", kind="stable")
         pixels = np.stack(right["host_pixels"].to_numpy()).astype(float)
         names = right["host"].to_numpy()
@@ -85,17 +85,17 @@ def best_hosts(
             ring = np.asarray(donor.ring, dtype=bool)
             own = np.asarray(donor.pixels, dtype=float)
             cost = np.abs(pixels[:, ring] - own[ring]).mean(axis=1) if ring.any() else np.zeros(len(names))
-            best = np.argsort(cost, kind="stable")[:per_donor]
-            out.append(pd.DataFrame({"donor_idx": int(donor.donor_idx), "host": names[best], "cost": cost[best]}))
+            best = np.argsort(cost, kind="stable")[: int(donor.need)]
+            out.append(pd.DataFrame({"donor_idx": int(donor.donor_idx), "need": int(donor.need), "host": names[best], "cost": cost[best]}))
         found = pd.concat(out, ignore_index=True)
         for i, k in enumerate(keys):
             found[k] = key[i]
-        return found[[*keys, "donor_idx", "host", "cost"]]
+        return found[[*keys, "donor_idx", "need", "host", "cost"]]
 
     grain = [*keys, "_block", "_chunk"]
     # Aliased, since donors and hosts may be cut from the same table.
-    left = donor_side.select(*[F.col(c).alias(c) for c in (*grain, "donor_idx", "ring", "pixels")])
+    left = donor_side.select(*[F.col(c).alias(c) for c in (*grain, "donor_idx", "need", "ring", "pixels")])
     right = host_side.select(*[F.col(c).alias(c) for c in (*grain, "host", "host_pixels")])
     near = left.groupBy(*grain).cogroup(right.groupBy(*grain)).applyInPandas(match, schema)
     order = Window.partitionBy(*keys, "donor_idx").orderBy("cost", "host")
-    return near.withColumn("host_rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("host_rank") < per_donor)
+    return near.withColumn("host_rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("host_rank") < F.col("need")).drop("need")

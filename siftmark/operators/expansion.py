@@ -84,10 +84,11 @@ def scarce_groups(records: DataFrame, keys: list[str], target: int, min_defects:
 
 
 def donors_in_order(records: DataFrame, keys: list[str], groups: DataFrame) -> DataFrame:
-    """Defects of the groups to be topped up, numbered from 0; a group has fewer donors than its target."""
+    """Defects of the groups to be topped up, numbered from 0, with the hosts each one ``need``s; a group has fewer donors than its target."""
     defects = lookup(records.where("label = 1"), groups.where("applied").select(*keys, "n_donors", "n_syn"), keys, "inner")
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("path")) - 1
-    return defects.select(*keys, "path", "n_donors", "n_syn", number.alias("donor_idx"))
+    need = F.ceil(F.col("n_syn") / F.col("n_donors")).cast("int")
+    return defects.select(*keys, "path", "n_donors", "n_syn", number.alias("donor_idx"), need.alias("need"))
 
 
 def duplicate_top_up(records: DataFrame, keys: list[str], groups: DataFrame) -> DataFrame:

@@ -41,6 +41,10 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("views"),
         (F.lit(1.0) + F.col("l_tax") * 10).alias("pos_weight"),
         F.dayofmonth("l_shipdate").alias("day"),
+        F.col("l_linenumber").alias("line_no"),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_discount").alias("discount"),
     )
 
 
@@ -95,3 +99,23 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` as 8 x 8 grids of grey levels, with the original label."""
     level = F.transform("embedding", lambda v: F.floor((v.cast("double") + F.lit(1.0)) * F.lit(127.5)).cast("int"))
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", level.alias("grid"))
+
+
+def latency_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as a timing table: model, image_size, precision, status, ms."""
+    model = (
+        F.when(F.col("l_linenumber") == 1, "ours:net")
+        .when(F.col("l_linenumber") == 2, "ours:net+compile")
+        .when(F.col("l_linenumber") == 3, "ours:net+full")
+        .when(F.col("l_linenumber") == 4, "ours:net+full[x2]")
+        .when(F.col("l_linenumber") == 5, "rival+full")
+        .otherwise("rival")
+    )
+    return table(spark, sf_dir, "lineitem").select(
+        model.alias("model"),
+        (F.round(F.col("l_tax") * 100).cast("int") * 32 + 96).alias("image_size"),
+        F.when(F.col("l_linestatus") == "O", "fp32").otherwise("fp16").alias("precision"),
+        F.when(F.col("l_returnflag") == "R", "FAILED").otherwise("ok").alias("status"),
+        (F.col("l_extendedprice") / 1000.0).alias("ms"),
+        (F.year("l_shipdate") < 1998).alias("legacy"),
+    )

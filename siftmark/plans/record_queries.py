@@ -33,7 +33,7 @@ def inventory_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     "path_functions",
     r"""WITH parts AS (SELECT page_id, url, split(url, '/') AS p FROM pages)
     SELECT page_id, array_to_string(p[greatest(len(p) - 2, 1):len(p)], '/') AS last_parts,
-           CASE WHEN url LIKE 'https://%' THEN substr(url, 9) ELSE url END AS relative,
+           CASE WHEN url LIKE 'https:/%' THEN substr(url, 8) ELSE url END AS relative,
            TRY_CAST(nullif(regexp_extract(url || '.png', '(\d+)(?:_mask)?\.[^./]+$', 1), '') AS DOUBLE) AS file_index
     FROM parts""",
 )
@@ -42,7 +42,7 @@ def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "pages").select(
         "page_id",
         P.last_parts(url, 3).alias("last_parts"),
-        P.relative_to(url, "https:/" + "/").alias("relative"),
+        P.relative_to(url, "https:").alias("relative"),
         P.file_index(F.concat(url, F.lit(".png"))).cast("double").alias("file_index"),
     )
 
@@ -473,8 +473,11 @@ def masked_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.grids(spark, sf_dir).withColumn("mask", F.transform("grid", lambda v: v > 150))
 
 
-def matched_hosts(spark: SparkSession, sf_dir: str, per_donor: int) -> tuple[DataFrame, DataFrame]:
-    """Records (label 3 as defects, the rest as normals) and the best hosts of every defect."""
+def matched_hosts(spark: SparkSession, sf_dir: str, need: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records (label 3 as defects, the rest as normals) and the best hosts of every defect.
+
+    ``need`` hosts of each donor are ranked, or as many as its slots use.
+    """
     rows = masked_grids(spark, sf_dir).select(
         F.lit("grid").alias("category"),
         F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("path"),
@@ -483,10 +486,12 @@ def matched_hosts(spark: SparkSession, sf_dir: str, per_donor: int) -> tuple[Dat
         grids.ring(F.col("mask"), 8, 8, 1).alias("ring"),
     )
     groups = expansion.scarce_groups(rows, ["category"], MATCH_TARGET, None)
-    donors = expansion.donors_in_order(rows.select("category", "path", "label"), ["category"], groups).select("category", "path", "donor_idx")
+    donors = expansion.donors_in_order(rows.select("category", "path", "label"), ["category"], groups).select("category", "path", "donor_idx", "need")
+    if need is not None:
+        donors = donors.withColumn("need", F.lit(need))
     donors = donors.join(rows.select("path", "ring", F.col("grid").alias("pixels")), "path")
     hosts = rows.where("label = 0").select("category", F.col("path").alias("host"), F.col("grid").alias("pixels"))
-    return rows.select("category", "path", "label"), blocks.best_hosts(donors, hosts, ["category"], per_donor)
+    return rows.select("category", "path", "label"), blocks.best_hosts(donors, hosts, ["category"])
 
 
 MATCH_TARGET = 600
@@ -518,7 +523,7 @@ def host_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM slots JOIN mranked ON donor_idx = slot % d AND host_rank = (slot // d) % h""",
 )
 def best_match_top_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, ranked = matched_hosts(spark, sf_dir, MATCH_TARGET)
+    rows, ranked = matched_hosts(spark, sf_dir)
     groups = expansion.scarce_groups(rows, ["category"], MATCH_TARGET, None)
     return expansion.matched_top_up(groups, ["category"], ranked).drop("category")
 

@@ -18,7 +18,8 @@ raw_scores AS (
            + CASE WHEN l_returnflag = 'R' THEN 40 ELSE 0 END)::DOUBLE / 47.0::DOUBLE - 2.0::DOUBLE AS v0,
          l_linenumber, l_discount, l_tax,
          1.0::DOUBLE + l_tax * 10 AS pos_weight,
-         CAST(day(l_shipdate) AS INTEGER) AS day
+         CAST(day(l_shipdate) AS INTEGER) AS day, l_linenumber AS line_no, l_quantity AS quantity, l_extendedprice AS price,
+         l_discount AS discount
   FROM lineitem),
 scores AS (
   SELECT *, v0 + (l_linenumber - 4)::DOUBLE / 8.0::DOUBLE AS v1, v0 - l_discount AS v2, v0 + l_tax AS v3,
@@ -78,3 +79,13 @@ curve AS (
 
 AUROC_OF_CURVE = "CASE WHEN max(p) > 0 AND max(n) > 0 THEN sum(pos * ((n - fp) + neg / 2.0::DOUBLE)) / (max(p) * max(n)) END"
 AP_OF_CURVE = "CASE WHEN max(p) > 0 AND max(n) > 0 THEN sum(pos * (tp / (tp + fp))) / max(p) END"
+
+
+LATENCY = """
+latency AS (
+  SELECT CASE l_linenumber WHEN 1 THEN 'ours:net' WHEN 2 THEN 'ours:net+compile' WHEN 3 THEN 'ours:net+full' WHEN 4 THEN 'ours:net+full[x2]'
+              WHEN 5 THEN 'rival+full' ELSE 'rival' END AS model,
+         CAST(round(l_tax * 100) AS INTEGER) * 32 + 96 AS image_size, CASE l_linestatus WHEN 'O' THEN 'fp32' ELSE 'fp16' END AS precision,
+         CASE l_returnflag WHEN 'R' THEN 'FAILED' ELSE 'ok' END AS status, l_extendedprice / 1000.0::DOUBLE AS ms, year(l_shipdate) < 1998 AS legacy
+  FROM lineitem)
+"""
