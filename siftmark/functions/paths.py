@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 # The folder layout and the label words of the inventories.
 GOOD_FOLDER = "good"
 NORMAL_WORD = "normal"
-LAYOUT = r"([^/]+)/(train|test|ground_truth)/([^/]+)/([^/]+)$"
+LAYOUT_FOLDERS = ["train", "test", "ground_truth"]
 MASK_RULE = r"/test/([^/]+)/([^/]+)\.[^./]+$"
 MASK_TARGET = "/ground_truth/$1/$2_mask.png"
 STEM_NUMBER = r"(\d+)(?:_mask)?\.[^./]+$"
 
 
+def _layout_part(path: Column, place: int) -> Column:
+    """One of the last four components (counted from the end), or an empty text outside the layout."""
+    parts = F.split(path, "/")
+    inside = F.try_element_at(parts, F.lit(-3)).isin(LAYOUT_FOLDERS) & (F.size(parts) >= 4)
+    return F.when(inside, F.try_element_at(parts, F.lit(place))).otherwise(F.lit(""))
+
+
 def path_category(path: Column) -> Column:
-    return F.regexp_extract(path, LAYOUT, 1)
+    return _layout_part(path, -4)
 
 
 def path_split(path: Column) -> Column:
-    return F.regexp_extract(path, LAYOUT, 2)
+    return _layout_part(path, -3)
 
 
 def path_type(path: Column) -> Column:
-    return F.regexp_extract(path, LAYOUT, 3)
+    return _layout_part(path, -2)
 
 
 def folder_label(kind: Column) -> Column:

@@ -57,10 +57,12 @@ def pairwise_spread(rows: DataFrame, keys: list[str], item: str, features: str,
 
 
 def best_hosts(
-    donors: DataFrame, hosts: DataFrame, keys: list[str], block_rows: int = 4096, donor_block: int = 64
+    donors: DataFrame, hosts: DataFrame, keys: list[str], most: int, block_rows: int = 4096, donor_block: int = 64
 ) -> DataFrame:
     """For each donor the hosts with the lowest context cost, as many as its ``need``, ranked from 0.
 
+    ``most`` is the largest ``need``; as a constant it lets Spark cut each donor's list before the shuffle.
+
     The cost is the mean absolute difference over the donor's ``ring`` (0 for an empty ring); ties go to
     the smaller host name. ``donors``: keys, donor_idx, need, ring array<boolean>, pixels; ``hosts``: keys, host,
     pixels. Hosts move once, in blocks; donors are copied to every block; a block keeps only its best.
@@ -98,4 +100,5 @@ def best_hosts(
     right = host_side.select(*[F.col(c).alias(c) for c in (*grain, "host", "host_pixels")])
     near = left.groupBy(*grain).cogroup(right.groupBy(*grain)).applyInPandas(match, schema)
     order = Window.partitionBy(*keys, "donor_idx").orderBy("cost", "host")
-    return near.withColumn("host_rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("host_rank") < F.col("need")).drop("need")
+    ranked = near.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= most) & (F.col("rank") <= F.col("need")))
+    return ranked.withColumn("host_rank", F.col("rank") - 1).drop("need", "rank")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LOOKUP_ROWS = 1_000_000
-
+from siftmark.session import written
 
 def input_bytes(df: DataFrame) -> int | None:
     """Bytes of all tables a plan reads, as the file listing gives them; None if that is not known."""
@@ -35,23 +34,13 @@ def fits_one_task(df: DataFrame) -> bool:
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join a large table with a derived one, broadcasting the latter only if its size was checked.
+    """Join a large table with a derived one whose size Spark cannot estimate from its plan.
 
-    The derived table is materialised once in the checkpoint folder and counted; up to
-    ``MAX_LOOKUP_ROWS`` rows it is broadcast, beyond that it is an ordinary shuffled join whose hot keys
-    AQE splits. Small inputs, and sessions without a checkpoint folder, leave the choice to AQE.
+    For large inputs the derived table is written to the scratch folder first. Its size is then known:
+    Spark broadcasts it up to ``spark.sql.autoBroadcastJoinThreshold`` and beyond that shuffles both sides,
+    where AQE splits hot keys.
     """
-    if fits_one_task(table):
-        return rows.join(table, on, how)
-    spark = table.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not folder:
-            return rows.join(table, on, how)
-        spark.sparkContext.setCheckpointDir(folder)
-    table = table.checkpoint()
-    small = table.limit(MAX_LOOKUP_ROWS + 1).count() <= MAX_LOOKUP_ROWS
-    return rows.join(F.broadcast(table) if small else table, on, how)
+    return rows.join(table if fits_one_task(table) else written(table, "lookup"), on, how)
 
 
 def require(df: DataFrame, ok: Column, message: Column | str) -> DataFrame:

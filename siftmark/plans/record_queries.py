@@ -12,9 +12,15 @@ from siftmark.plans import bindings as B
 from siftmark.plans.catalogue import query
 from siftmark.plans.headline import rounded
 from siftmark.plans.sql_tables import DOCS, FILES, GRIDS, r6
+from siftmark.session import written
 from siftmark.sources import sinks
 
 
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``base_records`` parsed once, for pipelines that read them several times."""
+    return written(base_records(spark, sf_dir), "records")
+
+
 def base_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory with every record still in the split of its folder."""
     return records.inventory(B.file_paths(spark, sf_dir)).withColumn("split", F.col("folder"))
@@ -126,7 +132,7 @@ INJECTED = f"{FILES}, {COUNTS} {ADAPTIVE}, {INJECT}"
 
 def injected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Records after the per-type injection, and the cuts it used."""
-    rows = base_records(spark, sf_dir)
+    rows = stored_records(spark, sf_dir)
     cuts = records.injection_cuts(rows.where("split = 'test' and label = 1"), FRACTION, shares=_shares(rows))
     return records.inject(rows, cuts), cuts
 
@@ -165,9 +171,13 @@ calibrated AS (SELECT i.* REPLACE (CASE WHEN c.moves THEN 'calib' ELSE split END
 
 
 def full_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Injection, normal hold-out, then calibration normals where enough stay in training."""
-    rows = records.hold_out(injected(spark, sf_dir)[0], 0.1)
-    return records.calibrate(rows, count=110, min_train=1000)
+    """Injection, normal hold-out, then calibration normals where enough stay in training.
+
+    Each step reads its input twice (for the cuts and for the rows), so the steps are stored between.
+    """
+    moved = written(injected(spark, sf_dir)[0], "injected")
+    held = written(records.hold_out(moved, 0.1), "held-out")
+    return records.calibrate(held, count=110, min_train=1000)
 
 
 @query("calibration_split", f"WITH {INJECTED}, {HOLDOUT} SELECT path, category, type, label, split FROM calibrated")
@@ -189,7 +199,7 @@ swapped AS (SELECT i.* REPLACE (CASE WHEN p.split = 'train' AND rk <= k THEN 'te
 
 @query("swap_split", f"WITH {INJECTED}, {SWAP} SELECT path, category, label, split FROM swapped")
 def swap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.swap(injected(spark, sf_dir)[0], 0.5).select("path", "category", "label", "split")
+    return records.swap(written(injected(spark, sf_dir)[0], "injected"), 0.5).select("path", "category", "label", "split")
 
 
 STRATIFIED = f"""
@@ -326,7 +336,7 @@ regimes AS (SELECT category, count(*) FILTER (WHERE split = 'train' AND label =
     FROM regimes""",
 )
 def regime_and_class_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = full_split(spark, sf_dir)
+    rows = written(full_split(spark, sf_dir), "split")
     counts = rows.where("split = 'train'").groupBy("category").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
@@ -342,7 +352,7 @@ def regime_and_class_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM calibrated c JOIN regimes r ON c.category = r.category""",
 )
 def regime_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = full_split(spark, sf_dir)
+    rows = written(full_split(spark, sf_dir), "split")
     return profile.apply_regime(rows, ["category"], profile.regime(rows, ["category"], 160)).select("path", "category", "label", "split")
 
 
@@ -491,7 +501,7 @@ def matched_hosts(spark: SparkSession, sf_dir: str, need: int | None = None) ->
         donors = donors.withColumn("need", F.lit(need))
     donors = donors.join(rows.select("path", "ring", F.col("grid").alias("pixels")), "path")
     hosts = rows.where("label = 0").select("category", F.col("path").alias("host"), F.col("grid").alias("pixels"))
-    return rows.select("category", "path", "label"), blocks.best_hosts(donors, hosts, ["category"])
+    return rows.select("category", "path", "label"), blocks.best_hosts(donors, hosts, ["category"], need or MATCH_TARGET)
 
 
 MATCH_TARGET = 600
@@ -630,7 +640,7 @@ def label_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM t""",
 )
 def layout_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = injected(spark, sf_dir)[0]
+    rows = written(injected(spark, sf_dir)[0], "injected")
     expected = rows.select("category").distinct().unionByName(spark.range(1).select(F.lit("absent").alias("category")))
     return checks.tally_checks(checks.layout_checks(rows, expected, ["category"]), ["category"])
 

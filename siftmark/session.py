@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session settings the operators assume. AQE re-plans joins from measured sizes and splits skewed
 # partitions; the forced variant also splits a skewed join whose result feeds an aggregate on the same keys.
@@ -30,6 +30,13 @@ def build_session(app: str = "siftmark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Give an existing session the skew handling of ``DEFAULTS`` where it can still be set."""
+    for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+        spark.conf.set(key, DEFAULTS[key])
+    return spark
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder path below ``spark.checkpoint.dir``, the folder every executor can reach.
 
@@ -41,3 +48,14 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = os.path.join(tempfile.gettempdir(), "siftmark")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table in the scratch folder: computed once, safe from lost executors, of known size.
+
+    Used where several later steps read the same result, which Spark would otherwise compute anew for
+    each. The folder belongs to the cluster's scratch space and is cleared with it.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
