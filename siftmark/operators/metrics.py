@@ -57,13 +57,13 @@ def auroc_of_curve() -> Column:
     """Mann-Whitney statistic with tied scores counted half; an aggregate over ``curve``."""
     below = (F.col("n") - F.col("fp")).cast("double") + F.col("neg") / F.lit(2.0)
     wins = F.sum(F.col("pos") * below)
-    return _two_classes(wins / (F.max("p").cast("double") * F.max("n").cast("double")))
+    return _two_classes(F.try_divide(wins, F.max("p").cast("double") * F.max("n").cast("double")))
 
 
 def average_precision_of_curve() -> Column:
     """Step sum over distinct thresholds; tied scores enter together."""
     gain = F.sum(F.col("pos") * (F.col("tp").cast("double") / (F.col("tp") + F.col("fp")).cast("double")))
-    return _two_classes(gain / F.max("p").cast("double"))
+    return _two_classes(F.try_divide(gain, F.max("p").cast("double")))
 
 
 def average_precision_positives_first() -> Column:
@@ -75,7 +75,7 @@ def average_precision_positives_first() -> Column:
         lambda j: (above + j).cast("double") / (above + false_above + j),
     )
     gain = F.when(F.col("pos") > 0, F.aggregate(steps, F.lit(0.0), lambda acc, v: acc + v))
-    return F.when(F.max("p") > 0, F.sum(gain) / F.max("p").cast("double"))
+    return F.try_divide(F.sum(gain), F.max("p").cast("double"))
 
 
 # Metrics a resample may ask for by name, as aggregates over ``curve_of``.
@@ -84,7 +84,7 @@ RESAMPLE_METRICS = {"auroc": auroc_of_curve, "aupr": average_precision_positives
 
 def youden_of_curve() -> Column:
     """Highest threshold with the largest tpr - fpr; above every score if none beats zero."""
-    gap = F.col("tp").cast("double") / F.col("p") - F.col("fp").cast("double") / F.col("n")
+    gap = F.try_divide(F.col("tp").cast("double"), F.col("p")) - F.try_divide(F.col("fp").cast("double"), F.col("n"))
     usable = F.when((F.col("p") > 0) & (F.col("n") > 0), F.struct(gap.alias("gap"), F.col("score").alias("score")))
     best = F.max(usable)
     return F.when(best["gap"] > 0, best["score"]).when(best["gap"].isNotNull(), F.lit(float("inf")))
@@ -93,7 +93,7 @@ def youden_of_curve() -> Column:
 def f1_of_curve() -> Column:
     """Lowest threshold with the largest F1."""
     precision = F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))
-    recall = F.col("tp").cast("double") / F.col("p")
+    recall = F.try_divide(F.col("tp").cast("double"), F.col("p"))
     f1 = F.when(precision + recall > 0, F.lit(2.0) * precision * recall / (precision + recall)).otherwise(0.0)
     usable = F.when((F.col("p") > 0) & (F.col("n") > 0), F.struct(f1.alias("f1"), (-F.col("score")).alias("low")))
     return -F.max(usable)["low"]

@@ -52,7 +52,7 @@ def interquartile_mean(value: str) -> Column:
     n = F.size(ordered)
     low, high = F.floor(n * 0.25).cast("int"), F.ceil(n * 0.75).cast("int")
     core = F.slice(ordered, low + 1, F.greatest(high - low, F.lit(1)))
-    return F.aggregate(core, F.lit(0.0), lambda acc, v: acc + v) / F.size(core)
+    return F.try_divide(F.aggregate(core, F.lit(0.0), lambda acc, v: acc + v), F.size(core))
 
 
 def percentile_interval(value: str, alpha: float) -> tuple[Column, Column]:

@@ -42,9 +42,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1.0) + F.col("l_tax") * 10).alias("pos_weight"),
         F.dayofmonth("l_shipdate").alias("day"),
         F.col("l_linenumber").alias("line_no"),
-        F.col("l_quantity").alias("quantity"),
-        F.col("l_extendedprice").alias("price"),
-        F.col("l_discount").alias("discount"),
+        (F.col("l_quantity") / 7.0).alias("quantity"),
+        (F.col("l_extendedprice") / 7.0).alias("price"),
+        (F.col("l_discount") / 7.0).alias("discount"),
     )
 
 

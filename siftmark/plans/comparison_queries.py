@@ -14,9 +14,10 @@ from siftmark.plans.metric_queries import EPOCH_KEYS, EPOCH_METRICS, EPOCH_STATS
 from siftmark.plans.sql_tables import AP_OF_CURVE, AUROC_OF_CURVE, DOCS, SCORES, r6
 
 N_BOOT, ALPHA = 40, 0.05
+NOTE = "CASE WHEN n_pos = 0 OR n_pos = n THEN 'single-class test split' END"
 SPREAD_AUROC = """
-  SELECT category, rep, arm, (sum(CASE WHEN label = 1 THEN rk END) - sum(label)::DOUBLE * (sum(label)::DOUBLE + 1) / 2)
-         / (sum(label)::DOUBLE * sum(1 - label)::DOUBLE) AS value
+  SELECT category, rep, arm, CASE WHEN sum(label) > 0 AND sum(1 - label) > 0 THEN
+           (sum(CASE WHEN label = 1 THEN rk END) - sum(label)::DOUBLE * (sum(label)::DOUBLE + 1) / 2) / (sum(label)::DOUBLE * sum(1 - label)::DOUBLE) END AS value
   FROM (SELECT category, rep, arm, label, rank() OVER (PARTITION BY category, rep, arm ORDER BY score)
                + (count(*) OVER (PARTITION BY category, rep, arm, score) - 1) / 2.0::DOUBLE AS rk FROM drawn)
   GROUP BY ALL
@@ -45,7 +46,7 @@ def iqm_sql(source: str, value: str) -> str:
     "bootstrap_interval",
     f"""WITH {DOCS}, {DRAWN}, a AS (SELECT * FROM vals WHERE arm = 'a'), q AS ({iqm_sql('a', 'value')}),
     ci AS (SELECT category, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM a GROUP BY category)
-    SELECT s.category, n, n_pos, {r6('v.value')} AS point, {r6('iqm')} AS iqm, {r6('lo')} AS lo, {r6('hi')} AS hi, {r6('hi - lo')} AS width, NULL::VARCHAR AS note
+    SELECT s.category, n, n_pos, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('v.value')} END AS point, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('iqm')} END AS iqm, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('lo')} END AS lo, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('hi')} END AS hi, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('hi - lo')} END AS width, {NOTE} AS note
     FROM sizes s LEFT JOIN q ON s.category = q.category LEFT JOIN ci ON s.category = ci.category
     LEFT JOIN point_values v ON v.category = s.category AND v.arm = 'a'""",
 )
@@ -65,14 +66,14 @@ dci AS (SELECT category, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta,
         FROM deltas GROUP BY category),
 pv AS (SELECT category, max(CASE WHEN arm = 'a' THEN value END) AS a, max(CASE WHEN arm = 'b' THEN value END) AS b FROM point_values GROUP BY category),
 paired AS (SELECT s.category, n, n_pos, a, b, b - a AS delta, iqm AS delta_iqm, lo, hi, p_improve, lo > 0 OR hi < 0 AS resolved
-           FROM sizes s JOIN pv ON s.category = pv.category JOIN diqm ON s.category = diqm.category JOIN dci ON s.category = dci.category)
+           FROM sizes s LEFT JOIN pv ON s.category = pv.category LEFT JOIN diqm ON s.category = diqm.category LEFT JOIN dci ON s.category = dci.category)
 """
 
 
 @query(
     "paired_bootstrap",
-    f"""WITH {DOCS}, {DRAWN}, {PAIRED} SELECT category, n, n_pos, {r6('a')} AS a, {r6('b')} AS b, {r6('delta')} AS delta, {r6('delta_iqm')} AS delta_iqm,
-    {r6('lo')} AS lo, {r6('hi')} AS hi, {r6('p_improve')} AS p_improve, resolved, NULL::VARCHAR AS note FROM paired""",
+    f"""WITH {DOCS}, {DRAWN}, {PAIRED} SELECT category, n, n_pos, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('a')} END AS a, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('b')} END AS b, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('delta')} END AS delta, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('delta_iqm')} END AS delta_iqm, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('lo')} END AS lo, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('hi')} END AS hi, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('p_improve')} END AS p_improve,
+    CASE WHEN n_pos > 0 AND n_pos < n THEN resolved END AS resolved, {NOTE} AS note FROM paired""",
 )
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_paired(spark, sf_dir), "a", "b", "delta", "delta_iqm", "lo", "hi", "p_improve")
@@ -85,7 +86,7 @@ def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "comparison_roll_up",
-    f"""WITH {DOCS}, {DRAWN}, {PAIRED}, one AS (SELECT 'all' AS category, * EXCLUDE (category) FROM paired), i AS ({iqm_sql('one', 'delta_iqm')})
+    f"""WITH {DOCS}, {DRAWN}, {PAIRED}, one AS (SELECT 'all' AS category, * EXCLUDE (category) FROM paired WHERE n_pos > 0 AND n_pos < n), i AS ({iqm_sql('one', 'delta_iqm')})
     SELECT 'all' AS "run", count(*) FILTER (WHERE resolved AND delta_iqm > 0) AS better, count(*) FILTER (WHERE resolved AND delta_iqm < 0) AS worse,
            count(*) FILTER (WHERE NOT resolved) AS unresolved, (SELECT {r6('iqm')} FROM i) AS iqm_of_deltas, {r6('quantile_cont(hi - lo, 0.5)')} AS median_width
     FROM one""",

@@ -504,7 +504,6 @@ def stream_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The epoch log written as JSON lines, read back as a stream, and folded in streaming state."""
     log, sink, state = (scratch_dir(spark, p) for p in ("epoch-log", "selection", "selection-state"))
     rows = trajectory(spark, sf_dir)
-    # Epochs are numbered per run without gaps, as a trainer writes them.
     rows.select(F.concat_ws("/", *B.GROUP).alias("run"), "epoch", "value", "secondary").write.mode("overwrite").json(log)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", epochs.ROCKSDB)
     stream = epochs.live_selection(epochs.read_epoch_log(spark, log), **SELECTOR)

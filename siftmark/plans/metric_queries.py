@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftmark.operators import collapse, conformal, metrics, objectives, selection
 from siftmark.plans import bindings as B
@@ -249,8 +250,10 @@ ecurve AS (SELECT {G}, epoch, score, pos, neg, sum(pos) OVER w AS tp, sum(neg) O
 emetrics AS (SELECT {G}, epoch, {r6(AUROC_OF_CURVE)} AS value FROM ecurve GROUP BY ALL),
 elosses AS (SELECT {G}, epoch, {r6('avg(CASE WHEN label = 1 THEN ln(1 + exp(-abs(score))) + greatest(-score, 0.0) ELSE ln(1 + exp(-abs(score))) + greatest(score, 0.0) END)')} AS secondary
             FROM epoch_rows GROUP BY ALL),
-trajectory AS (SELECT {G}, epoch, value, secondary FROM emetrics JOIN elosses USING (dataset, category, seed, epoch)),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY {G} ORDER BY epoch) AS i FROM trajectory)
+trajectory AS (SELECT {G}, row_number() OVER (PARTITION BY {G} ORDER BY epoch) - 1 AS epoch, value, secondary
+               FROM emetrics JOIN elosses USING (dataset, category, seed, epoch)),
+numbered AS (SELECT *, epoch + 1 AS i FROM trajectory),
+numbered_stats AS (SELECT * REPLACE (row_number() OVER (PARTITION BY {G} ORDER BY epoch) - 1 AS epoch) FROM stats)
 """
 # The fold again, one epoch per recursion step.
 FOLD = f"""
@@ -276,12 +279,18 @@ last_step AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY {G} ORD
 SELECTOR = {"patience": 5, "min_epochs": 8}
 
 
+def numbered(by_epoch: DataFrame) -> DataFrame:
+    """Epochs of each run renumbered from 0 without gaps (a table with one row per run and day)."""
+    place = F.row_number().over(Window.partitionBy(*B.GROUP).orderBy("epoch")) - 1
+    return by_epoch.withColumn("epoch", place)
+
+
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per run and epoch: AUROC as the monitored value and the loss as the tie-break."""
     rows = B.epoch_scores(spark, sf_dir).withColumn("unit_weight", F.lit(1.0))
     value = rounded(metrics.auroc(rows, EPOCH_KEYS).withColumnRenamed("auroc", "value"), "value")
     loss = rounded(objectives.mean_loss(rows, EPOCH_KEYS, "unit_weight").withColumnRenamed("loss", "secondary"), "secondary")
-    return value.join(loss, EPOCH_KEYS)
+    return numbered(value.join(loss, EPOCH_KEYS))
 
 
 @query(
@@ -309,7 +318,7 @@ def selection_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     "collapse_flags",
     f"""WITH RECURSIVE {SCORES}, {EPOCH_STATS}, {EPOCH_METRICS}, {FOLD}, judged AS (
       SELECT s.*, l.best_epoch, s.gap IS NOT NULL AS known, sqrt((normal_std * normal_std + anomaly_std * anomaly_std) / 2) AS pooled
-      FROM stats s JOIN last_step l ON s.dataset = l.dataset AND s.category = l.category AND s.seed = l.seed),
+      FROM numbered_stats s JOIN last_step l ON s.dataset = l.dataset AND s.category = l.category AND s.seed = l.seed),
     runs AS (
       SELECT {G}, CAST(count(*) FILTER (WHERE known) AS INTEGER) AS n_epochs, max(abs(gap)) AS max_abs_gap,
              quantile_cont(abs(gap), 0.5) AS median_abs_gap, arg_max(gap, epoch) FILTER (WHERE known) AS final_gap,
@@ -329,7 +338,7 @@ def selection_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM named""",
 )
 def collapse_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = collapse.class_statistics(B.epoch_scores(spark, sf_dir), EPOCH_KEYS)
+    stats = numbered(collapse.class_statistics(B.epoch_scores(spark, sf_dir), EPOCH_KEYS))
     selected = selection.best_epochs(trajectory(spark, sf_dir), B.GROUP, **SELECTOR)
     found = collapse.detect_collapse(stats, B.GROUP, selected)
     return rounded(found, "max_abs_gap", "median_abs_gap", "final_gap", "selected_gap", "d_prime", "sign_consistency")

@@ -229,12 +229,13 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "keep_training_anomalies",
-    f"""WITH {DOCS}, pool AS (SELECT path, category, label, 'train' AS split FROM docs),
+    f"""WITH {FILES}, pool AS (SELECT path, category, label, CASE WHEN label = 1 THEN 'train' ELSE split END AS split FROM records),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY category, label ORDER BY {_key('keep', 2)}) AS rk FROM pool)
-    SELECT path, category, label, split FROM ranked WHERE label = 0 OR rk <= 4""",
+    SELECT path, category, label, split FROM ranked WHERE label = 0 OR rk <= 20""",
 )
 def keep_training_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.keep_anomalies(_documents(spark, sf_dir), 4)
+    rows = base_records(spark, sf_dir).withColumn("split", F.when(F.col("label") == 1, "train").otherwise(F.col("split")))
+    return records.keep_anomalies(rows.select("path", "category", "label", "split"), 20)
 
 
 @query(

@@ -18,8 +18,8 @@ raw_scores AS (
            + CASE WHEN l_returnflag = 'R' THEN 40 ELSE 0 END)::DOUBLE / 47.0::DOUBLE - 2.0::DOUBLE AS v0,
          l_linenumber, l_discount, l_tax,
          1.0::DOUBLE + l_tax * 10 AS pos_weight,
-         CAST(day(l_shipdate) AS INTEGER) AS day, l_linenumber AS line_no, l_quantity AS quantity, l_extendedprice AS price,
-         l_discount AS discount
+         CAST(day(l_shipdate) AS INTEGER) AS day, l_linenumber AS line_no, l_quantity / 7.0::DOUBLE AS quantity, l_extendedprice / 7.0::DOUBLE AS price,
+         l_discount / 7.0::DOUBLE AS discount
   FROM lineitem),
 scores AS (
   SELECT *, v0 + (l_linenumber - 4)::DOUBLE / 8.0::DOUBLE AS v1, v0 - l_discount AS v2, v0 + l_tax AS v3,
