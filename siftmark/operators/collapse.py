@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.operators.joins import lookup
+from siftmark.operators.joins import lookup, stored
 
 
 def class_statistics(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,7 +23,7 @@ def class_statistics(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 def class_histogram(scores: DataFrame, keys: list[str], bins: int = 30) -> DataFrame:
     """Counts per class and bin with edges shared by both classes; empty bins are present."""
-    edges = scores.groupBy(*keys).agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    edges = stored(scores.groupBy(*keys).agg(F.min("score").alias("low"), F.max("score").alias("high")), "edges")
     placed = lookup(scores, edges, keys)
     width = (F.col("high") - F.col("low")) / F.lit(float(bins))
     position = F.try_divide(F.col("score") - F.col("low"), width)

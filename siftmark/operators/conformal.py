@@ -58,7 +58,7 @@ def lines_of(placed: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFra
     def chosen(total: str) -> Column:
         return F.coalesce(F.when(has_calib, rows_of("calib", total)).otherwise(rows_of("val", total)), F.lit(0))
 
-    has_calib = F.count_if(F.col("split") == "calib") > 0
+    has_calib = F.coalesce(F.sum(F.when(F.col("split") == "calib", F.col("pos") + F.col("neg"))), F.lit(0)) > 0
     return (
         placed.groupBy(*keys)
         .agg(

@@ -33,6 +33,11 @@ def fits_one_task(df: DataFrame) -> bool:
     return size is not None and size <= _bytes_setting(df, "spark.sql.files.maxPartitionBytes", "134217728b")
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """A result that several later steps read: written once for large inputs, recomputed for small ones."""
+    return df if fits_one_task(df) else written(df, purpose)
+
+
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join a large table with a derived one whose size Spark cannot estimate from its plan.
 
@@ -40,7 +45,7 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left")
     Spark broadcasts it up to ``spark.sql.autoBroadcastJoinThreshold`` and beyond that shuffles both sides,
     where AQE splits hot keys.
     """
-    return rows.join(table if fits_one_task(table) else written(table, "lookup"), on, how)
+    return rows.join(stored(table, "lookup"), on, how)
 
 
 def require(df: DataFrame, ok: Column, message: Column | str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.functions.scoring import left_closed_bin, prior_corrected, right_closed_bin, sigmoid
+from siftmark.functions.scoring import left_closed_bin, logit_loss, prior_corrected, right_closed_bin, sigmoid
 from siftmark.operators.joins import lookup
 from siftmark.operators.ranking import running_totals, tally
 
@@ -78,6 +78,12 @@ def average_precision_positives_first() -> Column:
     return F.try_divide(F.sum(gain), F.max("p").cast("double"))
 
 
+def loss_of_curve() -> Column:
+    """Mean unweighted logit loss; an aggregate over ``curve``."""
+    loss = F.col("pos") * logit_loss(F.col("score"), F.lit(1)) + F.col("neg") * logit_loss(F.col("score"), F.lit(0))
+    return F.sum(loss) / F.sum(F.col("pos") + F.col("neg"))
+
+
 # Metrics a resample may ask for by name, as aggregates over ``curve_of``.
 RESAMPLE_METRICS = {"auroc": auroc_of_curve, "aupr": average_precision_positives_first}
 
@@ -225,17 +231,42 @@ def metric_set(
     Without ``thresholds`` (keys + ``threshold``) each group's own threshold is used; with it, a
     threshold chosen elsewhere is applied unchanged.
     """
-    best = youden_of_curve() if strategy == "youden" else f1_of_curve()
-    ranked = curve(scores, keys, score, label, buckets).groupBy(*keys).agg(
-        auroc_of_curve().alias("auroc"),
-        average_precision_of_curve().alias("aupr"),
-        F.coalesce(best, F.lit(0.0)).alias("own_threshold"),
-    )
+    placed = curve(scores, keys, score, label, buckets)
     if thresholds is None:
-        ranked = ranked.withColumnRenamed("own_threshold", "threshold")
-    else:
-        ranked = lookup(ranked.drop("own_threshold"), thresholds, keys)
-    cut = lookup(scores, ranked.select(*keys, "threshold"), keys)
-    decided = confusion_metrics(cut, keys, "threshold", score, label)
-    calibrated = ece_right_closed(scores, keys, score, label)
-    return ranked.join(decided, keys).join(calibrated, keys).select(*keys, "threshold", *METRIC_NAMES)
+        best = youden_of_curve() if strategy == "youden" else f1_of_curve()
+        thresholds = placed.groupBy(*keys).agg(F.coalesce(best, F.lit(0.0)).alias("threshold"))
+    rows = F.col("pos") + F.col("neg")
+    probability = sigmoid(F.col("score"))
+    fired = F.col("score") >= F.col("threshold")
+    below = (F.col("n") - F.col("fp")).cast("double") + F.col("neg") / F.lit(2.0)
+    # Everything is a sum over distinct scores, so one pass over the curve gives all metrics.
+    binned = (
+        lookup(placed, thresholds.select(*keys, "threshold"), keys)
+        .withColumn("bin", right_closed_bin(probability))
+        .groupBy(*keys, "bin")
+        .agg(
+            F.max("threshold").alias("threshold"),
+            F.max("p").alias("p"),
+            F.max("n").alias("n"),
+            F.sum(F.col("pos") * below).alias("wins"),
+            F.sum(F.col("pos") * (F.col("tp").cast("double") / (F.col("tp") + F.col("fp")))).alias("gain"),
+            F.sum(F.when(fired, F.col("pos")).otherwise(0)).alias("hit"),
+            F.sum(F.when(fired, F.col("neg")).otherwise(0)).alias("miss"),
+            F.sum(rows).alias("rows"),
+            F.abs(F.sum("pos") - F.sum(rows * probability)).alias("gap"),
+        )
+    )
+    p, n, hit, miss = F.max("p").cast("double"), F.max("n").cast("double"), F.sum("hit").cast("double"), F.sum("miss")
+
+    def ratio(top: Column, bottom: Column) -> Column:
+        return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
+
+    return binned.groupBy(*keys).agg(
+        F.max("threshold").alias("threshold"),
+        _two_classes(F.try_divide(F.sum("wins"), p * n)).alias("auroc"),
+        _two_classes(F.try_divide(F.sum("gain"), p)).alias("aupr"),
+        ratio(hit * 2, hit + miss + p).alias("f1"),
+        ratio(hit, hit + miss).alias("precision"),
+        ratio(hit, p).alias("recall"),
+        (F.sum("gap") / F.sum("rows")).alias("ece"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.arrays import norm
 from siftmark.functions.draws import order_key
-from siftmark.operators.joins import lookup
+from siftmark.operators.joins import lookup, stored
 from siftmark.operators.metrics import auroc
 from siftmark.operators.ranking import hash_cuts, quantiles, taken, top_k
 from siftmark.operators.records import fold_assignment
@@ -59,7 +59,7 @@ def permutation_test(
     rows: DataFrame, keys: list[str], item: str, features: str, label: str = "label", n_perm: int = 200, seed: int = 0
 ) -> DataFrame:
     """Probe AUROC with two-sided permutation p-values; permuted labels keep the class sizes."""
-    z = standardised(rows, keys, features).select(*keys, item, "z", F.col(label).alias("label"))
+    z = stored(standardised(rows, keys, features).select(*keys, item, "z", F.col(label).alias("label")), "standardised")
     sizes = z.groupBy(*keys).agg(F.sum("label").alias("n_pos"))
     replicas = z.select(*keys, item, "z", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
     replicas = replicas.withColumn("order_key", order_key("permute", item, F.col("perm") + seed))

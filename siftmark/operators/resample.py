@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions.draws import hash_slot, order_key
+from siftmark.operators.joins import stored
 from siftmark.operators.metrics import RESAMPLE_METRICS, curve, curve_of
 from siftmark.operators.ranking import hash_positions, tally
 
@@ -35,7 +36,7 @@ def replicate_metric(
     """One metric value per group, replicate and arm; all arms use the same draws."""
     if metric not in RESAMPLE_METRICS:
         raise ValueError(f"unknown metric {metric!r}; known: {sorted(RESAMPLE_METRICS)}")
-    drawn = multiplicities(rows, keys, n_boot, seed=seed)
+    drawn = multiplicities(rows.select(*keys, "path", "label", *arms.values()), keys, n_boot, seed=seed)
     arm_scores = F.array(*[F.struct(F.lit(arm).alias("arm"), F.col(c).alias("score")) for arm, c in arms.items()])
     long = drawn.select(*keys, "label", "replicate", "times", F.explode(arm_scores).alias("a")).select(
         *keys, "label", "replicate", "times", "a.arm", "a.score"
@@ -100,7 +101,7 @@ def paired_bootstrap(
     a: DataFrame, b: DataFrame, keys: list[str], metric: str = "auroc", n_boot: int = 1000, alpha: float = 0.05, seed: int = 0
 ) -> DataFrame:
     """B against A on the same draws; groups whose test sets differ or hold one class are noted, not scored."""
-    pairs = pair_scores(a, b, keys)
+    pairs = stored(pair_scores(a, b, keys), "pairs")
     shared = pairs.groupBy(*keys).agg(
         F.max(F.col("label_a").isNotNull()).alias("in_a"),
         F.max(F.col("label_b").isNotNull()).alias("in_b"),

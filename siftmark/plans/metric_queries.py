@@ -287,10 +287,10 @@ def numbered(by_epoch: DataFrame) -> DataFrame:
 
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per run and epoch: AUROC as the monitored value and the loss as the tie-break."""
-    rows = B.epoch_scores(spark, sf_dir).withColumn("unit_weight", F.lit(1.0))
-    value = rounded(metrics.auroc(rows, EPOCH_KEYS).withColumnRenamed("auroc", "value"), "value")
-    loss = rounded(objectives.mean_loss(rows, EPOCH_KEYS, "unit_weight").withColumnRenamed("loss", "secondary"), "secondary")
-    return numbered(value.join(loss, EPOCH_KEYS))
+    by_epoch = metrics.curve(B.epoch_scores(spark, sf_dir), EPOCH_KEYS).groupBy(*EPOCH_KEYS).agg(
+        metrics.auroc_of_curve().alias("value"), metrics.loss_of_curve().alias("secondary")
+    )
+    return numbered(rounded(by_epoch, "value", "secondary"))
 
 
 @query(
