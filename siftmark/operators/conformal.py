@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.paths import from_test_folder, is_test_good
 from siftmark.functions.scoring import conformal_rank, precision_at_prevalence
-from siftmark.operators.joins import lookup
+from siftmark.operators.joins import lookup, stored
 from siftmark.operators.metrics import class_counts
 from siftmark.operators.ranking import running_totals, tally
 
@@ -82,8 +82,9 @@ def operating_points(
     scores: DataFrame, keys: list[str], alpha: float = 0.05, score: str = "score", buckets: int | None = None
 ) -> DataFrame:
     """Per group: line, size of its threshold set, false-alarm rate, recall, precision at 5 % prevalence, AUROC."""
-    placed = placed_scores(scores, keys, score, buckets)
-    judged = lookup(placed, lines_of(placed, keys, alpha), keys)
+    placed = stored(placed_scores(scores, keys, score, buckets), "placed")
+    # Every group has a line row. An inner join gives both sides the same filters, so they share shuffles.
+    judged = lookup(placed, lines_of(placed, keys, alpha), keys, "inner")
     test = F.col("split") == "test"
     over = test & (F.col("score") > F.col("line"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions.scoring import left_closed_bin, logit_loss, prior_corrected, right_closed_bin, sigmoid
-from siftmark.operators.joins import lookup
+from siftmark.operators.joins import lookup, stored
 from siftmark.operators.ranking import running_totals, tally
 
 # Metric names in reporting order.
@@ -233,6 +233,7 @@ def metric_set(
     """
     placed = curve(scores, keys, score, label, buckets)
     if thresholds is None:
+        placed = stored(placed, "curve")
         best = youden_of_curve() if strategy == "youden" else f1_of_curve()
         thresholds = placed.groupBy(*keys).agg(F.coalesce(best, F.lit(0.0)).alias("threshold"))
     rows = F.col("pos") + F.col("neg")
