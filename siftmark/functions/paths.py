@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 GOOD_FOLDER = "good"
 NORMAL_WORD = "normal"
 LAYOUT_FOLDERS = ["train", "test", "ground_truth"]
+RECORD_LAYOUT = r"[^/]/(train|test)/[^/]+/[^/]+$"
 MASK_RULE = r"/test/([^/]+)/([^/]+)\.[^./]+$"
 MASK_TARGET = "/ground_truth/$1/$2_mask.png"
 STEM_NUMBER = r"(\d+)(?:_mask)?\.[^./]+$"

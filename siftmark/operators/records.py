@@ -18,14 +18,15 @@ from siftmark.operators.ranking import hash_cuts, hash_positions, taken
 
 def inventory(files: DataFrame, path: str = "path") -> DataFrame:
     """Records from file paths; ground truth and files outside the layout are left out."""
-    parts = files.select(F.col(path).alias("path"), F.split(path, "/").alias("_parts"))
+    # One test on the whole path: the filter moves below the split, where every use of it is computed anew.
+    kept = files.where(F.col(path).rlike(P.RECORD_LAYOUT))
+    parts = kept.select(F.col(path).alias("path"), F.split(path, "/").alias("_parts"))
 
     def part(place: int) -> Column:
         return F.try_element_at("_parts", F.lit(place))
 
     named = parts.select("path", part(-4).alias("category"), part(-3).alias("folder"), part(-2).alias("type"))
-    inside = named.where(F.col("folder").isin("train", "test") & F.col("category").isNotNull())
-    return inside.withColumn("label", P.folder_label(F.col("type")))
+    return named.withColumn("label", P.folder_label(F.col("type")))
 
 
 def select_categories(requested: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
