@@ -49,12 +49,17 @@ class WordHashes(dict):
         super().__init__()
         self.most = most
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
+    def of(self, text: bytes | None) -> np.ndarray:
+        """Hashes of a UTF-8 text's words: runs without ASCII white space, A-Z in lower case."""
+        words = (text or b"").lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatter the bits of 64-bit numbers (a bijection)."""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm import decontamination, pii, toxicity
+from siftmark.llm import decontamination, jaccard, pii, toxicity
 from siftmark.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_score").alias("score"),
         (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
