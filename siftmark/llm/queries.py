@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm import decontamination, jaccard, pii, toxicity
+from siftmark.llm import chains, chat, decontamination, html, jaccard, neighbours, packing, pii, secrets, toxicity
 from siftmark.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op3_neighbours")
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @query("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -80,6 +86,43 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP6_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query("op6_chat")
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stated = spark.createDataFrame([(-1, 0, "user", OP6_TEXT), (-1, 1, "assistant", OP6_TEXT)], "conv_id long, turn long, role string, text string")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(stated)
+    return chat.read_back(chat.formatted(conversations))
+
+
+@query("op7_fuzzy_passages")
+def op7_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_main_text")
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("_main").alias("text"), F.length("_main").cast("long").alias("n_chars"))
+
+
 @query("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_secrets")
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[span_count("_base", k).alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(span_text("_base"), 256).alias("base_sha256"),
+        span_text("_spans").alias("spans"),
+    )

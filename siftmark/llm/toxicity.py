@@ -1,15 +1,15 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
 Every text, lower-cased, is read as overlapping 3-, 4- and 5-grams of characters, hashed into buckets. For
-each bucket the log ratio of its document shares among toxic and other labelled rows is counted over all
-labelled training rows. Buckets with a clear ratio are the features; a document's feature value is that
-ratio where the n-gram occurs. A logistic regression on them is fitted on a bounded sample
-(``fit_rows``), and every document is scored in its scan task from the broadcast weights, whose size is
-fixed by ``BITS``.
+each bucket the log ratio of its document shares among toxic and other labelled rows is counted. Buckets with
+a clear ratio are the features; a document's feature value is that ratio where the n-gram occurs. A logistic
+regression on them gives the weights. The classifier is fitted on a bounded sample of the labelled training
+rows: at most ``fit_rows`` ids, the first by hash, which are few enough to be broadcast, so that no text is
+shuffled. Every document is scored in its scan task from the broadcast weights, whose size is fixed by ``BITS``.
 
 Defined results: null and empty texts are scored by the intercept; documents with null id are scored and held out of
 training; of several labels of one id the largest counts, null labels are dropped; without labels of both
-kinds every score is the share of toxic rows (0 without labels); repeated rows and more columns do no harm.
+kinds every score is the share of toxic rows (0 without labels); an id trains once, on its longest text; more columns pass through.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from siftmark.llm.common import checkpointed, text_or_empty
 
 ORDERS = (3, 4, 5)
 BITS = 20
-FIT_ROWS = 8_000
+FIT_ROWS = 20_000
 LEAST_DOCS = 4
 LEAST_RATIO = 1.2
 THRESHOLD = 0.3
@@ -52,11 +52,13 @@ def buckets(text: str | None, bits: int = BITS) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows: id, text and label, without the held-out quarter."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
-    wanted = known.where(~held_out())
-    return docs.select("doc_id", text_or_empty().alias("text")).join(wanted, "doc_id")
+def labelled_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Training rows: id, text and label of at most ``fit_rows`` ids, without the held-out quarter."""
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+    wanted = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(wanted), "doc_id")
+    longest = F.max(F.struct(F.length("text").alias("n"), "text")).alias("s")
+    return found.groupBy("doc_id", "_toxic").agg(longest).select("doc_id", "_toxic", F.col("s.text").alias("text"))
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +123,8 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, steps:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """Weight by bucket and intercept. ``fit_rows`` bounds the sample of the regression; ratios count all rows."""
-    rows = checkpointed(labelled_rows(docs, labels), "tox-labelled")
+    """Weight by bucket and intercept, from a sample of at most ``fit_rows`` labelled ids."""
+    rows = checkpointed(labelled_rows(docs, labels, fit_rows), "tox-labelled")
     ratios, n1, n0 = log_count_ratios(rows)
     if n1 == 0 or n0 == 0:
         share = n1 / max(n1 + n0, 1)
@@ -134,8 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
             found = [features(t.as_py(), known.value).astype(np.int32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("_toxic").cast(pa.int32()), pa.array(found, pa.binary())], ["toxic", "found"])
 
-    sample = rows.orderBy(F.xxhash64("doc_id", "text")).limit(fit_rows)
-    got = sample.mapInArrow(of_sample, "toxic int, found binary").collect()
+    got = rows.mapInArrow(of_sample, "toxic int, found binary").collect()
     found = [np.frombuffer(r["found"], np.int32) for r in got]
     return _fit(found, np.array([float(r["toxic"] > 0) for r in got]), ratios)
 
