@@ -10,7 +10,7 @@ sets share at least l shingles in their l-prefixes, the first n - ceil(0.8 n) +
 3. Every other class lengthens its prefix to the l that its estimated cost asks for: occurrences of its shingles
    to be met, plus a verification for each candidate, of which at most occurrences / l have l in common.
 4. Classes that share prefix shingles, through stars around each shingle's smallest holder, fall into clusters. A cluster
-   is cut into blocks by set size and hash, bounded in shingles, and two blocks meet in a task. There pairs that share
+   larger than a block is cut into blocks by set size and hash, bounded in classes and shingles, and two blocks meet in a task. There pairs that share
    the smaller l of the two are verified on the whole sets, and a spanning forest of the links leaves the task.
    So large groups cost arithmetic in numpy, but no row for a pair.
 5. Components of those edges give the classes, and so every row, their component.
@@ -133,28 +133,33 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 
 def _blocks(near: DataFrame) -> DataFrame:
-    """A row for every meeting of a class's block with a block of its own or the next larger size band."""
-    banded = near.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / PERCENT)) + 1e-9).cast("int"))
+    """A row for every meeting of a class's block: (cluster, low, low_part, high, high_part, side, doc, level).
+
+    A cluster within the bounds of one block meets once. A larger one is cut into bands, whose set sizes differ by less than the
+    threshold allows, and these into parts by hash; linked classes lie in one band or in two that follow each other.
+    """
+    totals = near.groupBy("cluster").agg(((F.count("*") <= BLOCK_DOCS) & (F.sum("n") <= BLOCK_SHINGLES)).alias("one"))
+    band = F.when(F.col("one"), 0).otherwise(1 + F.floor(F.log("n") / F.log(F.lit(100.0 / PERCENT)) + 1e-9)).cast("int")
+    banded = checkpointed(near.select("doc", "n", "level", "cluster").join(totals, "cluster").withColumn("band", band), "banded")
     sizes = banded.groupBy("cluster", "band").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts")
     )
     below = sizes.select("cluster", (F.col("band") + 1).alias("band"), F.col("parts").alias("parts_below"))
     above = sizes.select("cluster", (F.col("band") - 1).alias("band"), F.col("parts").alias("parts_above"))
-    around = checkpointed(sizes.join(below, ["cluster", "band"], "left").join(above, ["cluster", "band"], "left"), "bands")
+    around = sizes.join(below, ["cluster", "band"], "left").join(above, ["cluster", "band"], "left")
     placed = banded.join(around, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
 
     def upto(column: str):
         return F.when(F.coalesce(F.col(column), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(column) - 1)).otherwise(F.array().cast("array<int>"))
 
     def meeting(low, low_part, high, high_part, side):
-        return F.struct(low.alias("low"), low_part.alias("low_part"), high.alias("high"), high_part.alias("high_part"), F.lit(side).alias("side"))
+        return F.struct(low.alias("low"), low_part.alias("low_part"), high.alias("high"), high_part.alias("high_part"), side.alias("side"))
 
     band, part = F.col("band"), F.col("part")
-    own = F.transform(upto("parts"), lambda p: meeting(band, F.least(part, p), band, F.greatest(part, p), 2).withField("side", F.when(p == part, 2).when(part < p, 0).otherwise(1)))
-    up = F.transform(upto("parts_above"), lambda p: meeting(band, part, band + 1, p, 0))
-    down = F.transform(upto("parts_below"), lambda p: meeting(band - 1, p, band, part, 1))
-    meetings = placed.withColumn("_meet", F.explode(F.concat(own, up, down)))
-    return meetings.select("cluster", "_meet.*", "doc", "n", "level", "tokens", "found")
+    own = F.transform(upto("parts"), lambda p: meeting(band, F.least(part, p), band, F.greatest(part, p), F.when(p == part, 2).when(part < p, 0).otherwise(1)))
+    up = F.transform(upto("parts_above"), lambda p: meeting(band, part, band + 1, p, F.lit(0)))
+    down = F.transform(upto("parts_below"), lambda p: meeting(band - 1, p, band, part, F.lit(1)))
+    return placed.select("cluster", "doc", "n", "level", F.explode(F.concat(own, up, down)).alias("m")).select("cluster", "m.*", "doc", "n", "level")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], most: int = 4_000_000) -> np.ndarray:
@@ -207,7 +212,8 @@ def _forest(rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
 def _meet(group: pd.DataFrame) -> pd.DataFrame:
     """Links between the two blocks of a meeting, as a spanning forest."""
     docs, levels = group["doc"].to_numpy(), group["level"].to_numpy()
-    tokens, found = [np.asarray(t, np.int64) for t in group["tokens"]], [np.asarray(f, np.int64) for f in group["found"]]
+    found = [np.asarray(f, np.int64) for f in group["found"]]
+    tokens = [f[: one_prefix(len(f)) + level - 1] for f, level in zip(found, levels)]  # in the order of unsigned hashes
     side = group["side"].to_numpy()
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     edges: list[tuple[int, int]] = []
@@ -267,9 +273,10 @@ def component_rows(docs: DataFrame) -> DataFrame:
     print_ = ["n", "fp1", "fp2"]
     classes = checkpointed(sets.where("n > 0 and doc_id is not null").groupBy(*print_).agg(F.min("doc_id").alias("doc")), "classes")
     first = sets.join(classes.withColumnRenamed("doc", "doc_id"), ["doc_id", *print_], "left_semi").select(F.col("doc_id").alias("doc"), "n", "prefix", "fp1", "fp2")
-    near = checkpointed(candidates(first.dropDuplicates(["doc", "fp1", "fp2"]).drop("fp1", "fp2")), "candidates")
-    whole = near.join(_whole_sets(docs, near), "doc").where(F.size("found") == F.col("n")).dropDuplicates(["doc", "n", "cluster"])
-    links = _blocks(whole).groupBy("cluster", "low", "low_part", "high", "high_part").applyInPandas(_meet, "a long, b long")
+    near = checkpointed(candidates(first.dropDuplicates(["doc", "fp1", "fp2"]).drop("fp1", "fp2")).drop("tokens"), "candidates")
+    whole = checkpointed(_whole_sets(docs, near).join(near.select("doc", "n"), "doc").where(F.size("found") == F.col("n")).dropDuplicates(["doc", "n"]), "near-sets")
+    met = _blocks(near).join(whole, ["doc", "n"])
+    links = met.groupBy("cluster", "low", "low_part", "high", "high_part").applyInPandas(_meet, "a long, b long")
     rows = sets.select("doc_id", *print_).join(classes, print_, "left")
     # one id under several classes joins them
     several = rows.where("doc is not null and doc_id is not null").groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("top"), F.collect_set("doc").alias("_all")).where("a <> top")
