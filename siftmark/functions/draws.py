@@ -18,8 +18,8 @@ def order_key(purpose: str, path: Column | str, seed: Column | int = 0) -> Colum
 
 
 def hash_slot(purpose: str, slot: Column, size: Column, seed: Column | int = 0) -> Column:
-    """A 0-based position below ``size`` for one slot of a draw with replacement."""
-    head = F.conv(F.substring(order_key(purpose, slot, seed), 1, 8), 16, 10).cast("bigint")
+    """A 0-based position below ``size`` for one slot of a draw with replacement, from 60 bits of the hash."""
+    head = F.conv(F.substring(order_key(purpose, slot, seed), 1, 15), 16, 10).cast("bigint")
     return F.pmod(head, size.cast("bigint"))
 
 

@@ -55,7 +55,7 @@ def is_test_good(path: Column) -> Column:
 def relative_to(path: Column, root: str) -> Column:
     """The path below ``root``; unchanged if it is not below it."""
     prefix = root.rstrip("/") + "/"
-    return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 20)).otherwise(path)
+    return F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
 
 
 def last_parts(path: Column, k: int = 3) -> Column:

@@ -21,14 +21,14 @@ def check_rows(table: DataFrame, keys: list[str], checks: dict[str, Column], war
 
 
 def tally_checks(checks: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts of each status, the verdict, and up to three failed checks by name."""
+    """Counts of each status, the verdict, and the failed checks by name."""
     failed = F.array_sort(F.collect_set(F.when(F.col("status") == "FAIL", F.col("check"))))
     return checks.groupBy(*keys).agg(
         F.count_if(F.col("status") == "PASS").alias("n_pass"),
         F.count_if(F.col("status") == "WARN").alias("n_warn"),
         F.count_if(F.col("status") == "FAIL").alias("n_fail"),
         F.bool_and(F.col("status") != "FAIL").alias("ok"),
-        F.array_join(F.slice(failed, 1, 3), ",").alias("failed"),
+        F.array_join(failed, ",").alias("failed"),
     )
 
 

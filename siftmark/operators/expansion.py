@@ -14,6 +14,7 @@ from siftmark.operators.ranking import hash_cuts, hash_positions, taken
 REPEATING = ("oversample", "asymmetric")
 SYNTHETIC = ("cutpaste",)
 PLACEMENTS = ("random", "best_match", "duplicate")
+DONOR_RULES = ("all", "inside_object")
 
 
 def uses_record_expansion(scenario: str | None) -> bool:
@@ -136,6 +137,19 @@ def matched_top_up(groups: DataFrame, keys: list[str], ranked_hosts: DataFrame)
     )
 
 
+def donor_rule_groups(records: DataFrame, keys: list[str], groups: DataFrame, rule: str, inside: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The defects a rule lets through, and the groups with their number and the sorted types of those it keeps out."""
+    if rule not in DONOR_RULES:
+        raise ValueError(f"unknown donor rule {rule!r}; known: {DONOR_RULES}")
+    passes = F.lit(True) if rule == "all" else F.coalesce(F.col(inside), F.lit(False))
+    defects = records.where("label = 1")
+    excluded = F.lit("") if rule == "all" else F.array_join(F.array_sort(F.collect_set(F.when(~passes, F.col(kind)))), ",")
+    counts = defects.groupBy(*keys).agg(F.count_if(passes).cast("int").alias("n_paste_donors"), excluded.alias("excluded_types"))
+    judged = groups.join(counts, keys, "left").withColumn("n_paste_donors", F.coalesce("n_paste_donors", F.lit(0))).withColumn("excluded_types", F.coalesce("excluded_types", F.lit("")))
+    reason = F.coalesce("reason", F.when(F.col("n_paste_donors") == 0, "no donor passes the donor rule"))
+    return defects.where(passes), judged.withColumn("reason", reason).withColumn("applied", F.col("reason").isNull()).withColumn("donor_rule", F.lit(rule))
+
+
 def top_up(
     records: DataFrame,
     keys: list[str],
@@ -144,18 +158,31 @@ def top_up(
     min_defects: int | None = 20,
     ranked_hosts: DataFrame | None = None,
     seed: int = 0,
+    donor_rule: str = "all",
+    inside: str = "inside",
+    kind: str = "type",
 ) -> tuple[DataFrame, DataFrame]:
-    """Records with the top-up appended, and one row per group that says what was done and why not."""
+    """Records with the top-up appended, and one row per group that says what was done and why not.
+
+    Rows that carry a tag already are neither donors nor hosts, do not count as defects, and keep their tag. The rule
+    ``inside_object`` takes donors whose column ``inside`` is true, and lists the types (``kind``) of the others.
+    """
     if placement not in PLACEMENTS:
         raise ValueError(f"unknown placement {placement!r}; known: {PLACEMENTS}")
-    groups = scarce_groups(records, keys, target, min_defects)
+    tagged = records if "tag" in records.columns else records.withColumn("tag", F.lit(None).cast("string"))
+    real = tagged.where("tag is null").drop("tag")
+    pasted, groups = donor_rule_groups(real, keys, scarce_groups(real, keys, target, min_defects), donor_rule, inside, kind)
+    usable = pasted.unionByName(real.where("label = 0"))
+    sized = groups.withColumn("n_donors", F.col("n_paste_donors"))
     if placement == "duplicate":
-        added = duplicate_top_up(records, keys, groups).drop("slot", "donor_idx")
+        added = duplicate_top_up(usable, keys, sized).drop("slot", "donor_idx")
     elif placement == "random":
-        added = random_top_up(records, keys, groups, seed)
+        added = random_top_up(usable, keys, sized, seed)
     else:
         if ranked_hosts is None:
             raise ValueError("best_match needs ranked hosts")
-        added = matched_top_up(groups, keys, ranked_hosts).drop("slot")
-    real = records.withColumn("tag", F.lit(None).cast("string"))
-    return real.unionByName(added, allowMissingColumns=True), groups.withColumn("placement", F.lit(placement))
+        added = matched_top_up(sized, keys, ranked_hosts).drop("slot")
+    hosts = added.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_synthetic"), F.countDistinct("path").alias("n_distinct_hosts"))
+    plan = groups.withColumn("placement", F.lit(placement)).join(hosts, keys, "left")
+    counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("n_synthetic", "n_distinct_hosts")}
+    return tagged.unionByName(added, allowMissingColumns=True), plan.withColumns(counts)

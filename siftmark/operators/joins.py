@@ -5,47 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.session import written
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of all tables a plan reads, as the file listing gives them; None if that is not known."""
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except AttributeError:
-        return None
-
-
-def _bytes_setting(df: DataFrame, key: str, default: str) -> int:
-    text = df.sparkSession.conf.get(key, default).strip().lower()
-    units = {"k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "b": 1, "": 1}
-    digits = text.rstrip("bkmg")
-    return int(digits) * units[text[len(digits):]]
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """True if everything a plan reads is known to be no larger than one input split.
-
-    Then no group can be too large for a task and no derived table too large to broadcast, so the
-    plain forms are used; in every other case the forms that split large groups are.
-    """
-    size = input_bytes(df)
-    return size is not None and size <= _bytes_setting(df, "spark.sql.files.maxPartitionBytes", "134217728b")
-
-
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """A result that several later steps read: written once for large inputs, recomputed for small ones."""
-    return df if fits_one_task(df) else written(df, purpose)
-
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join a large table with a derived one whose size Spark cannot estimate from its plan.
+    """Join a large table with a derived one, for every size by the same plan.
 
-    For large inputs the derived table is written to the scratch folder first. Its size is then known:
-    Spark broadcasts it up to ``spark.sql.autoBroadcastJoinThreshold`` and beyond that shuffles both sides,
-    where AQE splits hot keys.
+    The derived table ends in an aggregate, so AQE knows its size when it joins: it is broadcast up to
+    ``spark.sql.autoBroadcastJoinThreshold``, and beyond that both sides are shuffled and hot keys split.
     """
-    return rows.join(stored(table, "lookup"), on, how)
+    return rows.join(table, on, how)
 
 
 def require(df: DataFrame, ok: Column, message: Column | str) -> DataFrame:

@@ -44,13 +44,17 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).intersect(b.select(key)).agg(F.count(F.lit(1)).alias("n_shared"))
 
 
-def key_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Every distinct key of two runs with the side it is on: both, only_a or only_b."""
+def key_difference(a: DataFrame, b: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
+    """Every distinct key of two runs with the side it is on: both, only_a or only_b; with ``strict`` no common key is an error."""
     sides = a.select(*keys, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
         b.select(*keys, F.lit(0).alias("a"), F.lit(1).alias("b"))
     )
     side = F.when(F.max("a") + F.max("b") == 2, "both").when(F.max("a") == 1, "only_a").otherwise("only_b")
-    return sides.groupBy(*keys).agg(side.alias("side"))
+    found = sides.groupBy(*keys).agg(side.alias("side"))
+    if not strict:
+        return found
+    common = found.agg(F.count_if(F.col("side") == "both").alias("n")).scalar()
+    return require(found, common > 0, "the two runs share no key")
 
 
 def donor_audit(records: DataFrame, synthetic: DataFrame, planned: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,11 +77,12 @@ def donor_audit(records: DataFrame, synthetic: DataFrame, planned: DataFrame, ke
     return out.withColumn("ok", clean & (F.col("n_synthetic") == F.col("planned")))
 
 
-def missing_counterparts(items: DataFrame, present: DataFrame, counterpart: Column, keys: list[str]) -> DataFrame:
-    """Per group the items whose counterpart path (such as a mask) is not among the present paths."""
+def missing_counterparts(items: DataFrame, present: DataFrame, counterpart: Column, keys: list[str], strict: bool = False) -> DataFrame:
+    """Per group the items whose counterpart path (such as a mask) is not among the present paths; with ``strict`` one is an error."""
     wanted = items.withColumn("counterpart", counterpart)
     missing = wanted.join(present.select(F.col("path").alias("counterpart")), "counterpart", "left_anti")
-    return missing.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_missing"), F.min("counterpart").alias("example"))
+    found = missing.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_missing"), F.min("counterpart").alias("example"))
+    return require(found, F.lit(False), F.concat(F.col("n_missing").cast("string"), F.lit(" missing, such as "), "example")) if strict else found
 
 
 def label_integrity(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions.scoring import left_closed_bin, logit_loss, prior_corrected, right_closed_bin, sigmoid
-from siftmark.operators.joins import lookup, stored
+from siftmark.operators.joins import lookup
 from siftmark.operators.ranking import running_totals, tally
 
 # Metric names in reporting order.
@@ -66,16 +66,27 @@ def average_precision_of_curve() -> Column:
     return _two_classes(F.try_divide(gain, F.max("p").cast("double")))
 
 
+def harmonic_gap(n: Column, more: Column) -> Column:
+    """H(n + more) - H(n) of harmonic numbers: sixteen terms by themselves, the rest by their asymptotic series."""
+    n, more = n.cast("double"), more.cast("double")
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.lit(0.0), lambda acc, i: acc + 1.0 / (n + i) - 1.0 / (n + more + i))
+    low, high = n + 16.0, n + more + 16.0
+    rest = F.log1p(more / low)
+    for power, factor in ((1, 1 / 2), (2, -1 / 12), (4, 1 / 120), (6, -1 / 252), (8, 1 / 240)):
+        rest = rest + F.lit(factor) * (F.pow(high, F.lit(-power)) - F.pow(low, F.lit(-power)))
+    return first + rest
+
+
 def average_precision_positives_first() -> Column:
-    """Average precision when, among equal scores, the positives are listed before the negatives."""
+    """Average precision when, among equal scores, the positives are listed before the negatives.
+
+    A tie of m positives below t hits and f false alarms adds the sum of (t + j) / (t + f + j) for j = 1..m, which is
+    m - f * (H(t + f + m) - H(t + f)); so no tie becomes an array.
+    """
     above = F.col("tp") - F.col("pos")
     false_above = F.col("fp") - F.col("neg")
-    steps = F.transform(
-        F.sequence(F.lit(1).cast("bigint"), F.greatest(F.col("pos"), F.lit(1)).cast("bigint")),
-        lambda j: (above + j).cast("double") / (above + false_above + j),
-    )
-    gain = F.when(F.col("pos") > 0, F.aggregate(steps, F.lit(0.0), lambda acc, v: acc + v))
-    return F.try_divide(F.sum(gain), F.max("p").cast("double"))
+    gain = F.col("pos").cast("double") - false_above.cast("double") * harmonic_gap(above + false_above, F.col("pos"))
+    return F.try_divide(F.sum(F.when(F.col("pos") > 0, gain)), F.max("p").cast("double"))
 
 
 def loss_of_curve() -> Column:
@@ -233,7 +244,6 @@ def metric_set(
     """
     placed = curve(scores, keys, score, label, buckets)
     if thresholds is None:
-        placed = stored(placed, "curve")
         best = youden_of_curve() if strategy == "youden" else f1_of_curve()
         thresholds = placed.groupBy(*keys).agg(F.coalesce(best, F.lit(0.0)).alias("threshold"))
     rows = F.col("pos") + F.col("neg")

@@ -14,20 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftmark.operators.joins import fits_one_task, lookup
+from siftmark.operators.joins import lookup
 
-MAX_BUCKETS = 4096
 SKETCH_ACCURACY = 20_000
 
 
-def default_buckets(df: DataFrame) -> int:
-    """One bucket per shuffle partition: no (group, bucket) then exceeds an average partition.
+def partitions_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
-    A single bucket, which is the plain window, if all input fits one task anyway.
-    """
-    if fits_one_task(df):
-        return 1
-    return max(1, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+
+def default_buckets(df: DataFrame) -> int:
+    """One bucket per shuffle partition: no (group, bucket) then exceeds an average partition."""
+    return max(2, partitions_of(df))
 
 
 def range_bucketed(rows: DataFrame, source: DataFrame, order: str, buckets: int) -> DataFrame:
@@ -39,7 +37,7 @@ def range_bucketed(rows: DataFrame, source: DataFrame, order: str, buckets: int)
     """
     width = max(1, math.isqrt(buckets))
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = source.agg(F.array_sort(F.array_distinct(F.percentile_approx(order, shares, SKETCH_ACCURACY))).alias("c"))
+    cuts = source.agg(F.array_sort(F.array_distinct(F.percentile_approx(order, shares, max(SKETCH_ACCURACY, 4 * buckets)))).alias("c"))
     starts = F.sequence(F.lit(1), F.size("c"), F.lit(width))
     cut_rows = cuts.select(
         F.when(F.size("c") > 0, F.transform(starts, lambda i: F.slice(F.col("c"), i, F.lit(width)))).alias("r")
@@ -78,14 +76,6 @@ def running_totals(
     """
     buckets = default_buckets(rows) if buckets is None else buckets
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    if buckets <= 1:
-        group = Window.partitionBy(*keys)
-        upto = group.orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.select(
-            "*",
-            *[F.sum(m).over(upto).alias(f"{m}_cum") for m in measures],
-            *[F.sum(m).over(group).alias(f"{m}_total") for m in measures],
-        )
     parts = range_bucketed(rows, rows if source is None else source, order, buckets)
 
     inside = Window.partitionBy(*keys, "_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
@@ -154,23 +144,32 @@ def quantiles(
 
 def hash_digits(df: DataFrame) -> int:
     """Hex digits of the order key that give a few buckets per shuffle partition."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(4, math.ceil(math.log(max(2, 4 * partitions), 16))))
+    return max(1, math.ceil(math.log(max(2, 4 * partitions_of(df)), 16)))
+
+
+def text_digits(rows: DataFrame, order: str, tail: int = 8) -> Column:
+    """Leading characters that leave ``tail`` of the longest text: prefixes of one length keep the order of the texts."""
+    return rows.agg(F.greatest(F.max(F.length(order)) - tail, F.lit(1)).alias("d")).scalar()
 
 
 def hash_cuts(
-    rows: DataFrame, keys: list[str], order_key: str, takes: dict[str, Column], extra: DataFrame | None = None
+    rows: DataFrame,
+    keys: list[str],
+    order_key: str,
+    takes: dict[str, Column],
+    extra: DataFrame | None = None,
+    digits: Column | int | None = None,
 ) -> DataFrame:
     """Per group, its size ``n``, each requested take, and ``<take>_cut``: the order key of the last row taken.
 
     ``takes`` are expressions of ``n`` (and of columns of ``extra``, one row per group). A row belongs
     to a take if its key is not above the cut. Only prefix counts and the one prefix that holds the cut
-    are shuffled, so a hot group is neither moved nor sorted.
+    are shuffled, so a hot group is neither moved nor sorted. Order keys must be unique in a group: if a
+    row beyond a cut has the key of the cut, the job ends with an error instead of taking too many.
     """
-    digits = hash_digits(rows)
-    if fits_one_task(rows):
-        return _plain_cuts(rows, keys, order_key, takes, extra)
-    prefixed = rows.select(*keys, order_key).withColumn("_prefix", F.substring(F.col(order_key), 1, digits))
+    digits = hash_digits(rows) if digits is None else digits
+    digits = F.lit(digits) if isinstance(digits, int) else digits
+    prefixed = rows.select(*keys, order_key).withColumn("_prefix", F.substring(F.col(order_key), F.lit(1), digits))
     counts = prefixed.groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("_c"))
     in_order = Window.partitionBy(*keys).orderBy("_prefix")
     placed = counts.select(
@@ -191,28 +190,14 @@ def hash_cuts(
     ranked = lookup(prefixed, holding, [*keys, "_prefix"], "inner").withColumn(
         "_rank", F.row_number().over(inside) + F.col("_before")
     )
-    cuts = ranked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_rank") == F.col(t), F.col(order_key))).alias(f"{t}_cut") for t in takes]
-    )
-    return groups.join(cuts, keys, "left")
+    last = ranked.withColumn("_last", F.max("_rank").over(inside.rangeBetween(Window.currentRow, Window.currentRow)))
+    repeated = F.raise_error(F.concat(F.lit("order keys repeat at a cut: "), F.col(order_key))).cast("string")
 
+    def cut(take: str) -> Column:
+        key = F.when(F.col("_last") > F.col(take), repeated).otherwise(F.col(order_key))
+        return F.max(F.when(F.col("_rank") == F.col(take), key)).alias(f"{take}_cut")
 
-def _plain_cuts(
-    rows: DataFrame, keys: list[str], order_key: str, takes: dict[str, Column], extra: DataFrame | None
-) -> DataFrame:
-    """``hash_cuts`` as one window per group, for inputs that fit one task."""
-    group = Window.partitionBy(*keys)
-    ranked = rows.select(
-        *keys, order_key, F.count(F.lit(1)).over(group).alias("n"), F.row_number().over(group.orderBy(order_key)).alias("_rank")
-    )
-    if extra is not None:
-        ranked = ranked.join(extra, keys)
-    ranked = ranked.select("*", *[F.least(F.greatest(c.cast("bigint"), F.lit(0)), F.col("n")).alias(t) for t, c in takes.items()])
-    return ranked.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[F.max(t).alias(t) for t in takes],
-        *[F.max(F.when(F.col("_rank") == F.col(t), F.col(order_key))).alias(f"{t}_cut") for t in takes],
-    )
+    return groups.join(last.groupBy(*keys).agg(*[cut(t) for t in takes]), keys, "left")
 
 
 def taken(order_key: str, take: str) -> Column:
@@ -222,10 +207,6 @@ def taken(order_key: str, take: str) -> Column:
 
 def hash_positions(rows: DataFrame, keys: list[str], order_key: str, name: str = "pos") -> DataFrame:
     """Add the 0-based position of every row in hash order inside its group."""
-    if fits_one_task(rows):
-        group = Window.partitionBy(*keys)
-        position = (F.row_number().over(group.orderBy(order_key)) - 1).cast("bigint")
-        return rows.select("*", position.alias(name), F.count(F.lit(1)).over(group).alias(f"{name}_size"))
     digits = hash_digits(rows)
     prefixed = rows.withColumn("_prefix", F.substring(F.col(order_key), 1, digits))
     in_order = Window.partitionBy(*keys).orderBy("_prefix")

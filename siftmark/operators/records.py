@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from siftmark.functions import paths as P
 from siftmark.functions.draws import half_even, order_key, take_size, validation_part
 from siftmark.operators.joins import lookup, require
-from siftmark.operators.ranking import hash_cuts, hash_positions, taken
+from siftmark.operators.ranking import hash_cuts, hash_positions, taken, text_digits
 
 
 def inventory(files: DataFrame, path: str = "path") -> DataFrame:
@@ -200,6 +200,38 @@ def calibrate(
     return _move_normals(records, calibration_size(fraction, count, min_train), "train", "calib", "calib", seed + 1)
 
 
+def split_in_one_pass(
+    records: DataFrame,
+    injection: DataFrame,
+    fraction: float,
+    calibration: Column,
+    seed: int = 0,
+) -> DataFrame:
+    """Injection, normal hold-out and calibration as one projection of the inventory.
+
+    The draws take disjoint rows: anomalies of test, then normals of train, then of those the ones that were not held out. So
+    only cuts are derived, a row per category and draw, and the inventory is read for their counts and once more for its
+    rows; no moved table stands between. Equal to ``inject``, ``hold_out`` and ``calibrate`` in turn.
+    """
+    category = ["category"]
+    train_normal = (F.col("label") == 0) & (F.col("split") == "train")
+    keyed = records.withColumn("hold_key", order_key("holdout", "path", seed)).withColumn("calib_key", order_key("calib", "path", seed + 1))
+    normals = keyed.where(train_normal)
+    held = hash_cuts(normals, category, "hold_key", {"held": F.ceil(F.col("n") * F.lit(float(fraction)))}).select("category", "held_cut")
+    pool = lookup(normals, held, category).where(~taken("hold_key", "held"))
+    calib = hash_cuts(pool, category, "calib_key", {"calib": calibration}).select("category", "calib_cut")
+    drawn = injection.select("category", "type", "drawn_cut", "n_val_cut")
+    placed = lookup(lookup(lookup(keyed.withColumn("draw_key", order_key("inject", "path", seed)), drawn, ["category", "type"]), held, category), calib, category)
+    anomaly = (F.col("split") == "test") & (F.col("label") == 1)
+    split = (
+        F.when(anomaly & taken("draw_key", "n_val"), "val")
+        .when(anomaly & taken("draw_key", "drawn"), "train")
+        .when(train_normal & taken("hold_key", "held"), "val")
+        .when(train_normal & taken("calib_key", "calib"), "calib")
+    )
+    return placed.withColumn("split", split.otherwise(F.col("split"))).select(*records.columns)
+
+
 def _move_normals(records: DataFrame, size: Column, source: str, target: str, purpose: str, seed: int) -> DataFrame:
     keyed = records.withColumn("order_key", order_key(purpose, "path", seed))
     pool = keyed.where((F.col("label") == 0) & (F.col("split") == source))
@@ -250,9 +282,12 @@ def keep_anomalies(records: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return placed.where(~drop).select(*records.columns)
 
 
-def cap_preserving_classes(records: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """At most ``n`` rows per group, in proportion to the classes and at least one of each."""
-    keyed = records.withColumn("order_key", order_key("cap", "path", seed))
+def cap_preserving_classes(records: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """At most ``n`` rows per group, in proportion to the classes and at least one of each: the first of each class by path.
+
+    Of a group with one class the first ``n`` rows stay. The cuts are found from counts of path prefixes of one length.
+    """
+    keyed = records.withColumn("order_key", F.col("path"))
     sizes = records.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
     total = F.col("pos") + F.col("neg")
     share = F.greatest(F.lit(1), F.least(F.col("pos"), half_even(F.lit(float(n)) * F.col("pos") / total)))
@@ -264,7 +299,7 @@ def cap_preserving_classes(records: DataFrame, keys: list[str], n: int, seed: in
         F.struct(F.lit(0).alias("label"), F.coalesce(quota, F.col("q_neg")).alias("quota")),
         F.struct(F.lit(1).alias("label"), F.coalesce(quota, F.col("q_pos")).alias("quota")),
     )).alias("side")).select(*keys, "side.label", "side.quota")
-    cuts = hash_cuts(keyed, [*keys, "label"], "order_key", {"kept": F.col("quota")}, sides)
+    cuts = hash_cuts(keyed, [*keys, "label"], "order_key", {"kept": F.col("quota")}, sides, text_digits(keyed, "order_key"))
     placed = lookup(keyed, cuts.select(*keys, "label", "kept_cut"), [*keys, "label"])
     return placed.where(taken("order_key", "kept")).select(*records.columns)
 

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions.draws import hash_slot, order_key
-from siftmark.operators.joins import stored
-from siftmark.operators.metrics import RESAMPLE_METRICS, curve, curve_of
+from siftmark.operators.metrics import RESAMPLE_METRICS, average_precision_row_order, curve, curve_of
 from siftmark.operators.ranking import hash_positions, tally
 
 
@@ -69,14 +68,23 @@ def class_sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def point_values(scores: DataFrame, keys: list[str], metric: str, position: str | None) -> DataFrame:
+    """The metric of the rows themselves, ``value``. Average precision takes tied rows in the order of ``position``, a unique number."""
+    if metric != "aupr":
+        return curve(scores, keys).groupBy(*keys).agg(RESAMPLE_METRICS[metric]().alias("value"))
+    if position is None:
+        raise ValueError("average precision needs the column that numbers the rows")
+    return average_precision_row_order(scores, keys, position).withColumnRenamed("aupr_row_order", "value")
+
+
 def bootstrap_interval(
-    scores: DataFrame, keys: list[str], metric: str = "auroc", n_boot: int = 1000, alpha: float = 0.05, seed: int = 0
+    scores: DataFrame, keys: list[str], metric: str = "auroc", n_boot: int = 1000, alpha: float = 0.05, seed: int = 0, position: str | None = None
 ) -> DataFrame:
     """Point value, interquartile mean and percentile interval per group; single-class groups are noted."""
     values = replicate_metric(scores, keys, {"a": "score"}, metric, n_boot, seed)
     low, high = percentile_interval("value", alpha)
     spread = values.groupBy(*keys).agg(interquartile_mean("value").alias("iqm"), low.alias("lo"), high.alias("hi"))
-    point = curve(scores, keys).groupBy(*keys).agg(RESAMPLE_METRICS[metric]().alias("point"))
+    point = point_values(scores, keys, metric, position).withColumnRenamed("value", "point")
     sizes = class_sizes(scores, keys)
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     joined = sizes.join(point, keys, "left").join(spread, keys, "left")
@@ -90,18 +98,18 @@ def bootstrap_interval(
     )
 
 
-def pair_scores(a: DataFrame, b: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
+def pair_scores(a: DataFrame, b: DataFrame, keys: list[str], path: str = "path", position: str | None = None) -> DataFrame:
     """Both runs' scores per item of the groups both cover; a full join, so one-sided items stay visible."""
-    left = a.select(*keys, path, F.col("label").alias("label_a"), F.col("score").alias("score_a"))
+    left = a.select(*keys, path, *[position] * bool(position), F.col("label").alias("label_a"), F.col("score").alias("score_a"))
     right = b.select(*keys, path, F.col("label").alias("label_b"), F.col("score").alias("score_b"))
     return left.join(right, [*keys, path], "full")
 
 
 def paired_bootstrap(
-    a: DataFrame, b: DataFrame, keys: list[str], metric: str = "auroc", n_boot: int = 1000, alpha: float = 0.05, seed: int = 0
+    a: DataFrame, b: DataFrame, keys: list[str], metric: str = "auroc", n_boot: int = 1000, alpha: float = 0.05, seed: int = 0, position: str | None = None
 ) -> DataFrame:
     """B against A on the same draws; groups whose test sets differ or hold one class are noted, not scored."""
-    pairs = stored(pair_scores(a, b, keys), "pairs")
+    pairs = pair_scores(a, b, keys, position=position)
     shared = pairs.groupBy(*keys).agg(
         F.max(F.col("label_a").isNotNull()).alias("in_a"),
         F.max(F.col("label_b").isNotNull()).alias("in_b"),
@@ -124,8 +132,9 @@ def paired_bootstrap(
         F.avg((F.col("delta") > 0).cast("double")).alias("p_improve"),
     )
     arms = F.array(F.struct(F.lit("a").alias("arm"), F.col("score_a").alias("score")), F.struct(F.lit("b").alias("arm"), F.col("score_b").alias("score")))
-    long = rows.select(*keys, "label", F.explode(arms).alias("s")).select(*keys, "label", "s.arm", "s.score")
-    points = curve(long, [*keys, "arm"]).groupBy(*keys, "arm").agg(RESAMPLE_METRICS[metric]().alias("value"))
+    numbered = [position] * bool(position)
+    long = rows.select(*keys, "label", *numbered, F.explode(arms).alias("s")).select(*keys, "label", *numbered, "s.arm", "s.score")
+    points = point_values(long, [*keys, "arm"], metric, position)
     points = points.groupBy(*keys).agg(
         F.max(F.when(F.col("arm") == "a", F.col("value"))).alias("a"), F.max(F.when(F.col("arm") == "b", F.col("value"))).alias("b")
     ).withColumn("delta", F.col("b") - F.col("a"))

@@ -13,7 +13,7 @@ QUERIES: dict[str, Build] = {}
 SQL_TWINS: dict[str, str] = {}
 
 # Modules that register queries when imported.
-FAMILIES = ["headline", "metric_queries", "record_queries", "comparison_queries", "feature_queries"]
+FAMILIES = ["headline", "metric_queries", "record_queries", "comparison_queries", "feature_queries", "source_queries"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:

@@ -10,7 +10,7 @@ from siftmark.functions.arrays import has_random_step
 from siftmark.plans import bindings as B
 from siftmark.plans.catalogue import query
 from siftmark.plans.headline import rounded
-from siftmark.plans.metric_queries import EPOCH_KEYS, EPOCH_METRICS, EPOCH_STATS, FOLD, SELECTOR, trajectory
+from siftmark.plans.metric_queries import COLLAPSE, EPOCH_KEYS, EPOCH_METRICS, EPOCH_STATS, FOLD, SELECTOR, collapsed_runs, trajectory
 from siftmark.plans.sql_tables import AP_OF_CURVE, AUROC_OF_CURVE, DOCS, SCORES, r6
 
 N_BOOT, ALPHA = 40, 0.05
@@ -25,7 +25,7 @@ SPREAD_AUROC = """
 DRAWN = f"""
 pos AS (SELECT *, score + label * 0.35::DOUBLE AS score_b, row_number() OVER (PARTITION BY category, label ORDER BY md5('0:slot:' || path)) - 1 AS pos,
                count(*) OVER (PARTITION BY category, label) AS size FROM docs),
-draws AS (SELECT category, label, rep, ('0x' || substr(md5('0:boot:' || category || '/' || label || '/' || rep || '/' || pos), 1, 8))::BIGINT % size AS pos
+draws AS (SELECT category, label, rep, ('0x' || substr(md5('0:boot:' || category || '/' || label || '/' || rep || '/' || pos), 1, 15))::BIGINT % size AS pos
           FROM pos, range({N_BOOT}) t(rep)),
 drawn AS (SELECT d.category, d.rep, p.label, arm, CASE WHEN arm = 'a' THEN score ELSE score_b END AS score
           FROM draws d JOIN pos p ON d.category = p.category AND d.label = p.label AND d.pos = p.pos, (VALUES ('a'), ('b')) v(arm)),
@@ -55,6 +55,26 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "point", "iqm", "lo", "hi", "width")
 
 
+@query(
+    "bootstrap_interval_aupr",
+    f"""WITH {DOCS}, {DRAWN},
+    ap AS (SELECT category, rep, sum(CASE WHEN label = 1 THEN hits::DOUBLE / place END) / max(p) AS value FROM (
+      SELECT category, rep, label, row_number() OVER w AS place, sum(label) OVER w AS hits, sum(label) OVER (PARTITION BY category, rep)::DOUBLE AS p
+      FROM drawn WHERE arm = 'a' WINDOW w AS (PARTITION BY category, rep ORDER BY score DESC, label DESC ROWS UNBOUNDED PRECEDING)) GROUP BY ALL),
+    pt AS (SELECT category, sum(CASE WHEN label = 1 THEN hits::DOUBLE / place END) / max(p) AS value FROM (
+      SELECT category, label, row_number() OVER w AS place, sum(label) OVER w AS hits, sum(label) OVER (PARTITION BY category)::DOUBLE AS p
+      FROM docs WINDOW w AS (PARTITION BY category ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING)) GROUP BY ALL),
+    ci AS (SELECT category, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM ap GROUP BY category)
+    SELECT s.category, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('pt.value')} END AS point, CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('lo')} END AS lo,
+      CASE WHEN n_pos > 0 AND n_pos < n THEN {r6('hi')} END AS hi FROM sizes s LEFT JOIN pt USING (category) LEFT JOIN ci USING (category)""",
+)
+def bootstrap_interval_aupr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision: point in row order among ties, replicates with positives first."""
+    rows = B.document_scores(spark, sf_dir).withColumn("place", F.element_at(F.split("path", "/"), -1).cast("long"))
+    found = resample.bootstrap_interval(rows, ["category"], "aupr", n_boot=N_BOOT, alpha=ALPHA, position="place")
+    return rounded(found.select("category", "point", "lo", "hi"), "point", "lo", "hi")
+
+
 def _shifted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.col("score") + F.col("label") * F.lit(0.35))
 
@@ -243,8 +263,11 @@ def comparable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "protocol_fingerprint",
-    """SELECT p_partkey AS run, '{' || concat_ws(',', '"injection_val_share":"' || CASE WHEN p_size > 25 THEN 'per-category (adaptive)' ELSE CAST(p_size AS VARCHAR) END || '"',
-      '"metrics":"' || array_to_string(list_sort([p_type, p_brand]), ',') || '"', '"val_share_mode":"' || CASE WHEN p_size > 25 THEN 'adaptive' ELSE 'fixed' END || '"',
+    """SELECT p_partkey AS run, '{' || concat_ws(',', '"anomaly_fraction":null', '"claim_seeds":["1","2","3"]', '"exploration_seeds":[]', '"floors_validated":null',
+      '"injection_val_share":"' || CASE WHEN p_size > 25 THEN 'per-category (adaptive)' ELSE CAST(p_size AS VARCHAR) END || '"', '"injection_val_share_justification":null',
+      '"metrics":["' || array_to_string(list_sort([p_type, p_brand]), '","') || '"]', '"name":"' || CASE WHEN p_size > 40 THEN p_brand ELSE 'unnamed' END || '"',
+      '"num_train_anomalies":null', '"reporting":"per_category"', '"use_validation":null', '"val_anomaly_floor":null',
+      '"val_share_bounds":["0.1","' || CAST(p_size AS VARCHAR) || '"]', '"val_share_mode":"' || CASE WHEN p_size > 25 THEN 'adaptive' ELSE 'fixed' END || '"',
       '"val_split":"' || CAST(p_size AS VARCHAR) || '"') || '}' AS fingerprint FROM part""",
 )
 def protocol_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +277,9 @@ def protocol_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("metrics"), F.concat_ws(",", "p_type", "p_brand"),
         F.lit("val_share_mode"), F.when(F.col("p_size") > 25, "adaptive").otherwise("fixed"),
         F.lit("injection_val_share"), size,
+        F.lit("val_share_min"), F.lit("0.1"),
+        F.lit("claim_seeds"), F.lit("1,2,3"),
+        F.lit("name"), F.when(F.col("p_size") > 40, F.col("p_brand")),
         F.lit("num_epochs"), F.col("p_name"),
     )
     return B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("run"), settings.fingerprint(config).alias("fingerprint"))
@@ -327,18 +353,20 @@ report AS (
          concat_ws(',', CASE WHEN test_anomaly < 15 THEN 'low_test_anomalies' END, CASE WHEN val_rows > 0 AND val_anomaly < 10 THEN 'low_val_anomalies' END,
            CASE WHEN (ratio < 0.05 OR ratio > 0.95) AND NOT single THEN 'severe_imbalance' END, CASE WHEN train_anomaly < 8 THEN 'low_train_anomalies' END,
            CASE WHEN p.auroc < 0.5 THEN 'inverted' END, CASE WHEN single THEN 'single_class_train' END, CASE WHEN val_rows = 0 THEN 'no_val' END) AS caveats,
-         NOT (single OR l.best_epoch < 0) AS reportable
+         CASE WHEN c.n_epochs > 0 THEN c.triggered <> '' END AS collapsed, NOT (single OR l.best_epoch < 0 OR coalesce(c.n_epochs > 0 AND c.triggered <> '', false)) AS reportable
   FROM flags f JOIN per_seed p ON f.dataset = p.dataset AND f.category = p.category AND f.seed = p.seed
-  JOIN last_step l ON f.dataset = l.dataset AND f.category = l.category AND f.seed = l.seed)
+  JOIN last_step l ON f.dataset = l.dataset AND f.category = l.category AND f.seed = l.seed
+  LEFT JOIN named c ON f.dataset = c.dataset AND f.category = c.category AND f.seed = c.seed)
 """
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per run: split counts, selected epoch, test metrics, tier, caveats, reportability."""
+    """One row per run: split counts, selected epoch, test metrics, tier, caveats, collapse, reportability."""
     rows = B.scores(spark, sf_dir).withColumn("split", F.when(F.col("line_no") == 3, "train").otherwise(F.col("split")))
     flags = profile.split_flags(rows, B.GROUP)
     chosen = selection.best_epochs(trajectory(spark, sf_dir), B.GROUP, **SELECTOR).select(*B.GROUP, "best_epoch", "selection_failed")
-    joined = flags.join(_per_seed(spark, sf_dir), B.GROUP).join(chosen, B.GROUP)
+    verdicts = collapsed_runs(spark, sf_dir, chosen).select(*B.GROUP, "collapsed")
+    joined = flags.join(_per_seed(spark, sf_dir), B.GROUP).join(chosen, B.GROUP).join(verdicts, B.GROUP, "left")
     joined = joined.withColumn("inverted", reliability.inverted(F.col("auroc")))
     caveat_list = reliability.caveats(reliability.CAVEATS)
     return joined.select(
@@ -347,16 +375,17 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("net"), F.col("seed").cast("string")).alias("backbone"),
         "train_rows", "val_rows", "test_rows", "best_epoch", "auroc", "aupr",
         F.array_join(caveat_list, ",").alias("caveats"),
-        reliability.reportable(caveat_list, F.lit(None).cast("boolean"), F.col("selection_failed")).alias("reportable"),
+        "collapsed",
+        reliability.reportable(caveat_list, F.col("collapsed"), F.col("selection_failed")).alias("reportable"),
     )
 
 
-FULL_REPORT = f"{SCORES}, {EPOCH_STATS}, {EPOCH_METRICS}, {FOLD}, {SEED_AUROC}, {REPORT}"
+FULL_REPORT = f"{SCORES}, {EPOCH_STATS}, {EPOCH_METRICS}, {FOLD}, {COLLAPSE}, {SEED_AUROC}, {REPORT}"
 
 
 @query(
     "report_table",
-    f"""WITH RECURSIVE {FULL_REPORT} SELECT {G}, tier, backbone, train_rows, val_rows, test_rows, best_epoch, {r6('auroc')} AS auroc, {r6('aupr')} AS aupr, caveats, reportable
+    f"""WITH RECURSIVE {FULL_REPORT} SELECT {G}, tier, backbone, train_rows, val_rows, test_rows, best_epoch, {r6('auroc')} AS auroc, {r6('aupr')} AS aupr, caveats, collapsed, reportable
     FROM report""",
 )
 def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,3 +431,9 @@ def reportable_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mean_against_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     frozen = spark.createDataFrame([("O", 0.5)], "dataset string, frozen double")
     return reliability.mean_against_frozen(_per_seed(spark, sf_dir), ["dataset"], "auroc", frozen)
+
+
+@query("single_tier_mean", f"WITH {SCORES}, {SEED_AUROC} SELECT {r6('avg(auroc)')} AS auroc FROM per_seed")
+def single_tier_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs declared in one tier; a second tier would end the job."""
+    return rounded(reliability.single_tier_mean(_per_seed(spark, sf_dir).withColumn("tier", F.lit("native")), "auroc"), "auroc")

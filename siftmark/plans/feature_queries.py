@@ -145,16 +145,16 @@ def false_alarm_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALARMS_SQL = f"""WITH {SCORES}, {LINES_SQL}
-    SELECT s.dataset, s.category, s.seed, s.path, {r6('s.two_view')} AS score, {r6('l.line')} AS line, {r6('s.two_view - l.line')} AS margin
+    SELECT s.dataset, s.category, s.seed, s.path, s.label, {r6('s.two_view')} AS score, {r6('l.line')} AS line, {r6('s.two_view - l.line')} AS margin
     FROM scores s JOIN lines l ON s.dataset = l.dataset AND s.category = l.category AND s.seed = l.seed
-    WHERE s.split = 'test' AND s.label = 0 AND s.two_view > l.line"""
+    WHERE s.split = 'test' AND s.two_view > l.line"""
 
 
 @query("alarms_with_margin", ALARMS_SQL)
 def alarms_with_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, lines = _lines(spark, sf_dir)
-    found = conformal.alarms(scored.where("split = 'test' and label = 0"), lines, B.GROUP)
-    return rounded(found.select(*B.GROUP, "path", "score", "line", "margin"), "score", "line", "margin")
+    found = conformal.alarms(scored.where("split = 'test'"), lines, B.GROUP)
+    return rounded(found.select(*B.GROUP, "path", "label", "score", "line", "margin"), "score", "line", "margin")
 
 
 @query("logistic_probe")
@@ -406,7 +406,7 @@ def stage_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KEY_SQL = "CASE WHEN model LIKE '%[x2]' THEN 'ours two views' WHEN model LIKE 'ours%' THEN 'ours one view' ELSE split_part(model, '+', 1) END"
 MS_SQL = "CASE WHEN legacy AND model LIKE '%[x2]' THEN ms * 2 ELSE ms END"
-BEST = f"best AS (SELECT {KEY_SQL} AS key, min({MS_SQL}) AS best_ms FROM latency WHERE status = 'ok' GROUP BY ALL)"
+BEST = f"best AS (SELECT {KEY_SQL} AS key, min({MS_SQL}) AS best_ms FROM latency WHERE status = 'ok' AND model LIKE '%+full%' GROUP BY ALL)"
 
 
 def _best(rows: DataFrame) -> DataFrame:
@@ -421,8 +421,8 @@ def best_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "time_verdict",
-    f"""WITH {LATENCY}, n AS (SELECT {KEY_SQL} AS key, min(ms) AS ms FROM latency WHERE status = 'ok' AND precision = 'fp32' GROUP BY ALL),
-    o AS (SELECT {KEY_SQL} AS key, min({MS_SQL}) AS ms FROM latency WHERE status = 'ok' AND precision = 'fp16' GROUP BY ALL)
+    f"""WITH {LATENCY}, n AS (SELECT {KEY_SQL} AS key, min(ms) AS ms FROM latency WHERE status = 'ok' AND model LIKE '%+full%' AND precision = 'fp32' GROUP BY ALL),
+    o AS (SELECT {KEY_SQL} AS key, min({MS_SQL}) AS ms FROM latency WHERE status = 'ok' AND model LIKE '%+full%' AND precision = 'fp16' GROUP BY ALL)
     SELECT n.key, {r6('n.ms')} AS new_ms, {r6('o.ms')} AS old_ms, {r6('(n.ms - o.ms) / o.ms')} AS change, abs((n.ms - o.ms) / o.ms) <= 0.15 AS passed FROM n JOIN o ON n.key = o.key""",
 )
 def time_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,8 +505,9 @@ def stream_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, sink, state = (scratch_dir(spark, p) for p in ("epoch-log", "selection", "selection-state"))
     rows = trajectory(spark, sf_dir)
     rows.select(F.concat_ws("/", *B.GROUP).alias("run"), "epoch", "value", "secondary").write.mode("overwrite").json(log)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", epochs.ROCKSDB)
-    stream = epochs.live_selection(epochs.read_epoch_log(spark, log), **SELECTOR)
+    own = spark.newSession()  # the state store is a setting of the session
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", epochs.ROCKSDB)
+    stream = epochs.live_selection(epochs.read_epoch_log(own, log), **SELECTOR)
     alarms.run_to_end(stream, sink, state)
     latest = spark.read.schema(epochs.OUTPUT).parquet(sink).groupBy("run").agg(F.max_by(F.struct("*"), "epochs_ran").alias("s"))
     out = latest.select("run", "s.best_epoch", "s.best_value", "s.tie_wins", "s.epochs_ran", "s.stop_reason")
@@ -515,13 +516,25 @@ def stream_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_alarms", ALARMS_SQL)
 def stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test normals written as a score log and streamed against lines set beforehand."""
+    """Test rows of both classes written as a score log and streamed against lines set beforehand."""
     log, sink, state = (scratch_dir(spark, p) for p in ("score-log", "alarms", "alarm-state"))
     scored, lines = _lines(spark, sf_dir)
-    test = scored.where("split = 'test' and label = 0")
+    test = scored.where("split = 'test'")
     test.select("dataset", "category", F.col("seed").cast("int").alias("seed"), "path", "label", "score").write.mode("overwrite").parquet(log)
     line_table = scratch_dir(spark, "lines")
     lines.write.mode("overwrite").parquet(line_table)
     stream = alarms.live_alarms(alarms.read_scores(spark, log), spark.read.parquet(line_table), B.GROUP)
-    alarms.run_to_end(stream.select(*B.GROUP, "path", "score", "line", "margin"), sink, state)
+    alarms.run_to_end(stream.select(*B.GROUP, "path", "label", "score", "line", "margin"), sink, state)
     return rounded(spark.read.parquet(sink), "score", "line", "margin")
+
+
+@query(
+    "grey_values",
+    f"""SELECT vec_id, {r6('0.299::DOUBLE * embedding[1] + 0.587::DOUBLE * embedding[2] + 0.114::DOUBLE * embedding[3]')} AS luminance,
+    {r6('(embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE) / 3.0::DOUBLE')} AS gray FROM embeddings""",
+)
+def grey_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Luminance and plain grey of three channels."""
+    channels = [F.get("embedding", i).cast("double") for i in range(3)]
+    rows = B.table(spark, sf_dir, "embeddings").select("vec_id", grids.luminance(*channels).alias("luminance"), grids.gray(*channels).alias("gray"))
+    return rounded(rows, "luminance", "gray")

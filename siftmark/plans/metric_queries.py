@@ -62,22 +62,25 @@ def average_precision_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.average_precision_row_order(scored, ["category"], "doc_id"), "aupr_row_order")
 
 
+GS = f"{G}, split"
+
+
 @query(
     "roc_points",
-    f"""WITH {SCORES}, {VAL}, {curve('val_rows', G)}
-    SELECT {G}, {r6('score')} AS threshold, CASE WHEN n > 0 THEN {r6('fp / n')} END AS fpr, CASE WHEN p > 0 THEN {r6('tp / p')} END AS tpr FROM curve""",
+    f"""WITH {SCORES}, {curve('scores', GS, 'two_view')}
+    SELECT {GS}, {r6('score')} AS threshold, CASE WHEN n > 0 THEN {r6('fp / n')} END AS fpr, CASE WHEN p > 0 THEN {r6('tp / p')} END AS tpr FROM curve""",
 )
 def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.roc_points(_val(spark, sf_dir), B.GROUP), "threshold", "fpr", "tpr")
+    return rounded(metrics.roc_points(B.two_view_scores(spark, sf_dir), [*B.GROUP, "split"]), "threshold", "fpr", "tpr")
 
 
 @query(
     "pr_points",
-    f"""WITH {SCORES}, {VAL}, {curve('val_rows', G)}
-    SELECT {G}, {r6('score')} AS threshold, {r6('tp / (tp + fp)')} AS precision, CASE WHEN p > 0 THEN {r6('tp / p')} END AS recall FROM curve""",
+    f"""WITH {SCORES}, {curve('scores', GS, 'two_view')}
+    SELECT {GS}, {r6('score')} AS threshold, {r6('tp / (tp + fp)')} AS precision, CASE WHEN p > 0 THEN {r6('tp / p')} END AS recall FROM curve""",
 )
 def pr_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.pr_points(_val(spark, sf_dir), B.GROUP), "threshold", "precision", "recall")
+    return rounded(metrics.pr_points(B.two_view_scores(spark, sf_dir), [*B.GROUP, "split"]), "threshold", "precision", "recall")
 
 
 YOUDEN = f"""
@@ -314,9 +317,14 @@ def selection_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(selection.selection_history(trajectory(spark, sf_dir), B.GROUP, **SELECTOR), "best_value")
 
 
-@query(
-    "collapse_flags",
-    f"""WITH RECURSIVE {SCORES}, {EPOCH_STATS}, {EPOCH_METRICS}, {FOLD}, judged AS (
+def collapsed_runs(spark: SparkSession, sf_dir: str, selected: DataFrame) -> DataFrame:
+    """The verdict of every run on its selected epoch."""
+    stats = numbered(collapse.class_statistics(B.epoch_scores(spark, sf_dir), EPOCH_KEYS))
+    return collapse.detect_collapse(stats, B.GROUP, selected)
+
+
+COLLAPSE = f"""
+judged AS (
       SELECT s.*, l.best_epoch, s.gap IS NOT NULL AS known, sqrt((normal_std * normal_std + anomaly_std * anomaly_std) / 2) AS pooled
       FROM numbered_stats s JOIN last_step l ON s.dataset = l.dataset AND s.category = l.category AND s.seed = l.seed),
     runs AS (
@@ -332,13 +340,29 @@ def selection_history(spark: SparkSession, sf_dir: str) -> DataFrame:
                CASE WHEN n_epochs >= 5 AND sign_consistency < 0.75 THEN 'gap changes sign' END,
                CASE WHEN d_prime < 0.35 THEN 'separation below its own spread' END) AS triggered
       FROM runs)
+"""
+
+
+@query(
+    "collapse_flags",
+    f"""WITH RECURSIVE {SCORES}, {EPOCH_STATS}, {EPOCH_METRICS}, {FOLD}, {COLLAPSE}
     SELECT {G}, n_epochs, {r6('max_abs_gap')} AS max_abs_gap, {r6('median_abs_gap')} AS median_abs_gap, {r6('final_gap')} AS final_gap,
            {r6('selected_gap')} AS selected_gap, {r6('d_prime')} AS d_prime, {r6('sign_consistency')} AS sign_consistency, triggered,
            CASE WHEN n_epochs > 0 THEN triggered <> '' END AS collapsed
     FROM named""",
 )
 def collapse_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = numbered(collapse.class_statistics(B.epoch_scores(spark, sf_dir), EPOCH_KEYS))
-    selected = selection.best_epochs(trajectory(spark, sf_dir), B.GROUP, **SELECTOR)
-    found = collapse.detect_collapse(stats, B.GROUP, selected)
+    found = collapsed_runs(spark, sf_dir, selection.best_epochs(trajectory(spark, sf_dir), B.GROUP, **SELECTOR))
     return rounded(found, "max_abs_gap", "median_abs_gap", "final_gap", "selected_gap", "d_prime", "sign_consistency")
+
+
+@query(
+    "epoch_table",
+    f"""WITH RECURSIVE {SCORES}, {EPOCH_STATS}, {EPOCH_METRICS}
+    SELECT {G}, epoch, value, secondary, CASE WHEN epoch % 2 = 0 THEN {r6('value * 2')} END AS grad_norm FROM trajectory""",
+)
+def epoch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs with the gradient norms of the epochs that logged them."""
+    epochs = trajectory(spark, sf_dir)
+    norms = rounded(epochs.where("epoch % 2 = 0").select(*B.GROUP, "epoch", (F.col("value") * 2).alias("grad_norm")), "grad_norm")
+    return selection.epoch_table(epochs, norms, B.GROUP)

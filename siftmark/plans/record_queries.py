@@ -12,15 +12,9 @@ from siftmark.plans import bindings as B
 from siftmark.plans.catalogue import query
 from siftmark.plans.headline import rounded
 from siftmark.plans.sql_tables import DOCS, FILES, GRIDS, r6
-from siftmark.session import written
 from siftmark.sources import sinks
 
 
-def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``base_records`` parsed once, for pipelines that read them several times."""
-    return written(base_records(spark, sf_dir), "records")
-
-
 def base_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory with every record still in the split of its folder."""
     return records.inventory(B.file_paths(spark, sf_dir)).withColumn("split", F.col("folder"))
@@ -132,7 +126,7 @@ INJECTED = f"{FILES}, {COUNTS} {ADAPTIVE}, {INJECT}"
 
 def injected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Records after the per-type injection, and the cuts it used."""
-    rows = stored_records(spark, sf_dir)
+    rows = base_records(spark, sf_dir)
     cuts = records.injection_cuts(rows.where("split = 'test' and label = 1"), FRACTION, shares=_shares(rows))
     return records.inject(rows, cuts), cuts
 
@@ -171,13 +165,9 @@ calibrated AS (SELECT i.* REPLACE (CASE WHEN c.moves THEN 'calib' ELSE split END
 
 
 def full_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Injection, normal hold-out, then calibration normals where enough stay in training.
-
-    Each step reads its input twice (for the cuts and for the rows), so the steps are stored between.
-    """
-    moved = written(injected(spark, sf_dir)[0], "injected")
-    held = written(records.hold_out(moved, 0.1), "held-out")
-    return records.calibrate(held, count=110, min_train=1000)
+    """Injection, normal hold-out, then calibration normals where enough stay in training."""
+    calibration = records.calibration_size(count=110, min_train=1000)
+    return records.split_in_one_pass(base_records(spark, sf_dir), injected(spark, sf_dir)[1], 0.1, calibration)
 
 
 @query("calibration_split", f"WITH {INJECTED}, {HOLDOUT} SELECT path, category, type, label, split FROM calibrated")
@@ -199,7 +189,7 @@ swapped AS (SELECT i.* REPLACE (CASE WHEN p.split = 'train' AND rk <= k THEN 'te
 
 @query("swap_split", f"WITH {INJECTED}, {SWAP} SELECT path, category, label, split FROM swapped")
 def swap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.swap(written(injected(spark, sf_dir)[0], "injected"), 0.5).select("path", "category", "label", "split")
+    return records.swap(injected(spark, sf_dir)[0], 0.5).select("path", "category", "label", "split")
 
 
 STRATIFIED = f"""
@@ -243,7 +233,7 @@ def keep_training_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {FILES}, sized AS (SELECT category, folder, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM records GROUP BY ALL),
     q1 AS (SELECT *, CASE WHEN pos * neg > 0 THEN greatest(1, least(pos, round_even(200.0::DOUBLE * pos / (pos + neg), 0)::BIGINT)) ELSE least(pos, 200) END AS q_pos FROM sized),
     q2 AS (SELECT *, CASE WHEN pos * neg > 0 THEN greatest(1, least(neg, 200 - q_pos)) ELSE least(neg, 200) END AS q_neg FROM q1),
-    ranked AS (SELECT r.path, r.category, r.folder, r.label, row_number() OVER (PARTITION BY r.category, r.folder, r.label ORDER BY {_key('cap', path='r.path')}) AS rk,
+    ranked AS (SELECT r.path, r.category, r.folder, r.label, row_number() OVER (PARTITION BY r.category, r.folder, r.label ORDER BY r.path) AS rk,
                  CASE WHEN pos + neg <= 200 THEN pos + neg WHEN r.label = 1 THEN q_pos ELSE q_neg END AS quota
                FROM records r JOIN q2 USING (category, folder))
     SELECT path, category, folder, label FROM ranked WHERE rk <= quota""",
@@ -337,7 +327,7 @@ regimes AS (SELECT category, count(*) FILTER (WHERE split = 'train' AND label =
     FROM regimes""",
 )
 def regime_and_class_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(full_split(spark, sf_dir), "split")
+    rows = full_split(spark, sf_dir)
     counts = rows.where("split = 'train'").groupBy("category").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
@@ -353,7 +343,7 @@ def regime_and_class_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM calibrated c JOIN regimes r ON c.category = r.category""",
 )
 def regime_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(full_split(spark, sf_dir), "split")
+    rows = full_split(spark, sf_dir)
     return profile.apply_regime(rows, ["category"], profile.regime(rows, ["category"], 160)).select("path", "category", "label", "split")
 
 
@@ -398,7 +388,7 @@ def oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
     "synthetic_from_normals",
     f"""WITH {DOCS}, sized AS (SELECT category, sum(label)::BIGINT AS a, sum(1 - label)::BIGINT AS n FROM docs GROUP BY category),
     slots AS (SELECT category, n, unnest(range(0, round_even(greatest(a, 1) * 1.5::DOUBLE, 0)::BIGINT)) AS slot FROM sized WHERE n > 0),
-    draws AS (SELECT category, slot, ('0x' || substr(md5('0:host:' || category || '/' || slot), 1, 8))::BIGINT % n AS pos FROM slots),
+    draws AS (SELECT category, slot, ('0x' || substr(md5('0:host:' || category || '/' || slot), 1, 15))::BIGINT % n AS pos FROM slots),
     hosts AS (SELECT category, path, row_number() OVER (PARTITION BY category ORDER BY {_key('synthetic')}) - 1 AS pos FROM docs WHERE label = 0)
     SELECT d.category, d.slot, path, 1 AS label, 'cutpaste' AS tag FROM draws d JOIN hosts h ON d.category = h.category AND d.pos = h.pos""",
 )
@@ -430,6 +420,23 @@ def top_up_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expansion.scarce_groups(_sourced(spark, sf_dir), TOP_UP_KEYS, 12, 6)
 
 
+@query(
+    "top_up_driver",
+    f"""WITH {DOCS}, typed AS (SELECT *, 't' || CAST(doc_id % 3 AS VARCHAR) AS type, doc_id % 3 > 0 AS inside FROM docs),
+    sized AS (SELECT category, source, sum(label)::INTEGER AS n_donors, sum(1 - label)::BIGINT AS n_hosts, count(*) FILTER (WHERE label = 1 AND inside)::INTEGER AS n_paste_donors,
+                coalesce(string_agg(DISTINCT type, ',' ORDER BY type) FILTER (WHERE label = 1 AND NOT inside), '') AS excluded_types FROM typed GROUP BY ALL),
+    judged AS (SELECT *, greatest(0, 12 - n_donors) AS n_syn, CASE WHEN NOT n_donors < 6 THEN 'rich regime' WHEN n_donors = 0 THEN 'no donor' WHEN 12 - n_donors <= 0 THEN 'target reached'
+                WHEN n_paste_donors = 0 THEN 'no donor passes the donor rule' END AS reason FROM sized)
+    SELECT category, source, n_donors, n_hosts, n_syn, reason, reason IS NULL AS applied, n_paste_donors, excluded_types, 'inside_object' AS donor_rule, 'duplicate' AS placement,
+           CASE WHEN reason IS NULL THEN n_syn ELSE 0 END::BIGINT AS n_synthetic, CASE WHEN reason IS NULL THEN least(n_syn, n_paste_donors) ELSE 0 END::BIGINT AS n_distinct_hosts
+    FROM judged""",
+)
+def top_up_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.element_at(F.split("path", "/"), -1).cast("long") % 3
+    rows = _sourced(spark, sf_dir).withColumn("type", F.concat(F.lit("t"), number.cast("string"))).withColumn("inside", number > 0)
+    return expansion.top_up(rows, TOP_UP_KEYS, "duplicate", 12, 6, donor_rule="inside_object")[1]
+
+
 @query(
     "duplicate_top_up",
     f"""WITH {DOCS}, {TOP_UP} SELECT s.category, s.source, CAST(s.slot AS INTEGER) AS slot, path, 1 AS label, 'duplicate' AS tag, CAST(donor_idx AS INTEGER) AS donor_idx
@@ -445,7 +452,7 @@ def duplicate_top_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {DOCS}, {TOP_UP}, hosts AS (
       SELECT x.category, x.source, path, h, n_syn, row_number() OVER (PARTITION BY x.category, x.source ORDER BY {_key('host', 3)}) - 1 AS pos
       FROM docs x JOIN tplan p ON x.category = p.category AND x.source = p.source WHERE label = 0 AND reason IS NULL),
-    again AS (SELECT s.category, s.source, ('0x' || substr(md5('3:host:' || s.category || '/' || s.source || '/' || slot), 1, 8))::BIGINT % h AS pos
+    again AS (SELECT s.category, s.source, ('0x' || substr(md5('3:host:' || s.category || '/' || s.source || '/' || slot), 1, 15))::BIGINT % h AS pos
               FROM tslots s JOIN tplan p ON s.category = p.category AND s.source = p.source WHERE s.n_syn > h AND h > 0),
     chosen AS (SELECT category, source, path FROM hosts WHERE n_syn <= h AND pos < n_syn
                UNION ALL SELECT a.category, a.source, path FROM again a JOIN hosts x ON a.category = x.category AND a.source = x.source AND a.pos = x.pos)
@@ -580,14 +587,12 @@ def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "key_difference",
-    """WITH a AS (SELECT DISTINCT lang, source FROM documents WHERE n_chars > 3000), b AS (SELECT DISTINCT lang, source FROM documents WHERE n_chars < 150)
-    SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.source, b.source) AS source,
-           CASE WHEN a.lang IS NULL THEN 'only_b' WHEN b.lang IS NULL THEN 'only_a' ELSE 'both' END AS side
-    FROM a FULL JOIN b ON a.lang = b.lang AND a.source = b.source""",
+    """WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT doc_id FROM labels)
+    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'only_b' WHEN b.doc_id IS NULL THEN 'only_a' ELSE 'both' END AS side
+    FROM a FULL JOIN b ON a.doc_id = b.doc_id""",
 )
 def key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.table(spark, sf_dir, "documents")
-    return leaks.key_difference(rows.where("n_chars > 3000"), rows.where("n_chars < 150"), ["lang", "source"])
+    return leaks.key_difference(B.table(spark, sf_dir, "documents"), B.table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query(
@@ -641,7 +646,7 @@ def label_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM t""",
 )
 def layout_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(injected(spark, sf_dir)[0], "injected")
+    rows = injected(spark, sf_dir)[0]
     expected = rows.select("category").distinct().unionByName(spark.range(1).select(F.lit("absent").alias("category")))
     return checks.tally_checks(checks.layout_checks(rows, expected, ["category"]), ["category"])
 
@@ -690,3 +695,9 @@ def incremental_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = B.file_paths(spark, sf_dir).select("path")
     archived = files.where(P.path_type(F.col("path")) == "good").select(F.concat(F.lit("archive/"), F.col("path")).alias("path"))
     return sinks.not_archived(files, archived)
+
+
+@query("split_accessor", f"WITH {FILES} SELECT path, label FROM records WHERE split = 'test'")
+def split_accessor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths and labels of one split, which is what the operator is for."""
+    return records.accessor(base_records(spark, sf_dir), "test")

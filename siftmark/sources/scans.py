@@ -99,6 +99,11 @@ def view_scores(rows: DataFrame, views: int = 4) -> DataFrame:
     return checked.withColumn("path", last_parts(F.col("path"), 3))
 
 
+def view_score_files(spark: SparkSession, root: str, views: int = 4) -> DataFrame:
+    """Stored multi-view scores, each with its array of views."""
+    return view_scores(spark.read.schema(S.VIEW_SCORES).parquet(root), views)
+
+
 def timing_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Usable rows of several timing files."""
     rows = spark.read.schema(S.TIMING_CSV).csv(paths, header=True)

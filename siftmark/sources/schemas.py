@@ -46,6 +46,7 @@ CENSUS = (
     f"injected map<string,struct<splits_at_locked_fraction:{CENSUS_SPLITS}>>, "
     f"native map<string,struct<splits:{CENSUS_SPLITS},error:string>>"
 )
+VIEW_SCORES = "dataset string, backbone string, category string, split string, path string, label int, views array<double>"
 SCORES = (
     "dataset string, backbone string, category string, split string, path string, label int, score double, features array<float>"
 )

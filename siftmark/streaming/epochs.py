@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass, replace
 from typing import Any
 
 import pandas as pd
@@ -24,6 +25,19 @@ def read_epoch_log(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.json(path)
 
 
+@dataclass(frozen=True)
+class Progress:
+    """What is kept of a run: the epoch that comes next, and the selection so far."""
+
+    next: int = 0
+    best_epoch: int = -1
+    best_value: float | None = None
+    best_secondary: float | None = None
+    counter: int = 0
+    tie_wins: int = 0
+    stopped: bool = False
+
+
 class EpochSelector(StatefulProcessor):
     """Applies epochs strictly in order; an epoch that arrives early waits in state for its predecessors."""
 
@@ -37,35 +51,49 @@ class EpochSelector(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "epoch int", "value double, secondary double")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state = self.progress.get() if self.progress.exists() else (0, -1, None, None, 0, 0, False)
-        nxt, best_epoch, best, best_second, counter, tie_wins, stopped = state
+        state = Progress(*self.progress.get()) if self.progress.exists() else Progress()
+        if state.stopped:  # later epochs of a stopped run are not kept
+            return
         for part in rows:
             for row in part.itertuples(index=False):
-                if row.epoch >= nxt:
+                if row.epoch >= state.next:
                     self.waiting.updateValue((int(row.epoch),), (_number(row.value), _number(row.secondary)))
-        moved = False
-        while not stopped and self.waiting.containsKey((nxt,)):
-            value, second = self.waiting.getValue((nxt,))
-            self.waiting.removeKey((nxt,))
-            improved = value is not None and (best is None or value > best + self.min_delta)
-            tied = not improved and value is not None and best is not None and abs(value - best) <= TIE_EPS
-            tie_win = self.tiebreak and tied and second is not None and (best_second is None or second < best_second - TIE_EPS)
-            if improved or tie_win:
-                best, best_epoch = value, nxt
-                best_second = second if second is not None else best_second
-            tie_wins += int(tie_win)
-            counter = 0 if improved else counter + 1
-            stopped = counter >= self.patience and nxt + 1 >= self.min_epochs
-            nxt, moved = nxt + 1, True
-        self.progress.update((nxt, best_epoch, best, best_second, counter, tie_wins, stopped))
-        if moved:
+        first = state.next
+        while not state.stopped and self.waiting.containsKey((state.next,)):
+            epoch = (state.next,)
+            state = self.step(state, *self.waiting.getValue(epoch))
+            self.waiting.removeKey(epoch)
+        if state.stopped:
+            self.waiting.clear()
+        self.progress.update(astuple(state))
+        if state.next > first:
             yield pd.DataFrame(
                 {
-                    "run": [key[0]], "epoch": [nxt - 1], "best_epoch": [best_epoch], "best_value": [best],
-                    "tie_wins": [tie_wins], "epochs_ran": [nxt], "stop_reason": ["patience" if stopped else "epoch_cap"],
+                    "run": [key[0]], "epoch": [state.next - 1], "best_epoch": [state.best_epoch], "best_value": [state.best_value],
+                    "tie_wins": [state.tie_wins], "epochs_ran": [state.next], "stop_reason": ["patience" if state.stopped else "epoch_cap"],
                 }
             )
 
+    def step(self, state: Progress, value: float | None, secondary: float | None) -> Progress:
+        """The progress after one more epoch: a better value wins and resets the patience, a tie with a lower secondary only wins."""
+        beats, ties = self.compare(state, value)
+        lower = secondary is not None and (state.best_secondary is None or secondary < state.best_secondary - TIE_EPS)
+        wins_tie = self.tiebreak and ties and lower
+        misses = 0 if beats else state.counter + 1
+        done = misses >= self.patience and state.next + 1 >= self.min_epochs
+        after = replace(state, next=state.next + 1, counter=misses, tie_wins=state.tie_wins + wins_tie, stopped=done)
+        if not (beats or wins_tie):
+            return after
+        return replace(after, best_epoch=state.next, best_value=value, best_secondary=state.best_secondary if secondary is None else secondary)
+
+    def compare(self, state: Progress, value: float | None) -> tuple[bool, bool]:
+        """Whether a value beats the best so far, and whether it ties with it."""
+        if value is None:
+            return False, False
+        if state.best_value is None or value > state.best_value + self.min_delta:
+            return True, False
+        return False, abs(value - state.best_value) <= TIE_EPS
+
     def close(self) -> None:
         pass
 

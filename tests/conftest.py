@@ -18,11 +18,3 @@ def spark(tmp_path_factory):
     yield session
     session.stop()
 
-
-@pytest.fixture
-def large(spark):
-    """Every input counts as larger than one task, so the forms that split groups are used."""
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")
-    yield spark
-    spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -149,7 +149,7 @@ def test_probe_finds_a_cue_and_the_control_does_not(spark):
 
 
 def test_timing_rules(spark):
-    df = spark.createDataFrame([("ours:a+full[x2]", 2.0, True), ("ours:a+full", 3.0, True), ("rival+full", 9.0, False)], "model string, ms double, legacy boolean")
+    df = spark.createDataFrame([("ours:a+full[x2]", 2.0, True), ("ours:a+full", 3.0, True), ("rival+full", 9.0, False), ("rival", 1.0, False), ("ours:a", 1.0, False)], "model string, ms double, legacy boolean")
     ok = df.withColumn("status", F.lit("ok"))
     best = timing.best_times(ok, timing.model_key(F.col("model")), timing.corrected_ms(F.col("model"), F.col("ms"), F.col("legacy")))
     assert {r["key"]: r["best_ms"] for r in best.collect()} == {"ours two views": 4.0, "ours one view": 3.0, "rival": 9.0}

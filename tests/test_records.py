@@ -231,7 +231,8 @@ def test_settings(spark):
                        "select map('metrics', 'auroc,f1', 'val_share_mode', 'adaptive', 'injection_val_share', '0.6', 'lr', '9') union all "
                        "select map('metrics', 'auroc,f1', 'val_share_mode', 'fixed', 'injection_val_share', '0.6', 'lr', '9')")
     a, b, c = [r[0] for r in config.select(settings.fingerprint(F.col("m"))).collect()]
-    assert a == b != c and "lr" not in a
+    assert len({a, b, c}) == 3 and '"injection_val_share":"per-category (adaptive)"' in a and "lr" not in a  # the bounds of the rule differ
+    assert '"val_share_bounds":[null,"0.5"]' in a and '"name":"unnamed"' in a and '"metrics":["auroc","f1"]' in a and '"use_validation":null' in a
     over = spark.createDataFrame([("d", "c", "val_split"), ("d", "c", "val_spilt")], "dataset string, category string, key string")
     known = spark.createDataFrame([("val_split",)], "key string")
     assert settings.unknown_keys(over, known).first()["unknown"] == "val_spilt"

@@ -3,6 +3,7 @@
 import json
 import math
 
+import pandas as pd
 import pytest
 
 from siftmark.operators import selection
@@ -72,3 +73,42 @@ def test_stream_with_late_epochs_agrees_with_the_batch_fold(spark, tmp_path):
     for name in ("best_epoch", "tie_wins", "epochs_ran", "stop_reason"):
         assert last[name].to_dict() == batch[name].to_dict()
     assert batch.loc["b", "stop_reason"] == "patience"
+
+
+def test_a_stopped_run_keeps_no_epochs():
+    class Values:
+        def __init__(self):
+            self.now = None
+
+        def exists(self):
+            return self.now is not None
+
+        def get(self):
+            return self.now
+
+        def update(self, now):
+            self.now = now
+
+    class Waiting(dict):
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def containsKey(self, key):
+            return key in self
+
+        def getValue(self, key):
+            return self[key]
+
+        def removeKey(self, key):
+            del self[key]
+
+    selector = epochs.EpochSelector(patience=1)
+    selector.progress, selector.waiting = Values(), Waiting()
+
+    def feed(*numbers):
+        part = pd.DataFrame({"run": "r", "epoch": numbers, "value": [1.0 - n / 10 for n in numbers], "secondary": 0.0})
+        return list(selector.handleInputRows(("r",), iter([part]), None))
+
+    assert not feed(5, 6, 1) and len(selector.waiting) == 3
+    assert feed(0)[0]["stop_reason"].tolist() == ["patience"] and not selector.waiting
+    assert not feed(2, 7) and not selector.waiting
