@@ -9,8 +9,8 @@ sets share at least l shingles in their l-prefixes, the first n - ceil(0.8 n) +
    no link and ends here.
 3. Every other class lengthens its prefix to the l that its estimated cost asks for: occurrences of its shingles
    to be met, plus a verification for each candidate, of which at most occurrences / l have l in common.
-4. Classes that share prefix shingles, through stars around each shingle's smallest holder, fall into clusters. A cluster
-   larger than a block is cut into blocks by set size and hash, bounded in classes and shingles, and two blocks meet in a task. There pairs that share
+4. The whole sets of these candidates are made again from their texts. Candidates that share one of their rarest shingles,
+   through stars around each shingle's smallest holder, fall into clusters. A cluster larger than a block is cut into blocks by set size and hash, bounded in classes and shingles, and two blocks meet in a task. There pairs that share
    the smaller l of the two are verified on the whole sets, and a spanning forest of the links leaves the task.
    So large groups cost arithmetic in numpy, but no row for a pair.
 5. Components of those edges give the classes, and so every row, their component.
@@ -101,11 +101,11 @@ def adaptive_level(n: int, places: np.ndarray, counts: np.ndarray) -> int:
 
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out_doc, out_n, out_level, out_tokens = [], [], [], []
+        out_doc, out_n, out_level = [], [], []
         flat = batch.column("shared").flatten()
         offsets = batch.column("shared").offsets.to_numpy()
         base = offsets[0]
-        place, token, count = (flat.field(i).to_numpy() for i in range(3))
+        place, count = (flat.field(i).to_numpy() for i in range(2))
         for i, (doc, n) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("n").to_pylist())):
             a, b = offsets[i] - base, offsets[i + 1] - base
             level = adaptive_level(n, place[a:b], count[a:b])
@@ -113,23 +113,33 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out_doc.append(doc)
                 out_n.append(n)
                 out_level.append(level)
-                out_tokens.append(token[a:b][place[a:b] < one_prefix(n) + level - 1].view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_level, pa.int32()), _lists(out_tokens)], ["doc", "n", "level", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_level, pa.int32())], ["doc", "n", "level"])
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Classes (doc, n, level, tokens, cluster) that may have a link."""
+    """Classes (doc, n, level) that share enough of their longest prefix to have a link."""
     tokens = classes.select("doc", "n", F.posexplode("prefix").alias("place", "token"))
     counts = tokens.groupBy("token").count().where("count > 1")
-    shared = tokens.join(counts, "token").groupBy("doc").agg(F.max("n").alias("n"), F.collect_list(F.struct("place", "token", "count")).alias("shared"))
+    shared = tokens.join(counts, "token").groupBy("doc").agg(F.max("n").alias("n"), F.collect_list(F.struct("place", "count")).alias("shared"))
     enough = shared.where(F.size("shared") >= F.expr("n div 20 + 1"))
-    near = checkpointed(enough.mapInArrow(_choose, "doc long, n long, level int, tokens array<long>"), "near")
-    held = near.select("doc", "level", F.explode("tokens").alias("token"))
-    holders = held.groupBy("token").agg(F.min("doc").alias("hub"), F.count("*").alias("held")).where("held > 1")
-    stars = held.join(holders, "token").groupBy("doc").agg(F.max("level").alias("level"), F.count("*").alias("n_held"), F.collect_set("hub").alias("hubs"))
-    edges = stars.where("n_held >= level").select(F.col("doc").alias("a"), F.explode("hubs").alias("b"))
-    clusters = components(edges).withColumnsRenamed({"node": "doc", "component": "cluster"})
-    return near.join(clusters, "doc")
+    return enough.mapInArrow(_choose, "doc long, n long, level int")
+
+
+def clusters(whole: DataFrame) -> DataFrame:
+    """(doc, cluster): classes that share one of their rarest shingles, directly or through others.
+
+    ``whole`` holds the sets of the candidates. With the shingles of each in order of their counts, linked classes share one
+    in their one-prefixes, which leave out the frequent fifths: passages that many documents hold join nobody.
+    """
+    tokens = whole.select("doc", "n", F.explode("found").alias("token"))
+    counts = tokens.groupBy("token").count().where("count > 1")
+    shared = tokens.join(counts, "token").groupBy("doc").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"))
+    own = F.col("n") - F.size("shared")  # shingles nobody else holds come first
+    rarest = shared.withColumn("left", (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - own).cast("int")).where("left > 0")
+    held = checkpointed(rarest.select("doc", F.explode(F.slice("shared", F.lit(1), F.col("left"))).alias("t")).select("doc", "t.token"), "rarest")
+    hubs = held.groupBy("token").agg(F.min("doc").alias("hub"), F.count("*").alias("held")).where("held > 1").select("token", "hub")
+    edges = held.join(hubs, "token").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+    return components(edges).withColumnsRenamed({"node": "doc", "component": "cluster"})
 
 
 def _blocks(near: DataFrame) -> DataFrame:
@@ -273,9 +283,10 @@ def component_rows(docs: DataFrame) -> DataFrame:
     print_ = ["n", "fp1", "fp2"]
     classes = checkpointed(sets.where("n > 0 and doc_id is not null").groupBy(*print_).agg(F.min("doc_id").alias("doc")), "classes")
     first = sets.join(classes.withColumnRenamed("doc", "doc_id"), ["doc_id", *print_], "left_semi").select(F.col("doc_id").alias("doc"), "n", "prefix", "fp1", "fp2")
-    near = checkpointed(candidates(first.dropDuplicates(["doc", "fp1", "fp2"]).drop("fp1", "fp2")).drop("tokens"), "candidates")
+    near = checkpointed(candidates(first.dropDuplicates(["doc", "fp1", "fp2"]).drop("fp1", "fp2")), "candidates")
     whole = checkpointed(_whole_sets(docs, near).join(near.select("doc", "n"), "doc").where(F.size("found") == F.col("n")).dropDuplicates(["doc", "n"]), "near-sets")
-    met = _blocks(near).join(whole, ["doc", "n"])
+    grouped = checkpointed(near.join(clusters(whole), "doc"), "clusters")
+    met = _blocks(grouped).join(whole, ["doc", "n"])
     links = met.groupBy("cluster", "low", "low_part", "high", "high_part").applyInPandas(_meet, "a long, b long")
     rows = sets.select("doc_id", *print_).join(classes, print_, "left")
     # one id under several classes joins them
