@@ -19,10 +19,30 @@ def run_a(spark):
 
 @pytest.mark.parametrize("metric", ["auroc", "aupr"])
 def test_a_run_against_itself_gives_zero(run_a, metric):
-    for row in resample.paired_bootstrap(run_a, run_a, ["category"], metric, n_boot=30).collect():
+    numbered = run_a.withColumn("place", F.substring_index("path", "/", -1).cast("long"))
+    for row in resample.paired_bootstrap(numbered, numbered, ["category"], metric, n_boot=30, position="place").collect():
         assert (row["delta"], row["lo"], row["hi"], row["p_improve"], row["resolved"]) == (0.0, 0.0, 0.0, 0.0, False)
 
 
+def test_point_of_average_precision_is_in_row_order(run_a):
+    rows = run_a.withColumn("place", F.substring_index("path", "/", -1).cast("long"))
+    with pytest.raises(ValueError):
+        resample.bootstrap_interval(run_a, ["category"], "aupr", n_boot=2)
+    local = rows.toPandas()
+    for row in resample.bootstrap_interval(rows, ["category"], "aupr", n_boot=5, position="place").collect():
+        d = local[local.category == row["category"]].sort_values(["score", "place"], ascending=[False, True])
+        hits = d.label.cumsum()
+        assert row["point"] == pytest.approx((hits / np.arange(1, len(d) + 1))[d.label == 1].sum() / d.label.sum())
+
+
+def test_harmonic_gap(spark):
+    from siftmark.operators.metrics import harmonic_gap
+
+    for n, more in ((0, 1), (0, 50), (3, 4), (100, 1), (10**6, 3)):
+        got = spark.range(1).select(harmonic_gap(F.lit(n), F.lit(more))).first()[0]
+        assert got == pytest.approx(math.fsum(1 / (n + i) for i in range(1, more + 1)), rel=1e-11)
+
+
 def test_a_planted_shift_resolves_upward(run_a):
     better = run_a.withColumn("score", F.col("score") + F.col("label") * 3.0)
     for row in resample.paired_bootstrap(run_a, better, ["category"], n_boot=60).collect():

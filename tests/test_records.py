@@ -236,3 +236,31 @@ def test_settings(spark):
     over = spark.createDataFrame([("d", "c", "val_split"), ("d", "c", "val_spilt")], "dataset string, category string, key string")
     known = spark.createDataFrame([("val_split",)], "key string")
     assert settings.unknown_keys(over, known).first()["unknown"] == "val_spilt"
+
+
+def test_donor_rule_and_tagged_rows(spark):
+    rows = [("c", "d0", 1, "scratch", True, None), ("c", "d1", 1, "dent", False, None), ("c", "s0", 1, "dent", True, "transplant"), ("c", "h0", 0, "good", None, None), ("e", "d2", 1, "dent", False, None)]
+    df = spark.createDataFrame(rows, "category string, path string, label int, type string, inside boolean, tag string")
+    out, plan = expansion.top_up(df, ["category"], "duplicate", 6, 5, donor_rule="inside_object")
+    found = {r["category"]: r for r in plan.collect()}
+    assert (found["c"]["n_donors"], found["c"]["n_paste_donors"], found["c"]["excluded_types"], found["c"]["n_synthetic"], found["c"]["n_distinct_hosts"]) == (2, 1, "dent", 4, 1)
+    assert found["e"]["reason"] == "no donor passes the donor rule" and found["e"]["n_synthetic"] == 0
+    assert counts(out.where("tag = 'duplicate'"), "path") == {("d0",): 4} and out.where("path = 's0'").first()["tag"] == "transplant"
+    with pytest.raises(ValueError):
+        expansion.top_up(df, ["category"], "duplicate", donor_rule="outside")
+
+
+def test_strict_checks_end_the_job(spark):
+    a, b = spark.createDataFrame([("x",)], "k string"), spark.createDataFrame([("y",)], "k string")
+    assert leaks.key_difference(a, b, ["k"]).count() == 2 and leaks.key_difference(a, a, ["k"], strict=True).count() == 1
+    with pytest.raises(PySparkException, match="share no key"):
+        leaks.key_difference(a, b, ["k"], strict=True).collect()
+    items = spark.createDataFrame([("c", "p1"), ("c", "p2")], "category string, path string")
+    masks = spark.createDataFrame([("p1m",)], "path string")
+    mask = F.concat("path", F.lit("m"))
+    assert leaks.missing_counterparts(items, masks, mask, ["category"]).first()["n_missing"] == 1
+    with pytest.raises(PySparkException, match="1 missing, such as p2m"):
+        leaks.missing_counterparts(items, masks, mask, ["category"], strict=True).collect()
+    over, known = spark.createDataFrame([("d", "c", "lrr")], "dataset string, category string, key string"), spark.createDataFrame([("lr",)], "key string")
+    with pytest.raises(PySparkException, match="unknown settings of d/c: lrr"):
+        settings.unknown_keys(over, known, strict=True).collect()
