@@ -168,7 +168,9 @@ def weights_of(inside: dict[str, int], outside: dict[str, int]) -> dict[str, flo
 def learned(pages: DataFrame, label_pages: int = LABEL_PAGES) -> dict[str, float]:
     """Weights from at most ``label_pages`` pages that hold an article or main element, the first by hash of the page."""
     marked = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    sample = marked.orderBy(F.xxhash64("html")).limit(label_pages)
+    keyed = marked.withColumn("_key", F.xxhash64("html"))
+    cut = keyed.select("_key").distinct().orderBy("_key").limit(label_pages).agg(F.max("_key")).first()[0]
+    sample = keyed.where(F.col("_key") <= F.lit(cut)).groupBy("_key").agg(F.first("html").alias("html"))  # copies of a page count once
 
     @F.udf("struct<inside:map<string,bigint>,outside:map<string,bigint>>")
     def of_page(page):
