@@ -5,7 +5,7 @@ sets share at least l shingles in their l-prefixes, the first n - ceil(0.8 n) +
 
 1. A task turns each text into its set size, two fingerprints and its longest prefix (l up to n/20 + 1).
    Equal sets form a class and go on as one document.
-2. Prefix shingles are counted over all classes. A class that shares fewer than l of its longest prefix with anyone has
+2. Prefix shingles are counted over all classes, one row of each. A class that shares fewer than l of its longest prefix with anyone has
    no link and ends here.
 3. Every other class lengthens its prefix to the l that its estimated cost asks for: occurrences of its shingles
    to be met, plus a verification for each candidate, of which at most occurrences / l have l in common.
@@ -16,8 +16,8 @@ sets share at least l shingles in their l-prefixes, the first n - ceil(0.8 n) +
 5. Components of those edges give the classes, and so every row, their component.
 
 Defined results: null, empty and blank texts have no shingle, link with nothing (not even with each other) and are
-their own component; fewer than five words are one shingle; rows of one id are one document, so different texts under one
-id are in one component; rows without id take part in no link, but get the component of an equal set that has an id, else
+their own component; fewer than five words are one shingle; rows of one id are one document: different texts under one id are in
+one component, the one with most shingles is compared for it, and the others join what equals them; rows without id take part in no link, but get the component of an equal set that has an id, else
 null; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -116,12 +116,17 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_level, pa.int32())], ["doc", "n", "level"])
 
 
+def _short(token: str):
+    """48 bits of a shingle's hash, for counting: equal shingles stay equal, so the counts can only come out too high."""
+    return F.shiftrightunsigned(token, 16).alias("token")
+
+
 def candidates(classes: DataFrame) -> DataFrame:
     """Classes (doc, n, level) that share enough of their longest prefix to have a link."""
-    tokens = classes.select("doc", "n", F.posexplode("prefix").alias("place", "token"))
+    tokens = classes.select("doc", F.posexplode("prefix").alias("place", "whole")).select("doc", "place", _short("whole"))
     counts = tokens.groupBy("token").count().where("count > 1")
-    shared = tokens.join(counts, "token").groupBy("doc").agg(F.max("n").alias("n"), F.collect_list(F.struct("place", "count")).alias("shared"))
-    enough = shared.where(F.size("shared") >= F.expr("n div 20 + 1"))
+    shared = tokens.join(counts, "token").groupBy("doc").agg(F.collect_list(F.struct("place", "count")).alias("shared"))
+    enough = shared.join(classes.select("doc", "n"), "doc").where(F.size("shared") >= F.expr("n div 20 + 1")).select("doc", "n", "shared")
     return enough.mapInArrow(_choose, "doc long, n long, level int")
 
 
@@ -131,9 +136,10 @@ def clusters(whole: DataFrame) -> DataFrame:
     ``whole`` holds the sets of the candidates. With the shingles of each in order of their counts, linked classes share one
     in their one-prefixes, which leave out the frequent fifths: passages that many documents hold join nobody.
     """
-    tokens = whole.select("doc", "n", F.explode("found").alias("token"))
+    tokens = whole.select("doc", F.explode("found").alias("whole")).select("doc", _short("whole"))
     counts = tokens.groupBy("token").count().where("count > 1")
-    shared = tokens.join(counts, "token").groupBy("doc").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"))
+    listed = tokens.join(counts, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"))
+    shared = listed.join(whole.select("doc", "n"), "doc")
     own = F.col("n") - F.size("shared")  # shingles nobody else holds come first
     rarest = shared.withColumn("left", (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - own).cast("int")).where("left > 0")
     held = checkpointed(rarest.select("doc", F.explode(F.slice("shared", F.lit(1), F.col("left"))).alias("t")).select("doc", "t.token"), "rarest")
@@ -277,13 +283,33 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return checkpointed(_utf8(docs).mapInArrow(_sets, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>"), "sets")
 
 
+def class_prefixes(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc, n, prefix) of one row per class.
+
+    A bit table of fixed size marks the rows that may be copies or share their id. Rows it does not mark stand for their
+    class for certain and go on from their scan task; the others are few and are joined with the classes.
+    """
+    named = sets.where("n > 0 and doc_id is not null").withColumnRenamed("doc_id", "doc")
+    copies = named.select(F.col("doc").alias("own"), "n", "fp1", "fp2").join(classes, ["n", "fp1", "fp2"]).where("own <> doc").select(F.col("own").alias("doc"))
+    repeated = named.groupBy("doc").count().where("count > 1").select("doc")
+    bits = sets.sparkSession.sparkContext.broadcast(_filter_of(copies.union(repeated)))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("marked", pa.array(bits.value[_bit(batch.column("doc").to_numpy())]))
+
+    made = named.select("doc", "n", "fp1", "prefix").mapInArrow(mark, "doc long, n long, fp1 long, prefix array<long>, marked boolean")
+    first = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("n"), "fp1"))
+    exact = made.where("marked").join(classes.select("doc", "n", "fp1"), ["doc", "n", "fp1"], "left_semi").withColumn("_n", first).where("_n = 1")
+    return made.where("not marked").select("doc", "n", "prefix").union(exact.select("doc", "n", "prefix"))
+
+
 def component_rows(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, fingerprints, component_id."""
     sets = sets_of(docs)
     print_ = ["n", "fp1", "fp2"]
     classes = checkpointed(sets.where("n > 0 and doc_id is not null").groupBy(*print_).agg(F.min("doc_id").alias("doc")), "classes")
-    first = sets.join(classes.withColumnRenamed("doc", "doc_id"), ["doc_id", *print_], "left_semi").select(F.col("doc_id").alias("doc"), "n", "prefix", "fp1", "fp2")
-    near = checkpointed(candidates(first.dropDuplicates(["doc", "fp1", "fp2"]).drop("fp1", "fp2")), "candidates")
+    near = checkpointed(candidates(class_prefixes(sets, classes)), "candidates")
     whole = checkpointed(_whole_sets(docs, near).join(near.select("doc", "n"), "doc").where(F.size("found") == F.col("n")).dropDuplicates(["doc", "n"]), "near-sets")
     grouped = checkpointed(near.join(clusters(whole), "doc"), "clusters")
     met = _blocks(grouped).join(whole, ["doc", "n"])
