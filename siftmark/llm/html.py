@@ -3,7 +3,8 @@
 A page is read once into words and tags. Words score positive and tags negative; how much, by tag name and by the kind of
 element a word stands in, is the log ratio of its counts inside and outside the main text of labelled pages. A linear scan
 finds the contiguous region of the largest sum. Blocks that the region touches are the text, without those inside
-navigation, adverts, forms, scripts and the like; an article or main element around the region bounds it.
+navigation, adverts, forms, scripts and the like. If the region holds words of article or main elements, what lies outside all of these goes;
+what the elements hold outside the region goes too.
 
 Labelled pages are a bounded sample (``label_pages``) of the pages that mark their main text by an article or main element; a table
 of labelled pages may be given instead. Without any, fixed starting weights are used.
@@ -199,20 +200,13 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     found = blocks(page)
     owners = [i for i, b in enumerate(found) for _ in b.things]
-    scores = [weights.get(kind, TAG_SCORE if kind.startswith("tag") else WORD_SCORE) * n for b in found for kind, n in b.things]
+    scores = [0.0 if b.main and b.hidden else weights.get(kind, TAG_SCORE if kind.startswith("tag") else WORD_SCORE) * n for b in found for kind, n in b.things]
     first, last = best_region(scores)
     if last < first:
         return ""
     low, high = owners[first], owners[last]
-    mains = Counter()
-    for block in found[low : high + 1]:
-        if not block.hidden and block.main:
-            mains[block.main] += sum(n for kind, n in block.things if kind.startswith("word"))
-    if mains:
-        main = max(mains, key=lambda m: (mains[m], -m))
-        chosen = [b for b in found if b.main == main]
-    else:
-        chosen = found[low : high + 1]
+    region = found[low : high + 1]
+    chosen = [b for b in region if b.main and not b.hidden and any(kind.startswith("word") for kind, _ in b.things)] or region
     return "\n".join(t for b in chosen if not b.hidden and (t := b.text()))
 
 

@@ -32,6 +32,16 @@ def test_page_without_article_by_learned_weights(spark):
     assert got.split("\n") == ["Head line", words.strip(), "Short.", words.strip()]
 
 
+def test_region_chooses_inside_main_elements():
+    words = "many plain words of the story that go on and on for some time. " * 4
+    weights = html.weights_of(*html.counts(PAGE.format(main=f"<article>{MAIN}</article>")))
+    several = "".join(f"<article><p>{n} {words}</p></article>" for n in ("one", "two", "three"))
+    assert html.main_text(PAGE.format(main=several), weights).split("\n") == [f"{n} {words}".strip() for n in ("one", "two", "three")]
+    links = "<ul>" + '<li><a href="/x">More</a></li>' * 40 + "</ul>"
+    weights |= {"tag li": -1.0, "tag a": -1.0, "word link": 0.1}
+    assert html.main_text(PAGE.format(main=f"<article><p>{words}</p>{links}</article>"), weights) == words.strip()
+
+
 def test_region_is_the_best_one():
     rng = random.Random(0)
     for _ in range(300):
