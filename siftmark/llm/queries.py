@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm import chains, chat, decontamination, html, importance, jaccard, manifest, neighbours, packing, pii, secrets, toxicity
+from siftmark.llm import chains, chat, decontamination, html, importance, jaccard, manifest, neighbours, packing, pii, secrets, substrings, toxicity
 from siftmark.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +128,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_repeated_substrings")
+def op11_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # CRC-32 in SQL: a table of 256 remainders, then one step for each byte of the hexadecimal form.
 CRC_TABLE = """tab(b, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL
     SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
