@@ -9,7 +9,7 @@ Equal strings must meet, and only strings that may repeat should be sorted, so t
 2. Rows meet by key. Of equal stretches all but the earliest are marked. Where a key has different stretches, the earliest of
    each is asked for its text.
 3. These texts are dealt by key into shards, whose suffixes are put in order with their common prefixes by external induced
-   sorting (``induced.py``): neighbours that share 100 bytes or more are equal windows, and all but the earliest are marked.
+   sorting (``induced.py``), less the ends that hold no window whose hash occurs twice: neighbours that share 100 bytes or more are equal windows, and all but the earliest are marked.
 4. Marks are merged for each document and its bytes are kept or removed, all judged on the input.
 
 Defined results: null and empty texts have no bytes; texts under 100 bytes keep all; rows equal in id and text are one document
@@ -127,6 +127,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def joined(doc: np.ndarray, version: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of windows of one document, where they touch or overlap, made one."""
+    order = np.lexsort((start, version, doc))
+    doc, version, start, stop = doc[order], version[order], start[order], stop[order]
+    if not len(doc):
+        return doc, version, start, stop
+    other = np.append(True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]))
+    # stretches of one document do not overlap, so the one before reaches furthest
+    new = other | np.append(True, start[1:] > stop[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], version[first], start[first], stop[np.append(first[1:], len(doc)) - 1]
+
+
 class Seen:
     """Rows of one scan task, sent with equal stretches combined."""
 
@@ -143,13 +156,18 @@ class Seen:
         self.rows += len(key)
 
     def flush(self) -> tuple[np.ndarray, ...]:
-        """The columns of ``ROW``, the earliest of equal stretches first and the others marked."""
+        """The columns of ``ROW``: the earliest of equal stretches, and the others joined to marked ones with keys that spread them."""
         key, digest, doc, version, start, size = (np.concatenate(p) for p in zip(*self.parts))
         self.parts, self.rows = [], 0
         order = np.lexsort((start, version, doc, digest, key))
         key, digest, doc, version, start, size = (x[order] for x in (key, digest, doc, version, start, size))
-        marked = np.append(False, (key[1:] == key[:-1]) & (digest[1:] == digest[:-1]))[: len(key)]
-        return _signed(key), _signed(digest), doc, version, start, size, marked
+        again = np.append(False, (key[1:] == key[:-1]) & (digest[1:] == digest[:-1]))[: len(key)]
+        sent = [x[~again] for x in (key, digest, doc, version, start, size)]
+        doc, version, start, stop = joined(*(x[again] for x in (doc, version, start)), start[again] + size[again])
+        spread = scattered(doc.view(np.uint64) * FACTORS[1] + version.view(np.uint64) * FACTORS[2] + start.astype(np.uint64) * FACTORS[7])
+        marks = [spread, spread, doc, version, start, (stop - start).astype(np.int32)]
+        columns = [np.concatenate(pair) for pair in zip(sent, marks)]
+        return _signed(columns[0]), _signed(columns[1]), *columns[2:], np.arange(len(columns[0])) >= len(sent[0])
 
 
 def _rows(heavy) -> object:
@@ -254,6 +272,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["key", "doc", "version", "start", "text"])
 
 
+def may_repeat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(row, offset, text): what of each text the windows cover whose hash occurs again; other windows cannot repeat."""
+    ends = np.cumsum([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    hashes = np.concatenate([run_hashes(data[a : a + CHUNK + LENGTH - 1], (LENGTH,))[0] for a in range(0, len(data) - LENGTH + 1, CHUNK)])
+    places = np.arange(len(hashes))
+    row = np.searchsorted(ends, places, side="right")
+    inside = places + LENGTH <= ends[row]
+    places, row, hashes = places[inside], row[inside], hashes[inside]
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    again = np.zeros(len(hashes), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    places, row = places[again], row[again]
+    if not len(row):
+        return row, row, []
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    last = np.append(first[1:], len(row)) - 1
+    kept, begin = row[first], np.append(0, ends[:-1])[row[first]]
+    offset, stop = places[first] - begin, places[last] - begin + LENGTH
+    return kept, offset, [texts[r][a:b] for r, a, b in zip(kept.tolist(), offset.tolist(), stop.tolist())]
+
+
 def repeats(texts: list[bytes], doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, last): runs of windows, by place in their text, that are equal to earlier ones of the shard.
 
@@ -291,7 +332,9 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sorted_shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
         doc, version, start = (table.column(c).to_numpy() for c in ("doc", "version", "start"))
-        row, first, last = repeats(table.column("text").to_pylist(), doc, version, start)
+        whole, offset, texts = may_repeat(table.column("text").to_pylist())
+        doc, version, start = doc[whole], version[whole], start[whole] + offset
+        row, first, last = repeats(texts, doc, version, start)
         marks = [doc[row], version[row], (start[row] + first).astype(np.int32), (start[row] + last + LENGTH).astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(m) for m in marks], ["doc", "version", "start", "stop"])
 
