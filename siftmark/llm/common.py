@@ -42,9 +42,11 @@ def spread(df: DataFrame, least: int = 1) -> DataFrame:
     return df.repartition(max(least, spark.sparkContext.defaultParallelism))
 
 
-def numbered(rows: DataFrame, order: list[Column], group: str | None = None, name: str = "_place") -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column], group: str | None = None, name: str = "_place", total: str | None = None) -> DataFrame:
     """``rows`` with their place (from 0) in ``order``, within each value of the column ``group`` if one is named.
 
+    A column ``total`` holds how many rows the group has.
+
     Rows are dealt by ranges of (group, order) and sorted there; a place is that inside its range plus the rows of the same
     group in earlier ranges. So no group is one task, and the table of ranges has a row for each range and group that met.
     The ranged rows are written, as every later step must see the same ranges.
@@ -55,12 +57,13 @@ def numbered(rows: DataFrame, order: list[Column], group: str | None = None, nam
     placed = checkpointed(placed, "ranges")
     by = [group] if group else []
     ranges = placed.groupBy(*by, "_range").agg(F.count("*").alias("_rows"), F.min("_here").alias("_first"))
-    before = F.sum("_rows").over(Window.partitionBy(*by or [F.lit(0)]).orderBy("_range")) - F.col("_rows") - F.col("_first")
-    starts = ranges.select("_range", *[F.col(group).alias("_of") for _ in by], before.alias("_shift"))
+    alike = Window.partitionBy(*by or [F.lit(0)])
+    before = F.sum("_rows").over(alike.orderBy("_range")) - F.col("_rows") - F.col("_first")
+    starts = ranges.select("_range", *[F.col(group).alias("_of") for _ in by], before.alias("_shift"), F.sum("_rows").over(alike).alias("_all"))
     same = placed["_range"] == starts["_range"]
     if group:
         same &= placed[group].eqNullSafe(starts["_of"])
-    return placed.join(starts, same, "left").select(*[placed[c] for c in rows.columns], (F.col("_here") + F.col("_shift")).alias(name))
+    return placed.join(starts, same, "left").select(*[placed[c] for c in rows.columns], (F.col("_here") + F.col("_shift")).alias(name), *[F.col("_all").alias(total) for _ in range(bool(total))])
 
 
 class WordHashes(dict):

@@ -86,66 +86,58 @@ def fold(digest: str, witness: Iterable[str]) -> str:
     return digest
 
 
-def height_of(nodes: int) -> int:
-    """Levels of a block in a tree of so many nodes on this level."""
-    return (min(nodes, BLOCK) - 1).bit_length()
-
-
-def appended(block: pd.DataFrame) -> Appender:
+def appended(block: pd.DataFrame, size: int) -> Appender:
+    """A block's tree; it is as high as a full block where its tree has other blocks."""
     block.sort_values("place", inplace=True, ignore_index=True)
-    tree = Appender(len(block), height_of(int(block["nodes"].iloc[0])))
+    tree = Appender(len(block), (min(int(block["nodes"].iloc[0]), size) - 1).bit_length())
     for digest in block["digest"]:
         tree.append(digest)
     return tree
 
 
-def _block_root(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"tree": [key[0]], "place": [key[1]], "digest": [appended(block).root()]})
-
-
-def _block_of() -> Column:
-    return F.floor(F.col("place") / BLOCK).cast("long").alias("block")
+def _block_root(key: tuple, block: pd.DataFrame, size: int) -> pd.DataFrame:
+    above = -(-int(block["nodes"].iloc[0]) // size)
+    return pd.DataFrame({"tree": [key[0]], "place": [key[1]], "digest": [appended(block, size).root()], "nodes": [above]})
 
 
-def _sized(nodes: DataFrame) -> DataFrame:
-    """With the number of nodes of each tree."""
-    return nodes.join(nodes.groupBy("tree").agg(F.count("*").alias("nodes")), "tree")
+def _block_of(size: int) -> Column:
+    return F.floor(F.col("place") / size).cast("long").alias("block")
 
 
-def grown(nodes: DataFrame) -> list[DataFrame]:
-    """Levels of block roots above ``nodes`` (tree, place, digest), the first being ``nodes`` and the last one node for each tree."""
+def grown(nodes: DataFrame, size: int) -> list[DataFrame]:
+    """Levels of block roots above ``nodes`` (tree, place, digest, nodes of the tree on this level), the first being ``nodes`` and the last one node for each tree."""
     levels = [nodes]
     most = nodes.agg(F.max("place")).first()[0] or 0
     while most > 0:
-        roots = _sized(levels[-1]).groupBy("tree", _block_of()).applyInPandas(_block_root, "tree string, place long, digest string")
+        roots = levels[-1].groupBy("tree", _block_of(size)).applyInPandas(lambda key, block: _block_root(key, block, size), "tree string, place long, digest string, nodes long")
         levels.append(checkpointed(roots, "manifest-roots"))
-        most //= BLOCK
+        most //= size
     return levels
 
 
-def _with_witness(key: tuple, block: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+def _with_witness(block: pd.DataFrame, above: pd.DataFrame, size: int) -> pd.DataFrame:
     if not len(block):
         return pd.DataFrame({"tree": [], "place": [], "witness": []})
-    tree = appended(block)
+    tree = appended(block, size)
     tree.root()
     upper = list(above["witness"].iloc[0])
     return pd.DataFrame({"tree": block["tree"], "place": block["place"], "witness": [tree.witness(i) + upper for i in range(len(block))]})
 
 
-def witnessed(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
+def witnessed(levels: list[DataFrame], tops: DataFrame, size: int) -> DataFrame:
     """(tree, place, witness) of the nodes of ``levels[0]``; ``tops`` holds the witness of each tree's last node."""
     above = tops
     for nodes in reversed(levels[:-1]):
-        pair = _sized(nodes).groupBy("tree", _block_of()).cogroup(above.groupBy("tree", F.col("place").alias("block")))
-        above = pair.applyInPandas(_with_witness, "tree string, place long, witness array<string>")
+        pair = nodes.groupBy("tree", _block_of(size)).cogroup(above.groupBy("tree", F.col("place").alias("block")))
+        above = pair.applyInPandas(lambda block, above: _with_witness(block, above, size), "tree string, place long, witness array<string>")
     return above
 
 
-def _proved(key: tuple, block: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+def _proved(block: pd.DataFrame, above: pd.DataFrame, size: int) -> pd.DataFrame:
     columns = ["doc_id", "leaf", "subroot", "proof_sha256", "folded_root", "witness"]
     if not len(block):
         return pd.DataFrame({c: [] for c in columns})
-    tree = appended(block)
+    tree = appended(block, size)
     tree.root()
     upper, subroot = list(above["witness"].iloc[0]), above["subroot"].iloc[0]
     rows = []
@@ -164,27 +156,27 @@ def leaves(docs: DataFrame, held: Column | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tree.alias("tree"), leaf_digest().alias("digest"), found.alias("held"))
 
 
-def manifest(docs: DataFrame, held: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, held: Column | None = None, size: int = BLOCK) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified, witness) of each row.
 
     ``held`` gives, over the columns of ``docs``, the leaf now found where it may differ from the recorded one (else null).
     A witness lists a step for each level: ``<`` and a left sibling, ``>`` and a right one, or ``-``.
     """
     rows = checkpointed(leaves(docs, held), "manifest-leaves")
-    numbers = numbered(rows, [F.col("doc_id").asc_nulls_first(), F.col("digest")], group="tree", name="place")
+    numbers = numbered(rows, [F.col("doc_id").asc_nulls_first(), F.col("digest")], group="tree", name="place", total="nodes")
     placed = checkpointed(numbers, "manifest-placed")
-    languages = grown(placed.select("tree", "place", "digest"))
+    languages = grown(placed.select("tree", "place", "digest", "nodes"), size)
     subroots = languages[-1].select(F.lit("").alias("tree"), F.col("tree").alias("language"), "digest")
-    ordered = checkpointed(numbered(subroots, [F.col("language")], name="place"), "manifest-subroots")
-    whole = grown(ordered.select("tree", "place", "digest"))
+    ordered = checkpointed(numbered(subroots, [F.col("language")], name="place", total="nodes"), "manifest-subroots")
+    whole = grown(ordered.select("tree", "place", "digest", "nodes"), size)
     top = whole[-1].select("digest").first()
     root = top[0] if top else None
     nothing = F.array().cast("array<string>").alias("witness")
-    in_whole = witnessed(whole, whole[-1].select("tree", "place", nothing))
+    in_whole = witnessed(whole, whole[-1].select("tree", "place", nothing), size)
     tops = ordered.join(in_whole.drop("tree"), "place").select(F.col("language").alias("tree"), F.lit(0).cast("long").alias("place"), "witness")
-    above = witnessed(languages[1:], tops) if len(languages) > 1 else tops  # of the blocks of leaves
+    above = witnessed(languages[1:], tops, size) if len(languages) > 1 else tops  # of the blocks of leaves
     above = above.join(ordered.select(F.col("language").alias("tree"), F.col("digest").alias("subroot")), "tree")
-    pair = _sized(placed).groupBy("tree", _block_of()).cogroup(above.groupBy("tree", F.col("place").alias("block")))
-    proved = pair.applyInPandas(_proved, "doc_id long, leaf string, subroot string, proof_sha256 string, folded_root string, witness array<string>")
+    pair = placed.groupBy("tree", _block_of(size)).cogroup(above.groupBy("tree", F.col("place").alias("block")))
+    proved = pair.applyInPandas(lambda block, above: _proved(block, above, size), "doc_id long, leaf string, subroot string, proof_sha256 string, folded_root string, witness array<string>")
     return proved.select("doc_id", "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified"), "witness")
 
