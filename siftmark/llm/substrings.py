@@ -161,8 +161,10 @@ class Seen:
         self.parts, self.rows = [], 0
         order = np.lexsort((start, version, doc, digest, key))
         key, digest, doc, version, start, size = (x[order] for x in (key, digest, doc, version, start, size))
-        again = np.append(False, (key[1:] == key[:-1]) & (digest[1:] == digest[:-1]))[: len(key)]
-        sent = [x[~again] for x in (key, digest, doc, version, start, size)]
+        other = np.append(True, (key[1:] != key[:-1]) | (digest[1:] != digest[:-1]))[: len(key)]
+        sent = [x[other] for x in (key, digest, doc, version, start, size)]
+        earliest = np.flatnonzero(other)[np.cumsum(other) - 1]
+        again = (doc != doc[earliest]) | (version != version[earliest]) | (start != start[earliest])  # not a repeated row
         doc, version, start, stop = joined(*(x[again] for x in (doc, version, start)), start[again] + size[again])
         spread = scattered(doc.view(np.uint64) * FACTORS[1] + version.view(np.uint64) * FACTORS[2] + start.astype(np.uint64) * FACTORS[7])
         marks = [spread, spread, doc, version, start, (stop - start).astype(np.int32)]
@@ -219,9 +221,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Stretches marked already pass. Streams: of a key only its last row is remembered, until a second stretch shows.
     """
     held = None  # the first stretch of the key last seen, while it is alone
-    last_key = last_digest = None
+    last_key = last_digest = last_place = None
     for batch in batches:
-        key, digest = (batch.column(c).to_numpy() for c in ("key", "digest"))
+        key, digest, *place = (batch.column(c).to_numpy() for c in ("key", "digest", "doc", "version", "start"))
         marked = batch.column("marked").to_numpy(zero_copy_only=False)
         if not len(key):
             continue
@@ -246,11 +248,19 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             followed = (nexts < len(later)) & (np.append(later, len(key))[np.minimum(nexts, len(later))] < ends)
             keep[opening[followed]] = True
             held = None if followed[-1] else _asked(batch, [opening[-1]], False)
+        # a repeated row stands at the place of the earliest one
+        earliest = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+        repeated = same.copy()
+        for i, column in enumerate(place):
+            of_earliest = np.where(earliest < 0, column[0] if last_place is None else last_place[i], column[earliest])
+            repeated &= column == of_earliest
         last_key, last_digest = key[-1], digest[-1]
+        last_place = last_place if earliest[-1] < 0 else [c[earliest[-1]] for c in place]
         if keep.any():
             yield _asked(batch, np.flatnonzero(keep), False)
-        if (same | marked).any():
-            yield _asked(batch, np.flatnonzero(same | marked), True)
+        again = marked | (same & ~repeated)
+        if again.any():
+            yield _asked(batch, np.flatnonzero(again), True)
 
 
 def _asked(batch: pa.RecordBatch, rows: object, marked: bool) -> pa.RecordBatch:
@@ -316,7 +326,10 @@ def repeats(texts: list[bytes], doc: np.ndarray, version: np.ndarray, start: np.
     group, row, offset = group[inside], row[inside], offset[inside]
     earliest = np.lexsort((start[row] + offset, version[row], doc[row], group))
     group, row, offset = group[earliest], row[earliest], offset[earliest]
-    again = np.append(False, group[1:] == group[:-1])[: len(group)]
+    opening = np.append(True, group[1:] != group[:-1])[: len(group)]
+    head = np.flatnonzero(opening)[np.cumsum(opening) - 1]
+    places = (start[row] + offset, version[row], doc[row])
+    again = np.any([p != p[head] for p in places], axis=0)  # a repeated row stands at the place of the earliest one
     row, offset = row[again], offset[again]
     by_row = np.lexsort((offset, row))
     row, offset = row[by_row], offset[by_row]
