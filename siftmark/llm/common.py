@@ -27,6 +27,16 @@ def checkpointed(df: DataFrame, purpose: str) -> DataFrame:
     return written(df, f"llm-{purpose}")
 
 
+def released(*tables: DataFrame) -> None:
+    """Delete tables that ``checkpointed`` wrote, once what was made of them is itself written."""
+    for df in tables:
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            if os.path.basename(folder).startswith("llm-"):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
