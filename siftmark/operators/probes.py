@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +10,9 @@ from siftmark.functions.draws import order_key
 from siftmark.operators.joins import lookup
 from siftmark.operators.metrics import auroc
 from siftmark.operators.ranking import hash_cuts, quantiles, taken, top_k
-from siftmark.operators.records import fold_assignment
+from siftmark.operators.shuffles import permutation_aurocs
 from siftmark.operators.vectors import standardised, sums
+from siftmark.session import written
 
 # The twelve image statistics in column order, those fixed by per-image standardisation, the
 # guards of the session ratios, the jitter band and how far a negative control may stray.
@@ -60,16 +59,9 @@ def permutation_test(
 ) -> DataFrame:
     """Probe AUROC with two-sided permutation p-values; permuted labels keep the class sizes."""
     z = standardised(rows, keys, features).select(*keys, item, "z", F.col(label).alias("label"))
-    sizes = z.groupBy(*keys).agg(F.sum("label").alias("n_pos"))
-    replicas = z.select(*keys, item, "z", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    replicas = replicas.withColumn("order_key", order_key("permute", item, F.col("perm") + seed))
-    grain = [*keys, "perm"]
-    plan = sizes.select(*keys, "n_pos", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    cuts = hash_cuts(replicas, grain, "order_key", {"ones": F.col("n_pos")}, plan)
-    shuffled = lookup(replicas, cuts.select(*grain, "ones_cut"), grain).withColumn("label", taken("order_key", "ones").cast("int"))
-    null_auroc = auroc(loo_scores(shuffled.drop("ones_cut", "order_key"), grain), grain, "probe_score")
-    real = auroc(loo_scores(z, keys), keys, "probe_score").withColumnRenamed("auroc", "probe_auroc")
-    joined = null_auroc.join(real, keys)
+    found = written(permutation_aurocs(z, keys, item, n_perm, seed), "permutations")
+    real = found.where("perm = -1").select(*keys, F.col("auroc").alias("probe_auroc"))
+    joined = found.where("perm >= 0").join(real, keys)
     return joined.groupBy(*keys).agg(
         F.max("probe_auroc").alias("probe_auroc"),
         ((F.count_if(F.col("auroc") >= F.col("probe_auroc")) + 1) / F.lit(float(n_perm + 1))).alias("p_high"),
@@ -130,30 +122,3 @@ def false_alarm_profile(judged: DataFrame, keys: list[str], statistics: list[str
     )
     test = long.where("status in ('alarm', 'other')").withColumn("is_alarm", (F.col("status") == "alarm").cast("int"))
     return means.join(auroc(test, grain, "value", "is_alarm"), grain, "left")
-
-
-def logistic_probe(
-    rows: DataFrame, item: str, features: str, label: str = "label", c: float = 0.5, folds: int = 5, repeats: int = 5, max_iter: int = 500
-) -> DataFrame:
-    """Out-of-fold AUROC of an L2 logistic regression, one row per repeat.
-
-    Every fit is a distributed Spark ML fit; the loop runs over folds and repeats only.
-    """
-    data = rows.select(F.lit(0).alias("_all"), item, features, F.col(label).alias("label"))
-    assigned = fold_assignment(data, ["_all"], item, "label", folds, repeats)
-    n_rows = data.count()
-    scored = None
-    for repeat in range(repeats):
-        for fold in range(folds):
-            here = assigned.where(F.col("repeat") == repeat)
-            is_train = F.col("fold") != fold
-            z = standardised(here, ["_all"], features, fit_on=is_train).withColumn("vec", array_to_vector("z"))
-            n_train = n_rows - n_rows // folds
-            model = LogisticRegression(
-                featuresCol="vec", labelCol="label", regParam=1.0 / (c * n_train), elasticNetParam=0.0, standardization=False, maxIter=max_iter
-            ).fit(z.where(is_train))
-            part = model.transform(z.where(~is_train)).select(
-                "repeat", item, "label", vector_to_array("rawPrediction")[1].alias("decision")
-            )
-            scored = part if scored is None else scored.unionByName(part)
-    return auroc(scored, ["repeat"], "decision")

@@ -19,12 +19,12 @@ SAMPLE = [
     "paired_bootstrap",
     "best_match_top_up",
     "stream_alarms",
+    "logistic_probe",
 ]
-WITHOUT_SQL = {"logistic_probe"}
 
 
-def test_every_query_has_a_twin_or_a_reason():
-    assert set(contract.catalogue.QUERIES) - set(contract.oracle_sql()) == WITHOUT_SQL
+def test_every_query_has_a_twin():
+    assert not set(contract.catalogue.QUERIES) - set(contract.oracle_sql())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
@@ -43,9 +43,3 @@ def test_compare_sees_a_changed_value():
     assert check.compare(a, a.iloc[::-1]) is None
     assert check.compare(a, a.assign(x=[1, 3])) is not None
     assert check.compare(a, a.rename(columns={"x": "z"})) is not None
-
-
-@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
-def test_logistic_probe_is_between_chance_and_one(spark):
-    value = contract.queries()["logistic_probe"](spark, SF_DIR).first()["auroc"]
-    assert 0.0 <= value <= 1.0
