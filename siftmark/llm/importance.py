@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.llm.common import arrow_rows, numbered
+from siftmark.llm.common import arrow_rows, checkpointed, numbered
 
 BUCKETS = 10_000
 LONGEST = 3
@@ -107,7 +107,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     Of the rows with ``least_words`` words at least, ``percent`` in a hundred are drawn, rounded down.
     """
     fit = (F.col("n_words") >= least_words).alias("fit")
-    weighed = weights(docs, gains(docs, target), seed).withColumn("fit", fit)
+    weighed = checkpointed(weights(docs, gains(docs, target), seed).withColumn("fit", fit), "importance-weights")
     placed = numbered(weighed, [F.col("fit").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_first()])
     drawn = placed.where("fit").count() * percent // 100
     rank = F.when(F.col("fit") & (F.col("_place") < drawn), F.col("_place") + 1).cast("long")
