@@ -28,13 +28,17 @@ def checkpointed(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def released(*tables: DataFrame) -> None:
-    """Delete tables that ``checkpointed`` wrote, once what was made of them is itself written."""
+    """Delete tables that ``checkpointed`` wrote, once what was made of them is itself written.
+
+    The driver also collects its garbage, as Spark keeps the shuffle files of ended jobs until their plans are collected.
+    """
     for df in tables:
         for folder in {os.path.dirname(f) for f in df.inputFiles()}:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
             if os.path.basename(folder).startswith("llm-"):
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
+        df.sparkSession._jvm.System.gc()
 
 
 def text_or_empty(column: str = "text") -> Column:
