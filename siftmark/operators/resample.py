@@ -1,8 +1,6 @@
 """Stratified and paired bootstrap, and the noise band over seeds.
 
-The slots of a resample are the rows themselves: each row makes one draw per replicate inside its own
-class, so the draws are generated where the rows lie and class sizes are kept exactly. Draws are
-reduced to multiplicities before they meet the scores.
+Class sizes are kept exactly in every replicate, and the weights of a replicate are computed where the rows lie (``weights``).
 """
 
 from __future__ import annotations
@@ -10,23 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.functions.draws import hash_slot, order_key
-from siftmark.operators.metrics import RESAMPLE_METRICS, average_precision_row_order, curve, curve_of
-from siftmark.operators.ranking import hash_positions, tally
-
-
-def multiplicities(rows: DataFrame, keys: list[str], n_boot: int, path: str = "path", label: str = "label", seed: int = 0) -> DataFrame:
-    """The rows with ``replicate`` and ``times``, how often a replicate drew them (rows never drawn are left out)."""
-    keyed = rows.withColumn("order_key", order_key("slot", path, seed))
-    placed = hash_positions(keyed, [*keys, label], "order_key").drop("order_key")
-    drawn = hash_slot("boot", F.concat_ws("/", *keys, label, "replicate", "pos"), F.col("pos_size"), seed)
-    draws = (
-        placed.select(*keys, label, "pos", "pos_size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
-        .select(*keys, label, "replicate", drawn.alias("pos"))
-        .groupBy(*keys, label, "replicate", "pos")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    return draws.join(placed, [*keys, label, "pos"]).drop("pos", "pos_size")
+from siftmark.operators import weights
+from siftmark.operators.metrics import RESAMPLE_METRICS, average_precision_row_order, curve
+from siftmark.operators.weights import multiplicities  # noqa: F401
 
 
 def replicate_metric(
@@ -35,15 +19,7 @@ def replicate_metric(
     """One metric value per group, replicate and arm; all arms use the same draws."""
     if metric not in RESAMPLE_METRICS:
         raise ValueError(f"unknown metric {metric!r}; known: {sorted(RESAMPLE_METRICS)}")
-    drawn = multiplicities(rows.select(*keys, "path", "label", *arms.values()), keys, n_boot, seed=seed)
-    arm_scores = F.array(*[F.struct(F.lit(arm).alias("arm"), F.col(c).alias("score")) for arm, c in arms.items()])
-    long = drawn.select(*keys, "label", "replicate", "times", F.explode(arm_scores).alias("a")).select(
-        *keys, "label", "replicate", "times", "a.arm", "a.score"
-    )
-    grain = [*keys, "replicate", "arm"]
-    positive = F.when(F.col("label") == 1, F.col("times")).otherwise(0).cast("bigint")
-    counted = tally(long, grain, "score", {"pos": positive, "neg": F.col("times") - positive})
-    return curve_of(counted, grain, source=long.select("score")).groupBy(*grain).agg(RESAMPLE_METRICS[metric]().alias("value"))
+    return weights.replicate_metric(rows, keys, arms, metric, n_boot, seed)
 
 
 def interquartile_mean(value: str) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.operators import compare, metrics, profile, reliability, resample, selection, settings
+from siftmark.operators import compare, metrics, profile, reliability, resample, selection, settings, weights
 from siftmark.functions.arrays import has_random_step
 from siftmark.plans import bindings as B
 from siftmark.plans.catalogue import query
@@ -13,7 +15,7 @@ from siftmark.plans.headline import rounded
 from siftmark.plans.metric_queries import COLLAPSE, EPOCH_KEYS, EPOCH_METRICS, EPOCH_STATS, FOLD, SELECTOR, collapsed_runs, trajectory
 from siftmark.plans.sql_tables import AP_OF_CURVE, AUROC_OF_CURVE, DOCS, SCORES, r6
 
-N_BOOT, ALPHA = 40, 0.05
+N_BOOT, ALPHA = 1000, 0.05
 NOTE = "CASE WHEN n_pos = 0 OR n_pos = n THEN 'single-class test split' END"
 SPREAD_AUROC = """
   SELECT category, rep, arm, CASE WHEN sum(label) > 0 AND sum(1 - label) > 0 THEN
@@ -22,11 +24,41 @@ SPREAD_AUROC = """
                + (count(*) OVER (PARTITION BY category, rep, arm, score) - 1) / 2.0::DOUBLE AS rk FROM drawn)
   GROUP BY ALL
 """
+MASK = 4294967295
+
+
+def mixed_sql(source: str, a: str, b: str, i: str, name: str) -> str:
+    """``source`` with ``name``, the 32 bits that ``weights.mixed`` makes of the columns a, b and i."""
+
+    def spread(inner: str) -> str:
+        for shift, factor in ((16, weights.FIRST), (13, weights.SECOND)):
+            inner = f"SELECT * REPLACE ((xor(x, x >> {shift}) * {factor}) & {MASK} AS x) FROM ({inner})"
+        return f"SELECT * REPLACE (xor(x, x >> 16) AS x) FROM ({inner})"
+
+    first = spread(f"SELECT *, ({a} + ({i}::UBIGINT * {weights.STEP}) & {MASK}) & {MASK} AS x FROM ({source})")
+    return f"SELECT * RENAME (x AS {name}) FROM ({spread(f'SELECT * REPLACE (xor(x, {b}) AS x) FROM ({first})')})"
+
+
+def halves_sql(text: str, low: str, high: str) -> str:
+    return ", ".join(f"('0x' || substr(md5({text}), {start}, 8))::UBIGINT AS {name}" for start, name in ((1, low), (9, high)))
+
+
+MEAN = f"greatest(0.0::DOUBLE, 1.0::DOUBLE - {weights.MARGIN}::DOUBLE / sqrt(size::DOUBLE))"
+SHARES = [" + ".join(f"exp(-{MEAN}) * pow({MEAN}, {i}) / {math.factorial(i)}::DOUBLE" for i in range(k + 1)) for k in range(weights.MOST + 1)]
+POISSON = " + ".join(f"(bits >= ceil(({share}) * 4294967296.0::DOUBLE))::BIGINT" for share in SHARES)
+REPLICATES = f"range({N_BOOT}) t(rep)"
+ONE = mixed_sql("SELECT *, rep::UBIGINT AS r FROM open_draws, range(missing) s(slot)", "class_low", "class_high", "r", "one")
+TWO = mixed_sql(ONE, "class_high", "class_low", "r", "two")
+SLOTS = mixed_sql(mixed_sql(TWO, "one", "two", "slot", "upper_bits"), "two", "one", "slot", "lower_bits")
 DRAWN = f"""
 pos AS (SELECT *, score + label * 0.35::DOUBLE AS score_b, row_number() OVER (PARTITION BY category, label ORDER BY md5('0:slot:' || path)) - 1 AS pos,
                count(*) OVER (PARTITION BY category, label) AS size FROM docs),
-draws AS (SELECT category, label, rep, ('0x' || substr(md5('0:boot:' || category || '/' || label || '/' || rep || '/' || pos), 1, 15))::BIGINT % size AS pos
-          FROM pos, range({N_BOOT}) t(rep)),
+hashed AS (SELECT category, label, pos, size, {halves_sql("'0:boot:' || category || '/' || label || '/' || pos", 'low', 'high')} FROM pos),
+base AS (SELECT category, label, rep, pos, size, {POISSON} AS times FROM ({mixed_sql(f'SELECT * FROM hashed, {REPLICATES}', 'low', 'high', 'rep', 'bits')})),
+open_draws AS (SELECT category, label, rep, size, size - sum(times)::BIGINT AS missing, {halves_sql("'0:draws:' || category || '/' || label", 'class_low', 'class_high')}
+               FROM base GROUP BY category, label, rep, size),
+draws AS (SELECT category, label, rep, pos FROM base, range(times) t(i)
+          UNION ALL SELECT category, label, rep, ((upper_bits * 4294967296 + lower_bits) % size::UBIGINT)::BIGINT AS pos FROM ({SLOTS})),
 drawn AS (SELECT d.category, d.rep, p.label, arm, CASE WHEN arm = 'a' THEN score ELSE score_b END AS score
           FROM draws d JOIN pos p ON d.category = p.category AND d.label = p.label AND d.pos = p.pos, (VALUES ('a'), ('b')) v(arm)),
 vals AS ({SPREAD_AUROC}),
