@@ -6,6 +6,8 @@ operator returns the whole inventory with a ``split`` column; rows change split,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +15,8 @@ from pyspark.sql.window import Window
 from siftmark.functions import paths as P
 from siftmark.functions.draws import half_even, order_key, take_size, validation_part
 from siftmark.operators.joins import lookup, require
-from siftmark.operators.ranking import hash_cuts, hash_positions, taken, text_digits
+from siftmark.operators.ranking import hash_cuts, hash_digits, hash_positions, taken, text_digits
+from siftmark.session import written
 
 
 def inventory(files: DataFrame, path: str = "path") -> DataFrame:
@@ -232,6 +235,115 @@ def split_in_one_pass(
     return placed.withColumn("split", split.otherwise(F.col("split"))).select(*records.columns)
 
 
+def injection_takes(types: DataFrame, fraction: float | None, fixed: int = 0, val_share: float = 0.5, shares: DataFrame | None = None) -> DataFrame:
+    """``types`` (category, type, n) with ``drawn`` and ``n_val``, the anomalies to move and those of them that go to validation."""
+    share = F.lit(float(val_share)) if shares is None else F.col("val_share")
+    planned = types if shares is None else lookup(types, shares.select("category", "val_share"), ["category"], "inner")
+    drawn = F.least(take_size(F.col("n"), fraction, fixed) * 2, F.col("n"))
+    return planned.select("category", "type", "n", drawn.alias("drawn"), validation_part(drawn, share).alias("n_val"))
+
+
+def _cut_at(take: str, key: str) -> Column:
+    """The key of the row with rank ``take``, of rows with ``rank``, the last rank of a key, and ``times``, its repeats."""
+    hit = (F.col(take) <= F.col("rank")) & (F.col(take) > F.col("rank") - F.col("times"))
+    repeated = F.raise_error(F.concat(F.lit("order keys repeat at a cut: "), F.col(key))).cast("string")
+    return F.max(F.when(hit, F.when(F.col("rank") > F.col(take), repeated).otherwise(F.col(key))))
+
+
+def _running(rows: DataFrame, keys: list[str], order: str, count: str) -> DataFrame:
+    """``upto``, the running total of ``count``, and ``n``, its total, for a table of counts by prefix."""
+    group = Window.partitionBy(*keys)
+    upto = F.sum(count).over(group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("*", upto.alias("upto"), F.sum(count).over(group).alias("n"))
+
+
+def split_by_counts(records: DataFrame, takes: Callable[[DataFrame], DataFrame], fraction: float, calibration: Column, seed: int = 0) -> DataFrame:
+    """Injection, hold-out and calibration from counts by prefix: three reads of the inventory for the cuts and one for its rows.
+
+    ``takes`` turns (category, type, n) of the test anomalies into (category, type, n, drawn, n_val), as ``injection_takes`` does.
+    The first read counts prefixes of both draws. The second looks at the prefixes that hold a cut and counts, by prefix of the
+    calibration order, the normals beyond the hold-out. The third looks at the prefix that holds the calibration cut. Between them are tables of counts,
+    written once. The splits are those of ``inject``, ``hold_out`` and ``calibrate`` in turn; repeated keys at a cut end the job.
+    """
+    digits = hash_digits(records)
+
+    def prefix(key: str) -> Column:
+        return F.substring(key, 1, digits)
+
+    anomaly = (F.col("split") == "test") & (F.col("label") == 1)
+    normal = (F.col("label") == 0) & (F.col("split") == "train")
+    key = F.when(normal, order_key("holdout", "path", seed)).when(anomaly, order_key("inject", "path", seed))
+    keyed = records.withColumn("draw_key", key).withColumn("calib_key", F.when(normal, order_key("calib", "path", seed + 1)))
+    kind = F.when(normal, F.lit("normal")).when(anomaly, F.concat(F.lit("type "), F.col("type")))
+    grain = ["category", "kind"]
+    # Rows that no draw takes have no kind and fall into one row of each count table. A filter or an inner join would move below the columns made
+    # from the path, which would then be computed once for each use.
+    drawable = keyed.select("category", kind.alias("kind"), "draw_key", "calib_key")
+
+    counts = written(drawable.groupBy(*grain, prefix("draw_key").alias("prefix")).agg(F.count(F.lit(1)).alias("c")), "split-counts").where("kind is not null")
+    is_type = F.col("kind") != "normal"
+    sizes = counts.groupBy(*grain).agg(F.sum("c").alias("n"))
+    of_types = takes(sizes.where(is_type).select("category", F.substring("kind", 6, 1 << 30).alias("type"), "n"))
+    held = F.least(F.ceil(F.col("n") * F.lit(float(fraction))), F.col("n"))
+    plan = of_types.select("category", F.concat(F.lit("type "), F.col("type")).alias("kind"), F.col("drawn").cast("bigint"), F.col("n_val").cast("bigint")).unionByName(
+        sizes.where(~is_type).select(*grain, held.cast("bigint").alias("drawn"), F.lit(0).cast("bigint").alias("n_val"))
+    )
+    placed = lookup(_running(counts, grain, "prefix", "c"), plan, grain, "inner")
+
+    def holds(take: str) -> Column:
+        return (F.col(take) <= F.col("upto")) & (F.col(take) > F.col("upto") - F.col("c"))
+
+    def held_by(take: str, value: Column) -> Column:
+        return F.max(F.when(holds(take), value))
+
+    bounds = written(
+        placed.groupBy(*grain).agg(
+            *[F.max(c).alias(c) for c in ("n", "drawn", "n_val")],
+            *[held_by(take, F.col("prefix")).alias(f"{take}_prefix") for take in ("drawn", "n_val")],
+            *[held_by(take, F.col("upto") - F.col("c")).alias(f"{take}_before") for take in ("drawn", "n_val")],
+        ),
+        "split-bounds",
+    )
+    joined = lookup(drawable, bounds, grain).withColumn("prefix", prefix("draw_key"))
+    at = F.coalesce(F.col("prefix") == F.col("drawn_prefix"), F.lit(False)) | F.coalesce(F.col("prefix") == F.col("n_val_prefix"), F.lit(False))
+    beyond = ~is_type & F.coalesce(F.col("prefix") > F.col("drawn_prefix"), F.lit(True))
+    place = F.when(at, F.lit("at")).when(beyond, F.lit("beyond")).alias("place")
+    item, calib = F.when(at, F.col("draw_key")).alias("key"), F.when(at, F.col("calib_key")).when(beyond, prefix("calib_key")).alias("calib")
+    looked = joined.groupBy(*grain, place, item, calib).agg(F.count(F.lit(1)).alias("times"))
+    second = written(looked, "split-second-look").where("kind is not null and place is not null")
+    near = lookup(second.where("key is not null").withColumn("prefix", prefix("key")), bounds, grain, "inner")
+    before = F.when(F.col("prefix") == F.col("drawn_prefix"), F.col("drawn_before")).otherwise(F.col("n_val_before"))
+    rank = F.sum("times").over(Window.partitionBy(*grain, "prefix").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)) + before
+    same = F.sum("times").over(Window.partitionBy(*grain, "prefix", "key"))
+    ranked = near.select("*", rank.alias("rank"), same.alias("repeats")).drop("times").withColumnRenamed("repeats", "times")
+    cuts = ranked.groupBy(*grain).agg(_cut_at("drawn", "key").alias("drawn_cut"), _cut_at("n_val", "key").alias("n_val_cut"))
+    found = written(lookup(bounds.select(*grain), cuts, grain), "split-cuts")
+
+    held_cuts = found.where(~is_type).select("category", F.col("drawn_cut").alias("held_cut"))
+    pool = lookup(second.where(~is_type), held_cuts, ["category"], "inner").where("key is null or held_cut is null or key > held_cut")
+    pooled = _running(pool.groupBy("category", prefix("calib").alias("prefix")).agg(F.sum("times").alias("c")), ["category"], "prefix", "c")
+    wanted = pooled.withColumn("wanted", F.least(F.greatest(calibration.cast("bigint"), F.lit(0)), F.col("n"))).where(holds("wanted"))
+    held_by_prefix = wanted.select("category", F.col("prefix").alias("calib_prefix"), (F.col("upto") - F.col("c")).alias("before"), "wanted")
+    at_calib = written(lookup(held_cuts, held_by_prefix, ["category"]), "split-calibration")
+    pooled_row = ~is_type & F.coalesce(F.col("draw_key") > F.col("held_cut"), F.lit(True))
+    close = F.when(pooled_row & (prefix("calib_key") == F.col("calib_prefix")), F.col("calib_key")).alias("key")
+    third = lookup(drawable, at_calib, ["category"]).groupBy("category", close).agg(F.count(F.lit(1)).alias("times"), *[F.max(c).alias(c) for c in ("before", "wanted")])
+    third = written(third, "split-third-look").where("key is not null")
+    calib_rank = F.sum("times").over(Window.partitionBy("category").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    calib_cuts = third.select("*", calib_rank.alias("rank")).groupBy("category").agg(_cut_at("wanted", "key").alias("calib_cut"))
+
+    types = found.where(is_type).select("category", F.substring("kind", 6, 1 << 30).alias("type"), "drawn_cut", "n_val_cut")
+    normals = written(lookup(held_cuts, calib_cuts, ["category"]), "split-normals")
+    rows = lookup(lookup(keyed, types, ["category", "type"]), normals, ["category"])
+    split = (
+        F.when(anomaly & taken("draw_key", "n_val"), "val")
+        .when(anomaly & taken("draw_key", "drawn"), "train")
+        .when(normal & taken("draw_key", "held"), "val")
+        .when(normal & taken("calib_key", "calib"), "calib")
+    )
+    return rows.withColumn("split", split.otherwise(F.col("split"))).select(*records.columns)
+
+
 def _move_normals(records: DataFrame, size: Column, source: str, target: str, purpose: str, seed: int) -> DataFrame:
     keyed = records.withColumn("order_key", order_key(purpose, "path", seed))
     pool = keyed.where((F.col("label") == 0) & (F.col("split") == source))

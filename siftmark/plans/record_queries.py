@@ -167,7 +167,12 @@ calibrated AS (SELECT i.* REPLACE (CASE WHEN c.moves THEN 'calib' ELSE split END
 def full_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Injection, normal hold-out, then calibration normals where enough stay in training."""
     calibration = records.calibration_size(count=110, min_train=1000)
-    return records.split_in_one_pass(base_records(spark, sf_dir), injected(spark, sf_dir)[1], 0.1, calibration)
+
+    def takes(types: DataFrame) -> DataFrame:
+        shares = records.adaptive_shares(types, take_size(F.col("n"), FRACTION), 0.3, 0.9, 60)
+        return records.injection_takes(types, FRACTION, shares=shares)
+
+    return records.split_by_counts(base_records(spark, sf_dir), takes, 0.1, calibration)
 
 
 @query("calibration_split", f"WITH {INJECTED}, {HOLDOUT} SELECT path, category, type, label, split FROM calibrated")

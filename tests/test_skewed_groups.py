@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -113,6 +114,33 @@ def test_one_pass_split_equals_the_steps(spark):
     cuts = records.injection_cuts(base.where("split = 'test' and label = 1"), 0.3)
     steps = records.calibrate(records.hold_out(records.inject(base, cuts), 0.1), count=40, min_train=50)
     same(records.split_in_one_pass(base, cuts, 0.1, records.calibration_size(count=40, min_train=50)), steps)
+    takes = lambda types: records.injection_takes(types, 0.3)
+    same(records.split_by_counts(base, takes, 0.1, records.calibration_size(count=40, min_train=50)), steps)
+    uncut = records.inject(base, cuts)
+    same(records.split_by_counts(base, takes, 0.0, records.calibration_size()), uncut)
+    same(records.split_by_counts(base, takes, 1.0, records.calibration_size(count=40, min_train=50)), records.hold_out(uncut, 1.0))
+    same(records.split_by_counts(base, takes, 0.0, records.calibration_size(fraction=1.0)), records.calibrate(uncut, fraction=1.0))
+
+
+def test_split_by_counts_reads_the_inventory_four_times(spark):
+    paths = [(f"{c}/{i}", c, "good" if i % 3 else "dent", int(i % 3 == 0), "test" if i % 3 == 0 else "train") for c in "ab" for i in range(60)]
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(path):
+        reads.add(1)
+        return path
+
+    base = spark.createDataFrame(paths, "path string, category string, type string, label int, split string").withColumn("path", seen("path"))
+    split = records.split_by_counts(base, lambda types: records.injection_takes(types, 0.3), 0.1, records.calibration_size(fraction=0.1))
+    assert len(split.collect()) == 120 and reads.value == 4 * 120
+
+
+def test_split_by_counts_refuses_repeated_keys_at_a_cut(spark):
+    rows = [("same", "c", "good", 0, "train")] * 20
+    base = spark.createDataFrame(rows, "path string, category string, type string, label int, split string")
+    with pytest.raises(PySparkException, match="order keys repeat"):
+        records.split_by_counts(base, lambda types: records.injection_takes(types, 0.3), 0.1, records.calibration_size()).count()
 
 
 def test_cap_takes_the_first_rows_by_path(spark):
