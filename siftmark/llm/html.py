@@ -3,7 +3,7 @@
 A page is read once into words and tags. Words score positive and tags negative; how much, by tag name and by the kind of
 element a word stands in, is the log ratio of its counts inside and outside the main text of labelled pages. A linear scan
 finds the contiguous region of the largest sum. Blocks that the region touches are the text, without those inside
-navigation, adverts, forms, scripts and the like. If the region holds words of article or main elements, what lies outside all of these goes;
+navigation, adverts, forms, scripts and the like, which tag and class names tell; names never hide the only article of a page. If the region holds words of article or main elements, what lies outside all of these goes;
 what the elements hold outside the region goes too.
 
 Labelled pages are a bounded sample (``label_pages``) of the pages that mark their main text by an article or main element; a table
@@ -32,7 +32,7 @@ BLOCKS = set(
     "hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template svg math iframe object textarea title head".split())
+RAW = set("script style noscript template svg iframe object textarea title head".split())
 FURNITURE = set("nav aside footer form button select label menu dialog fieldset".split())
 MAIN = set("article main".split())
 NAMES = re.compile(
@@ -40,6 +40,9 @@ NAMES = re.compile(
     r"nav\w*|menu|breadcrumbs?|sidebar|side|widget|footer|masthead|comments?|replies|respond|share|social|related|login|search)(?:$|[\s_-])",
     re.I,
 )
+ADVERTS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*)(?:$|[\s_-])", re.I)
+# Furniture that may stand around a whole page, so that the first article inside it counts.
+WRAPPERS = set("form label fieldset dialog".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -95,14 +98,30 @@ class Block:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in order. ``main`` numbers the outermost article or main element around a block, 0 for none."""
+    """The blocks of a page in order. ``main`` numbers the outermost article or main element around a block, 0 for none.
+
+    If every article and main element is hidden, by its own class names or by those of a wrapper, the first one is read as the main text
+    and what hides it does not count.
+    """
+    found = _blocks(page, False)
+    if any(b.main and not b.hidden and b.text() for b in found) or not re.search(r"<(?:article|main)[\s>]", page or "", re.I):
+        return found
+    freed = _blocks(page, True)
+    return freed if any(b.main and not b.hidden and b.text() for b in freed) else found
+
+
+def _blocks(page: str | None, free_first: bool) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # name, hides its content, is a main element
     hidden = mains = seen = links = 0
+    paragraph = False  # is the open paragraph hidden
+    advert, depth = "", 0  # the inline element that hides its text, and how many of its name are open
     current = Block(False, 0)
     out.append(current)
     for what, name, closing, attributes in tokens(page or ""):
         if what == "text":
+            if depth:
+                continue
             current.pieces.append(name)
             words = len(name.split())
             if words:
@@ -115,6 +134,14 @@ def blocks(page: str | None) -> list[Block]:
         if name == "a":
             links = 0 if closing else 1
         breaks = name in BLOCKS
+        if breaks:
+            links = 0 if depth and advert == "a" else links
+            paragraph, depth = False, 0
+        elif depth:
+            depth += (name == advert) * (-1 if closing else 1)
+        elif not closing and name not in VOID and name not in RAW and name not in FURNITURE and not attributes.rstrip().endswith("/"):
+            if any(ADVERTS.search(a or b or c) for a, b, c in _NAMED.findall(attributes)):
+                advert, depth = name, 1
         if closing:
             if any(s[0] == name for s in stack):
                 while stack:
@@ -125,16 +152,22 @@ def blocks(page: str | None) -> list[Block]:
                         break
         elif name not in VOID and not attributes.rstrip().endswith("/") and (breaks or name in RAW or name in FURNITURE):
             named = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes))
+            first = free_first and name in MAIN and seen == 0 and not any(hides and (n in RAW or (n in FURNITURE and n not in WRAPPERS)) for n, hides, _ in stack)
+            if first:
+                stack = [(n, False, m) for n, _, m in stack]
+                hidden = 0
             is_main = name in MAIN and not hidden
-            hides = name in RAW or name in FURNITURE or (name == "header" and not mains) or (name not in ("html", "body", "main") and bool(named) and bool(NAMES.search(named)))
+            hides = not first and (name in RAW or name in FURNITURE or (name == "header" and not mains) or (name not in ("html", "body", "main") and bool(named) and bool(NAMES.search(named))))
             if is_main and not hides and mains == 0:
                 seen += 1
-            if name != "p":  # paragraphs end where the next block begins and hold no others
+            if name == "p":
+                paragraph = hides
+            else:  # paragraphs end where the next block begins and hold no others
                 stack.append((name, hides, is_main and not hides))
                 hidden += hides
                 mains += is_main and not hides
         if breaks or name in RAW or name in FURNITURE:
-            current = Block(hidden > 0, seen if mains else 0)
+            current = Block(hidden > 0 or paragraph, seen if mains else 0)
             out.append(current)
         current.things.append(thing)
     return out
@@ -200,7 +233,9 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     found = blocks(page)
     owners = [i for i, b in enumerate(found) for _ in b.things]
-    scores = [0.0 if b.main and b.hidden else weights.get(kind, TAG_SCORE if kind.startswith("tag") else WORD_SCORE) * n for b in found for kind, n in b.things]
+    shown = [i for i, b in enumerate(found) if b.main and not b.hidden and any(kind.startswith("word") for kind, _ in b.things)]
+    between = range(shown[0], shown[-1]) if shown else range(0)  # what stands between main elements goes anyway and parts no region
+    scores = [0.0 if (b.main and b.hidden) or (not b.main and i in between) else weights.get(kind, TAG_SCORE if kind.startswith("tag") else WORD_SCORE) * n for i, b in enumerate(found) for kind, n in b.things]
     first, last = best_region(scores)
     if last < first:
         return ""

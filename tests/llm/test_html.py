@@ -42,6 +42,34 @@ def test_region_chooses_inside_main_elements():
     assert html.main_text(PAGE.format(main=f"<article><p>{words}</p>{links}</article>"), weights) == words.strip()
 
 
+WRAPPED = [
+    '<div class="content with-sidebar"><article>{}</article><div id="comments"><article>First!</article></div></div>',
+    '<article class="post comments-open">{}</article>',
+    '<article class="post category-social">{}</article>',
+    '<form id="aspnetForm"><article>{}</article></form>',
+]
+
+
+def test_names_around_the_only_article_do_not_hide_it():
+    weights = html.weights_of(*html.counts(PAGE.format(main=f"<article>{MAIN}</article>")))
+    for wrapped in WRAPPED:
+        assert html.main_text(PAGE.format(main=wrapped.format(MAIN)), weights) == TEXT
+
+
+def test_adverts_inside_an_article_go_and_formulas_stay():
+    weights = html.weights_of(*html.counts(PAGE.format(main=f"<article>{MAIN}</article>")))
+    main = '<p>One two <span class="ad">buy <span>this</span> now</span> three.</p><p class="advert">Buy it</p><p>Four <math><mi>x</mi></math> five.</p><p><a class="ads">Open ad<p>Six.'
+    assert html.main_text(PAGE.format(main=f"<article>{main}</article>"), weights).split("\n") == ["One two three.", "Four x five.", "Six."]
+
+
+def test_a_long_menu_between_articles_parts_nothing():
+    words = "many plain words of the story that go on and on for some time."
+    weights = html.weights_of(*html.counts(PAGE.format(main=f"<article>{MAIN}</article>")))
+    menu = "<nav><ul>" + '<li><a href="/x">More of this</a></li>' * 200 + "</ul></nav>"
+    page = PAGE.format(main=f"<article><p>one {words}</p></article>{menu}<article><p>two {words}</p></article>")
+    assert html.main_text(page, weights).split("\n") == [f"one {words}", f"two {words}"]
+
+
 def test_region_is_the_best_one():
     rng = random.Random(0)
     for _ in range(300):
