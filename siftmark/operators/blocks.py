@@ -14,7 +14,9 @@ from pyspark.sql.window import Window
 
 from siftmark.operators.joins import lookup
 
-BLOCK_ROWS = 512
+BLOCK_ROWS = 8192
+# Rows of one block that meet the other block in one matrix product.
+STEP_ROWS = 256
 
 
 def _numbered(rows: DataFrame, keys: list[str], item: str, block_rows: int) -> DataFrame:
@@ -23,8 +25,38 @@ def _numbered(rows: DataFrame, keys: list[str], item: str, block_rows: int) -> D
     return lookup(rows, sizes, keys, "inner").withColumn("_block", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
 
 
-def pairwise_spread(rows: DataFrame, keys: list[str], item: str, features: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Mean and smallest distance over all pairs of a group; NULL for a single row."""
+def _distances(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[int, float, float]:
+    """Number, sum and smallest of the distances between two blocks; ``same``: each pair of the one block once.
+
+    Squares come from a product of matrices, ``STEP_ROWS`` rows at a time. Where rounding could matter, which is where a
+    square is tiny beside the lengths it was made of, the difference itself is taken.
+    """
+    centre = a.mean(axis=0)
+    a, b = a - centre, b - centre
+    lengths = (b * b).sum(axis=1)
+    pairs, total, smallest = 0, 0.0, np.inf
+    for start in range(0, len(a), STEP_ROWS):
+        part = a[start : start + STEP_ROWS]
+        scale = (part * part).sum(axis=1)[:, None] + lengths
+        squares = scale - 2.0 * (part @ b.T)
+        valid = np.arange(len(b)) > (start + np.arange(len(part)))[:, None] if same else np.ones(squares.shape, bool)
+        i, j = np.nonzero(valid & (squares <= 1e-6 * scale))
+        for at in range(0, len(i), 4 * STEP_ROWS):
+            p, q = i[at : at + 4 * STEP_ROWS], j[at : at + 4 * STEP_ROWS]
+            squares[p, q] = ((part[p] - b[q]) ** 2).sum(axis=1)
+        found = np.sqrt(np.maximum(squares[valid], 0.0))
+        if len(found):
+            pairs, total, smallest = pairs + len(found), total + float(found.sum()), min(smallest, float(found.min()))
+    return pairs, total, smallest
+
+
+def pairwise_spread(
+    rows: DataFrame, keys: list[str], item: str, features: str, block_rows: int = BLOCK_ROWS, least_mean: float = 0.02
+) -> DataFrame:
+    """Mean and smallest distance over all pairs of a group, and whether the mean is at least ``least_mean``; NULL for a single row.
+
+    A row is sent once to each block of its group, so its copies are the group's rows divided by ``block_rows``.
+    """
     numbered = _numbered(rows, keys, item, block_rows)
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     met = numbered.select(*keys, features, "_block", other.alias("_other")).select(
@@ -40,12 +72,7 @@ def pairwise_spread(rows: DataFrame, keys: list[str], item: str, features: str,
         b = a if lo == hi else (np.stack(pdf.loc[pdf["_block"] == hi, features].to_numpy()).astype(float) if (pdf["_block"] == hi).any() else None)
         if a is None or b is None:
             return pd.DataFrame([[*key[:-2], 0, 0.0, None]], columns=[*keys, "pairs", "total", "smallest"])
-        pairs, total, smallest = 0, 0.0, np.inf
-        for i, row in enumerate(a):
-            rest = a[i + 1:] if lo == hi else b
-            if len(rest):
-                d = np.sqrt(((rest - row) ** 2).sum(axis=1))
-                pairs, total, smallest = pairs + len(d), total + float(d.sum()), min(smallest, float(d.min()))
+        pairs, total, smallest = _distances(a, b, lo == hi)
         return pd.DataFrame([[*key[:-2], pairs, total, smallest if pairs else None]], columns=[*keys, "pairs", "total", "smallest"])
 
     parts = met.groupBy(*keys, "_lo", "_hi").applyInPandas(spread, schema)
@@ -53,7 +80,7 @@ def pairwise_spread(rows: DataFrame, keys: list[str], item: str, features: str,
     found = parts.groupBy(*keys).agg(
         F.try_divide(F.sum("total"), F.sum("pairs")).alias("mean_distance"), F.min("smallest").alias("min_distance")
     )
-    return sizes.join(found, keys, "left")
+    return sizes.join(found, keys, "left").withColumn("passed", F.col("mean_distance") >= F.lit(float(least_mean)))
 
 
 def best_hosts(

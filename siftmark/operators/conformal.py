@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.paths import from_test_folder, is_test_good
 from siftmark.functions.scoring import conformal_rank, precision_at_prevalence
-from siftmark.operators.joins import lookup
+from siftmark.operators.joins import lookup, null_safe_lookup
 from siftmark.operators.metrics import class_counts
 from siftmark.operators.ranking import running_totals, tally
 
@@ -41,15 +41,20 @@ def placed_scores(scores: DataFrame, keys: list[str], score: str, buckets: int |
 
 
 def lines_of(placed: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
-    """The line of each group: the conformal rank among normals of calib, or of val if calib is empty.
+    """The line of each group: the conformal rank among normals of calib, or of val if calib is empty."""
+    return _lines_of(placed, keys, {"line": alpha})
+
+
+def _lines_of(placed: DataFrame, keys: list[str], alphas: dict[str, float]) -> DataFrame:
+    """One line column for each named level.
 
     NULL if there are too few normals for the rank. Other splits are passed over inside the aggregate,
     not filtered out, so that a caller who also needs them shares the shuffles behind ``placed``.
     """
-    rank = conformal_rank(F.col("neg_total"), alpha)
-    at_rank = (F.col("neg_cum") >= rank) & (F.col("neg_cum") - F.col("neg") < rank)
 
-    def line(split: str) -> Column:
+    def line(split: str, alpha: float) -> Column:
+        rank = conformal_rank(F.col("neg_total"), alpha)
+        at_rank = (F.col("neg_cum") >= rank) & (F.col("neg_cum") - F.col("neg") < rank)
         return F.max(F.when(at_rank & (F.col("split") == split), F.col("score")))
 
     def rows_of(split: str, total: str) -> Column:
@@ -62,7 +67,7 @@ def lines_of(placed: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFra
     return (
         placed.groupBy(*keys)
         .agg(
-            F.when(has_calib, line("calib")).otherwise(line("val")).alias("line"),
+            *[F.when(has_calib, line("calib", a)).otherwise(line("val", a)).alias(name) for name, a in alphas.items()],
             chosen("neg_total").alias("n_normals"),
             chosen("pos_total").alias("n_defects"),
             F.when(has_calib, F.lit("calib")).otherwise(F.lit("val")).alias("threshold_split"),
@@ -82,29 +87,44 @@ def operating_points(
     scores: DataFrame, keys: list[str], alpha: float = 0.05, score: str = "score", buckets: int | None = None
 ) -> DataFrame:
     """Per group: line, size of its threshold set, false-alarm rate, recall, precision at 5 % prevalence, AUROC."""
+    return operating_points_at(scores, keys, [alpha], score, buckets).drop("alpha")
+
+
+def operating_points_at(
+    scores: DataFrame, keys: list[str], alphas: list[float], score: str = "score", buckets: int | None = None
+) -> DataFrame:
+    """``operating_points`` at several false-alarm levels: a row per group and ``alpha``, all read off one placement."""
     placed = placed_scores(scores, keys, score, buckets)
-    # Every group has a line row. An inner join gives both sides the same filters, so they share shuffles.
-    judged = lookup(placed, lines_of(placed, keys, alpha), keys, "inner")
+    lines = {f"_line_{i}": float(a) for i, a in enumerate(alphas)}
+    # Every group has a line row.
+    judged = null_safe_lookup(placed, _lines_of(placed, keys, lines), keys, "inner")
     test = F.col("split") == "test"
-    over = test & (F.col("score") > F.col("line"))
 
     def of_test(total: str) -> Column:
         return F.max(F.when(test, F.col(total)))
 
-    def share(count: str) -> Column:
+    def share(count: str, line: str) -> Column:
+        over = test & (F.col("score") > F.col(line))
         hit = F.sum(F.when(over, F.col(count)).otherwise(0)).cast("double")
-        return F.when(F.max("line").isNotNull(), F.try_divide(hit, of_test(f"{count}_total")))
+        return F.when(F.max(line).isNotNull(), F.try_divide(hit, of_test(f"{count}_total")))
+
+    def level(line: str, alpha: float) -> Column:
+        return F.struct(
+            F.lit(alpha).alias("alpha"), F.max(line).alias("line"),
+            share("neg", line).alias("false_alarms"), share("pos", line).alias("recall"),
+        )
 
     below = (F.col("neg_cum") - F.col("neg")).cast("double") + F.col("neg") / F.lit(2.0)
     pairs = of_test("pos_total").cast("double") * of_test("neg_total").cast("double")
     points = judged.groupBy(*keys).agg(
-        F.max("line").alias("line"),
+        F.array(*[level(name, a) for name, a in lines.items()]).alias("_levels"),
         F.max("n_normals").alias("n_normals"),
         F.max("n_defects").alias("n_defects"),
-        share("neg").alias("false_alarms"),
-        share("pos").alias("recall"),
         F.try_divide(F.sum(F.when(test, F.col("pos") * below)), pairs).alias("auroc"),
     )
+    points = points.withColumn("_level", F.explode("_levels")).select(
+        *keys, "_level.alpha", "_level.line", "n_normals", "n_defects", "_level.false_alarms", "_level.recall", "auroc"
+    )
     return points.withColumn("precision_5", precision_at_prevalence(F.col("recall"), F.col("false_alarms")))
 
 

@@ -15,6 +15,12 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left")
     return rows.join(table, on, how)
 
 
+def null_safe_lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """``lookup`` in which a NULL key meets a NULL key: keys are compared as one struct, whose NULL fields are equal."""
+    keyed = table.select(F.struct(*on).alias("_on"), *[c for c in table.columns if c not in on])
+    return lookup(rows.withColumn("_on", F.struct(*on)), keyed, ["_on"], how).drop("_on")
+
+
 def require(df: DataFrame, ok: Column, message: Column | str) -> DataFrame:
     """Pass rows on while ``ok`` holds; the first row that breaks it ends the job with ``message``."""
     text = F.lit(message) if isinstance(message, str) else message

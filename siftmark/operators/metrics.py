@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions.scoring import left_closed_bin, logit_loss, prior_corrected, right_closed_bin, sigmoid
-from siftmark.operators.joins import lookup
+from siftmark.operators.joins import null_safe_lookup
 from siftmark.operators.ranking import running_totals, tally
 
 # Metric names in reporting order.
@@ -143,11 +143,12 @@ def average_precision_row_order(
         c.alias(name) for name, c in class_counts(label).items()
     ])
     in_tie = running_totals(rows, [*keys, "score"], "position", ["pos", "neg"], buckets=buckets).where("pos = 1")
-    joined = in_tie.join(above, [*keys, "score"])
+    joined = null_safe_lookup(in_tie, above, [*keys, "score"], "inner")
     hits = F.col("tp_above") + F.col("pos_cum")
     rank = hits + F.col("fp_above") + F.col("neg_cum")
     found = joined.groupBy(*keys).agg((F.sum(hits.cast("double") / rank) / F.max("p")).alias("aupr_row_order"))
-    return scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).join(found, keys, "left").select(*keys, "aupr_row_order")
+    groups = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    return null_safe_lookup(groups, found, keys).select(*keys, "aupr_row_order")
 
 
 def roc_points(scores: DataFrame, keys: list[str], score: str = "score", label: str = "label", buckets: int | None = None) -> DataFrame:
@@ -246,14 +247,40 @@ def metric_set(
     if thresholds is None:
         best = youden_of_curve() if strategy == "youden" else f1_of_curve()
         thresholds = placed.groupBy(*keys).agg(F.coalesce(best, F.lit(0.0)).alias("threshold"))
+    return _metrics_of(null_safe_lookup(placed, thresholds.select(*keys, "threshold"), keys), keys).drop("loss")
+
+
+def metric_set_by_split(
+    scores: DataFrame,
+    keys: list[str],
+    choose_on: str = "val",
+    strategy: str = "youden",
+    score: str = "score",
+    label: str = "label",
+    buckets: int | None = None,
+) -> DataFrame:
+    """``metric_set`` of every split, and its mean loss, at the threshold that the split ``choose_on`` gives its group.
+
+    One curve over (keys, split) serves thresholds and metrics of all splits. A group without rows in ``choose_on``
+    has no threshold: its confusion metrics are NULL, the others are not.
+    """
+    placed = curve(scores, [*keys, "split"], score, label, buckets)
+    best = youden_of_curve() if strategy == "youden" else f1_of_curve()
+    chosen = placed.where(F.col("split") == choose_on).groupBy(*keys).agg(F.coalesce(best, F.lit(0.0)).alias("threshold"))
+    found = _metrics_of(null_safe_lookup(placed, chosen, keys), [*keys, "split"])
+    confusion = [F.when(F.col("threshold").isNotNull(), F.col(c)).alias(c) for c in ("f1", "precision", "recall")]
+    return found.select(*keys, "split", "threshold", "auroc", "aupr", *confusion, "ece", "loss")
+
+
+def _metrics_of(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """All metrics from a curve that carries its threshold. Everything is a sum over distinct scores: one pass."""
     rows = F.col("pos") + F.col("neg")
     probability = sigmoid(F.col("score"))
     fired = F.col("score") >= F.col("threshold")
     below = (F.col("n") - F.col("fp")).cast("double") + F.col("neg") / F.lit(2.0)
-    # Everything is a sum over distinct scores, so one pass over the curve gives all metrics.
+    losses = F.col("pos") * logit_loss(F.col("score"), F.lit(1)) + F.col("neg") * logit_loss(F.col("score"), F.lit(0))
     binned = (
-        lookup(placed, thresholds.select(*keys, "threshold"), keys)
-        .withColumn("bin", right_closed_bin(probability))
+        placed.withColumn("bin", right_closed_bin(probability))
         .groupBy(*keys, "bin")
         .agg(
             F.max("threshold").alias("threshold"),
@@ -265,6 +292,7 @@ def metric_set(
             F.sum(F.when(fired, F.col("neg")).otherwise(0)).alias("miss"),
             F.sum(rows).alias("rows"),
             F.abs(F.sum("pos") - F.sum(rows * probability)).alias("gap"),
+            F.sum(losses).alias("loss"),
         )
     )
     p, n, hit, miss = F.max("p").cast("double"), F.max("n").cast("double"), F.sum("hit").cast("double"), F.sum("miss")
@@ -280,4 +308,5 @@ def metric_set(
         ratio(hit, hit + miss).alias("precision"),
         ratio(hit, p).alias("recall"),
         (F.sum("gap") / F.sum("rows")).alias("ece"),
+        (F.sum("loss") / F.sum("rows")).alias("loss"),
     )

@@ -4,6 +4,9 @@ A window partitioned by the group alone sorts the group in a single task. Here a
 into buckets that follow the order (score ranges, or prefixes of a hash), totals run inside a bucket,
 and the totals of earlier buckets are added back. The result equals the plain window exactly; the cut
 points only decide how even the tasks are.
+
+Rows whose group key is NULL are a group of their own, as in ``groupBy``: groups are handled as one struct of their
+keys, and structs with NULL fields at the same places are equal in a join.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftmark.operators.joins import lookup
+from siftmark.operators.joins import lookup, null_safe_lookup
 
 SKETCH_ACCURACY = 20_000
 
@@ -28,6 +31,16 @@ def default_buckets(df: DataFrame) -> int:
     return max(2, partitions_of(df))
 
 
+def packed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The group keys as one struct ``_group``, which is never NULL."""
+    return rows.select(F.struct(*keys).alias("_group"), *[c for c in rows.columns if c not in keys])
+
+
+def unpacked(columns: list[str], keys: list[str]) -> list[Column]:
+    """``columns`` of a packed table under their own names."""
+    return [F.col("_group")[c].alias(c) if c in keys else F.col(c) for c in columns]
+
+
 def range_bucketed(rows: DataFrame, source: DataFrame, order: str, buckets: int) -> DataFrame:
     """Add ``_bucket``, the 0-based bucket of ``order`` between approximate quantiles of ``source``.
 
@@ -76,26 +89,26 @@ def running_totals(
     """
     buckets = default_buckets(rows) if buckets is None else buckets
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    parts = range_bucketed(rows, rows if source is None else source, order, buckets)
+    parts = range_bucketed(packed(rows, keys), rows if source is None else source, order, buckets)
 
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_group", "_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.select("*", *[F.sum(m).over(inside).alias(f"_{m}_in") for m in measures])
 
-    over_buckets = Window.partitionBy(*keys).orderBy(direction("_bucket"))
+    over_buckets = Window.partitionBy("_group").orderBy(direction("_bucket"))
     earlier = over_buckets.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    whole = Window.partitionBy("_group")
     offsets = (
-        parts.groupBy(*keys, "_bucket")
+        parts.groupBy("_group", "_bucket")
         .agg(*[F.sum(m).alias(m) for m in measures])
         .select(
-            *keys,
+            "_group",
             "_bucket",
             *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_{m}_before") for m in measures],
             *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
         )
     )
-    return local.join(offsets, [*keys, "_bucket"]).select(
-        *rows.columns,
+    return local.join(offsets, ["_group", "_bucket"]).select(
+        *unpacked(rows.columns, keys),
         *[(F.col(f"_{m}_before") + F.col(f"_{m}_in")).alias(f"{m}_cum") for m in measures],
         *[f"{m}_total" for m in measures],
     )
@@ -180,14 +193,14 @@ def hash_cuts(
         F.sum("_c").over(Window.partitionBy(*keys)).alias("n"),
     )
     if extra is not None:
-        placed = placed.join(extra, keys)
+        placed = null_safe_lookup(placed, extra, keys, "inner")
     placed = placed.select("*", *[F.least(F.greatest(c.cast("bigint"), F.lit(0)), F.col("n")).alias(t) for t, c in takes.items()])
     groups = placed.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(t).alias(t) for t in takes])
     holding = placed.where(
         " or ".join(f"({t} > _upto - _c and {t} <= _upto)" for t in takes)
     ).select(*keys, "_prefix", (F.col("_upto") - F.col("_c")).alias("_before"), *takes)
     inside = Window.partitionBy(*keys, "_prefix").orderBy(order_key)
-    ranked = lookup(prefixed, holding, [*keys, "_prefix"], "inner").withColumn(
+    ranked = null_safe_lookup(prefixed, holding, [*keys, "_prefix"], "inner").withColumn(
         "_rank", F.row_number().over(inside) + F.col("_before")
     )
     last = ranked.withColumn("_last", F.max("_rank").over(inside.rangeBetween(Window.currentRow, Window.currentRow)))
@@ -197,7 +210,7 @@ def hash_cuts(
         key = F.when(F.col("_last") > F.col(take), repeated).otherwise(F.col(order_key))
         return F.max(F.when(F.col("_rank") == F.col(take), key)).alias(f"{take}_cut")
 
-    return groups.join(last.groupBy(*keys).agg(*[cut(t) for t in takes]), keys, "left")
+    return null_safe_lookup(groups, last.groupBy(*keys).agg(*[cut(t) for t in takes]), keys)
 
 
 def taken(order_key: str, take: str) -> Column:
@@ -208,22 +221,22 @@ def taken(order_key: str, take: str) -> Column:
 def hash_positions(rows: DataFrame, keys: list[str], order_key: str, name: str = "pos") -> DataFrame:
     """Add the 0-based position of every row in hash order inside its group."""
     digits = hash_digits(rows)
-    prefixed = rows.withColumn("_prefix", F.substring(F.col(order_key), 1, digits))
-    in_order = Window.partitionBy(*keys).orderBy("_prefix")
+    prefixed = packed(rows, keys).withColumn("_prefix", F.substring(F.col(order_key), 1, digits))
+    in_order = Window.partitionBy("_group").orderBy("_prefix")
     offsets = (
-        prefixed.groupBy(*keys, "_prefix")
+        prefixed.groupBy("_group", "_prefix")
         .agg(F.count(F.lit(1)).alias("_c"))
         .select(
-            *keys,
+            "_group",
             "_prefix",
             (F.sum("_c").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"),
-            F.sum("_c").over(Window.partitionBy(*keys)).alias(f"{name}_size"),
+            F.sum("_c").over(Window.partitionBy("_group")).alias(f"{name}_size"),
         )
     )
-    inside = Window.partitionBy(*keys, "_prefix").orderBy(order_key)
+    inside = Window.partitionBy("_group", "_prefix").orderBy(order_key)
     ranked = prefixed.withColumn("_rank", F.row_number().over(inside))
-    return ranked.join(offsets, [*keys, "_prefix"]).select(
-        *rows.columns, (F.col("_before") + F.col("_rank") - 1).cast("bigint").alias(name), f"{name}_size"
+    return ranked.join(offsets, ["_group", "_prefix"]).select(
+        *unpacked(rows.columns, keys), (F.col("_before") + F.col("_rank") - 1).cast("bigint").alias(name), f"{name}_size"
     )
 
 

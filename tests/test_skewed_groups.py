@@ -191,3 +191,43 @@ def test_best_hosts_equals_the_full_cost_table(spark, block_rows, donor_block):
         cost = [np.abs(np.array(h[2])[ring] - np.array(pixels)[ring]).mean() if ring.any() else 0.0 for h in hosts]
         want = [hosts[i][1] for i in np.argsort(cost, kind="stable")[:need]]
         assert got[got.donor_idx == d].sort_values("host_rank").host.tolist() == want
+
+
+NULLABLE = {name: METRICS[name] for name in ("auroc", "aupr", "row_order", "youden", "f1", "points", "quantiles", "positions")}
+
+
+@pytest.mark.parametrize("name", NULLABLE)
+def test_a_null_group_is_a_group(rows, name):
+    """The result for rows whose key is NULL equals that of the same rows under a name."""
+    nameless = rows.withColumn("g", F.when(F.col("g") != "g7", F.col("g")))
+    got, want = NULLABLE[name](nameless), NULLABLE[name](rows)
+    assert got.where("g is null").count() == want.where("g = 'g7'").count() > 0
+    same(got.withColumn("g", F.coalesce("g", F.lit("g7"))), want)
+
+
+def test_cuts_of_a_null_group(spark):
+    paths = spark.createDataFrame([(g, f"{i:03d}") for g in ("a", None) for i in range(50)], "g string, k string")
+    cuts = ranking.hash_cuts(paths, ["g"], "k", {"few": F.lit(7)})
+    assert {(r["g"], r["n"], r["few_cut"]) for r in cuts.collect()} == {("a", 50, "006"), (None, 50, "006")}
+
+
+def test_two_levels_equal_each_level_alone(rows):
+    both = conformal.operating_points_at(rows, ["g"], [0.05, 0.2])
+    for alpha in (0.05, 0.2):
+        same(both.where(F.col("alpha") == alpha).drop("alpha"), conformal.operating_points(rows, ["g"], alpha))
+
+
+def test_distances_keep_tiny_gaps(spark):
+    """Vectors far from the origin that differ in the ninth digit: squares from a product alone would lose them."""
+    base = np.array([1e4, -3e4, 2e4])
+    data = [("g", i, (base + [1e-5 * i, 0, 0]).tolist()) for i in range(40)] + [("g", 40, (-base).tolist())]
+    got = blocks.pairwise_spread(spark.createDataFrame(data, "g string, id long, x array<double>"), ["g"], "id", "x").first()
+    x = np.array([d[2] for d in data])
+    pairs = [np.linalg.norm(x[i] - x[j]) for i in range(41) for j in range(i + 1, 41)]
+    assert got["min_distance"] == pytest.approx(min(pairs), rel=1e-6) and got["mean_distance"] == pytest.approx(np.mean(pairs))
+
+
+def test_spread_verdict(spark):
+    data = [("near", i, [0.001 * i, 0.0]) for i in range(5)] + [("far", i, [float(i), 0.0]) for i in range(5)] + [("one", 0, [0.0, 0.0])]
+    got = blocks.pairwise_spread(spark.createDataFrame(data, "g string, id long, x array<double>"), ["g"], "id", "x").collect()
+    assert {r["g"]: r["passed"] for r in got} == {"near": False, "far": True, "one": None}
