@@ -120,15 +120,34 @@ def has_random_step(steps: Column) -> Column:
     return F.exists(steps, lambda s: s.rlike("^Random") | s.rlike("Jitter"))
 
 
-# SQL bodies of the pooling functions, for use from SQL text after ``register_sql_functions``.
+# Arguments, type and body of the pooling functions for SQL text, after ``register_sql_functions``.
 SQL_FUNCTIONS = {
-    "pool_avg": "values ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(values, 0D, (a, v) -> a + v) / size(values",
-    "pool_max": "values ARRAY<DOUBLE>) RETURNS DOUBLE RETURN array_max(values",
+    "pool_avg": ("x ARRAY<DOUBLE>", "DOUBLE", "try_divide(aggregate(x, 0D, (a, v) -> a + v), size(x))"),
+    "pool_max": ("x ARRAY<DOUBLE>", "DOUBLE", "array_max(x)"),
+    "pool_avgmax": ("x ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "array(try_divide(aggregate(x, 0D, (a, v) -> a + v), size(x)), array_max(x))"),
+    "pool_gem": (
+        "x ARRAY<DOUBLE>, p DOUBLE DEFAULT 3D",
+        "DOUBLE",
+        f"power(try_divide(aggregate(x, 0D, (a, v) -> a + power(greatest(v, {GEM_FLOOR}D), least(greatest(p, {GEM_P_MIN}D), {GEM_P_MAX}D))), size(x)),"
+        f" 1D / least(greatest(p, {GEM_P_MIN}D), {GEM_P_MAX}D))",
+    ),
+    "pool_lse": (
+        "x ARRAY<DOUBLE>, p DOUBLE DEFAULT 1D",
+        "DOUBLE",
+        f"array_max(x) + (ln(aggregate(x, array_max(x), (a, v) -> a, a -> aggregate(x, 0D, (b, v) -> b + exp(greatest(p, {LSE_P_MIN}D) * (v - a))))) - ln(size(x)))"
+        f" / greatest(p, {LSE_P_MIN}D)",
+    ),
+    "pool_attention": (
+        "x ARRAY<DOUBLE>, scores ARRAY<DOUBLE>",
+        "DOUBLE",
+        "aggregate(transform(array(array_max(scores)), top -> transform(scores, s -> exp(s - top)))[0], 0D, (a, w) -> a + w, "
+        "total -> aggregate(zip_with(x, transform(array(array_max(scores)), top -> transform(scores, s -> exp(s - top)))[0], (v, w) -> v * w), 0D, (a, v) -> a + v) / total)",
+    ),
 }
 
 
 def register_sql_functions(spark: SparkSession) -> list[str]:
-    """Make the average and maximum pools callable from SQL in this session."""
-    for name, body in SQL_FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({body})")
+    """Make every pool of ``POOLS`` callable from SQL in this session, as ``pool_<name>``."""
+    for name, (arguments, kind, body) in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
     return sorted(SQL_FUNCTIONS)

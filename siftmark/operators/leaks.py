@@ -77,6 +77,38 @@ def donor_audit(records: DataFrame, synthetic: DataFrame, planned: DataFrame, ke
     return out.withColumn("ok", clean & (F.col("n_synthetic") == F.col("planned")))
 
 
+def evaluation_overlap(records: DataFrame, synthetic: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group: files of val, test and calib that training, a donor or a host also uses, files in both val and test, tagged rows.
+
+    ``records`` may carry ``tag`` (the name of the step that made a row); a tagged row must not be in an evaluation
+    split. ``synthetic`` has ``host`` and ``donor`` paths. All sides meet in one grouping by path, so no set is held in
+    memory and a file used as donor a million times is counted map-side. Rows without a path name no file.
+    """
+    tagged = F.col("tag").isNotNull() if "tag" in records.columns else F.lit(False)
+    evaluated = F.coalesce(F.col("split").isin("val", "test", "calib"), F.lit(False))
+    files = records.select(
+        *keys, "path", F.col("split").eqNullSafe("train").alias("used"), F.col("split").eqNullSafe("val").alias("in_val"),
+        F.col("split").eqNullSafe("test").alias("in_test"), evaluated.alias("judged"), (evaluated & tagged).cast("bigint").alias("tagged"),
+    )
+    no = F.lit(False)
+    sides = F.explode(F.array("host", "donor"))
+    borrowed = synthetic.select(*keys, sides.alias("path")).select(
+        *keys, "path", F.lit(True).alias("used"), no.alias("in_val"), no.alias("in_test"), no.alias("judged"), F.lit(0).cast("bigint").alias("tagged")
+    )
+    flags = [F.bool_or(c).alias(c) for c in ("used", "in_val", "in_test", "judged")]
+    by_file = files.unionByName(borrowed).groupBy(*keys, "path").agg(*flags, F.sum("tagged").alias("tagged"))
+    named = F.col("path").isNotNull()
+    shared, twice = named & F.col("used") & F.col("judged"), named & F.col("in_val") & F.col("in_test")
+    out = by_file.groupBy(*keys).agg(
+        F.count_if(shared).alias("shared_with_training"),
+        F.count_if(twice).alias("in_val_and_test"),
+        F.min(F.when(shared | twice, F.col("path"))).alias("example"),
+        F.sum("tagged").alias("tagged_evaluation_rows"),
+    )
+    clean = (F.col("shared_with_training") == 0) & (F.col("in_val_and_test") == 0) & (F.col("tagged_evaluation_rows") == 0)
+    return out.withColumn("ok", clean)
+
+
 def missing_counterparts(items: DataFrame, present: DataFrame, counterpart: Column, keys: list[str], strict: bool = False) -> DataFrame:
     """Per group the items whose counterpart path (such as a mask) is not among the present paths; with ``strict`` one is an error."""
     wanted = items.withColumn("counterpart", counterpart)

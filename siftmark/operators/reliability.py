@@ -19,6 +19,16 @@ CAVEATS = [
     "no_val",
 ]
 INVALIDATING = "single_class_train"
+# What a reader of a report is told for each caveat.
+CAVEAT_TEXT = {
+    "low_test_anomalies": "few test anomalies -> test metrics are noisy",
+    "low_val_anomalies": "few val anomalies -> model selection is noisy",
+    "severe_imbalance": "severe class imbalance in train",
+    "low_train_anomalies": "few DISTINCT train anomalies -> the model may never see enough defect variety, regardless of class ratio",
+    "inverted": "AUROC BELOW CHANCE -> the model ranks defects below normals; this is a sign inversion, not noise, and the number is not a weak result",
+    "single_class_train": "train is single-class (result invalid)",
+    "no_val": "no validation split (selection would fall back to test)",
+}
 
 
 def inverted(auroc: Column) -> Column:
@@ -32,6 +42,12 @@ def caveats(flags: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.col(c), c) for c in known]))
 
 
+def caveat_line(caveat_list: Column) -> Column:
+    """The texts of the caveats in their order, as one line; a key without a text stands for itself, no caveat gives an empty line."""
+    texts = F.create_map(*[F.lit(x) for pair in CAVEAT_TEXT.items() for x in pair])
+    return F.array_join(F.transform(caveat_list, lambda c: F.coalesce(F.try_element_at(texts, c), c)), "; ")
+
+
 def reportable(caveat_list: Column, collapsed: Column, selection_failed: Column) -> Column:
     """False if collapsed, not selected, or trained on a single class; noise alone does not disqualify."""
     return ~(

@@ -12,7 +12,9 @@ from siftmark.functions.arrays import has_random_step
 from siftmark.plans import bindings as B
 from siftmark.plans.catalogue import query
 from siftmark.plans.headline import rounded
-from siftmark.plans.metric_queries import COLLAPSE, EPOCH_KEYS, EPOCH_METRICS, EPOCH_STATS, FOLD, SELECTOR, collapsed_runs, trajectory
+from siftmark.plans.metric_queries import (
+    COLLAPSE, EPOCH_KEYS, EPOCH_METRICS, EPOCH_SPLIT_METRICS, EPOCH_STATS, FOLD, SELECTOR, collapsed_runs, numbered, trajectory,
+)
 from siftmark.plans.sql_tables import AP_OF_CURVE, AUROC_OF_CURVE, DOCS, SCORES, r6
 
 N_BOOT, ALPHA = 1000, 0.05
@@ -469,3 +471,32 @@ def mean_against_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def single_tier_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs declared in one tier; a second tier would end the job."""
     return rounded(reliability.single_tier_mean(_per_seed(spark, sf_dir).withColumn("tier", F.lit("native")), "auroc"), "auroc")
+
+
+CAVEAT_CASES = " ".join(f"WHEN '{key}' THEN '{text}'" for key, text in reliability.CAVEAT_TEXT.items())
+
+
+@query(
+    "run_table",
+    f"""WITH RECURSIVE {FULL_REPORT}, {EPOCH_SPLIT_METRICS},
+    at_best AS (SELECT * FROM split_metrics WHERE split = 'test'),
+    places AS (SELECT *, row_number() OVER (PARTITION BY {G} ORDER BY epoch) - 1 AS place FROM (SELECT DISTINCT {G}, epoch FROM epoch_rows))
+    SELECT tier, backbone, r.dataset, r.category, r.seed, r.best_epoch, {', '.join(f"{r6('m.' + c)} AS {c}" for c in ('threshold', *metrics.METRIC_NAMES))},
+      array_to_string(list_transform(list_filter(split(caveats, ','), lambda c: c <> ''), lambda c: CASE c {CAVEAT_CASES} END), '; ') AS caveat_line,
+      CASE WHEN reportable THEN '' ELSE 'excluded' END AS mark
+    FROM report r LEFT JOIN places e ON e.dataset = r.dataset AND e.category = r.category AND e.seed = r.seed AND e.place = r.best_epoch
+    LEFT JOIN at_best m ON m.dataset = r.dataset AND m.category = r.category AND m.seed = r.seed AND m.epoch = e.epoch""",
+)
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per run: test metrics of the selected epoch at its validation threshold, caveats in words, a mark on excluded runs."""
+    runs = report(spark, sf_dir).drop("auroc", "aupr", "train_rows", "val_rows", "test_rows", "collapsed")
+    by_split = metrics.metric_set_by_split(B.epoch_scores(spark, sf_dir), EPOCH_KEYS).drop("loss")
+    places = numbered(by_split.select(*EPOCH_KEYS).distinct().withColumn("logged", F.col("epoch"))).withColumnRenamed("epoch", "best_epoch")
+    test = by_split.where("split = 'test'").drop("split").withColumnRenamed("epoch", "logged")
+    selected = places.join(test, [*B.GROUP, "logged"])
+    line = reliability.caveat_line(F.filter(F.split("caveats", ","), lambda c: c != ""))
+    marked = runs.join(selected, [*B.GROUP, "best_epoch"], "left").select(
+        "tier", "backbone", *B.GROUP, "best_epoch", "threshold", *metrics.METRIC_NAMES, line.alias("caveat_line"),
+        F.when(F.col("reportable"), "").otherwise("excluded").alias("mark"),
+    )
+    return rounded(marked, "threshold", *metrics.METRIC_NAMES)

@@ -205,7 +205,7 @@ def centroid_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     "pairwise_variety",
     f"""WITH p AS (SELECT a.label, a.vec_id, b.vec_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: power(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))) AS d
       FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
-    SELECT e.label, e.n, {r6('avg(d)')} AS mean_distance, {r6('min(d)')} AS min_distance FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) e
+    SELECT e.label, e.n, {r6('avg(d)')} AS mean_distance, {r6('min(d)')} AS min_distance, avg(d) >= 0.02 AS passed FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) e
     LEFT JOIN p ON p.label = e.label GROUP BY ALL""",
 )
 def pairwise_variety(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,6 +257,28 @@ def array_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, *[c for c in out.columns if c != "vec_id"])
 
 
+@query(
+    "pools_from_sql",
+    f"""WITH e AS (SELECT vec_id, {E64} AS x FROM embeddings), t AS (SELECT *, list_max(x) AS top FROM e)
+    SELECT vec_id, {r6('list_sum(x) / 64')} AS avg_pool, {r6('top')} AS max_pool, {r6('list_sum(x) / 64 + 2 * top')} AS avg_max_mix,
+      {r6('power(list_sum(list_transform(x, lambda v: power(greatest(v, 1e-6), 3.0::DOUBLE))) / 64, 1.0::DOUBLE / 3.0::DOUBLE)')} AS gem_pool,
+      {r6('list_sum(list_transform(x, lambda v: greatest(v, 1e-6))) / 64')} AS gem_of_one,
+      {r6('top + (ln(list_sum(list_transform(x, lambda v: exp(2.0::DOUBLE * (v - top))))) - ln(64.0::DOUBLE)) / 2.0::DOUBLE')} AS lse_pool,
+      {r6('list_sum(list_transform(x, lambda v: v * exp(v - top))) / list_sum(list_transform(x, lambda v: exp(v - top)))')} AS attention_pool
+    FROM t""",
+)
+def pools_from_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six pools called from SQL text; an exponent below its range is held at one."""
+    A.register_sql_functions(spark)
+    rows = B.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    found = spark.sql(
+        """SELECT vec_id, pool_avg(x) AS avg_pool, pool_max(x) AS max_pool, pool_avgmax(x)[0] + 2 * pool_avgmax(x)[1] AS avg_max_mix, pool_gem(x) AS gem_pool,
+           pool_gem(x, 0.5D) AS gem_of_one, pool_lse(x, 2D) AS lse_pool, pool_attention(x, x) AS attention_pool FROM {rows}""",
+        rows=rows,
+    )
+    return rounded(found, *[c for c in found.columns if c != "vec_id"])
+
+
 @query(
     "standardised_features",
     f"""WITH x AS (SELECT label, vec_id, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)),

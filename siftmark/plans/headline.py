@@ -87,3 +87,17 @@ def conformal_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conformal_operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = conformal.operating_points(_kept(spark, sf_dir), KEYS)
     return rounded(points, "line", "false_alarms", "recall", "auroc", "precision_5")
+
+
+def _points_sql(alpha: str) -> str:
+    lines = LINES_SQL.replace("0.95::DOUBLE", f"(1.0::DOUBLE - {alpha}::DOUBLE)")
+    return f"""SELECT * FROM (WITH {SCORES}, {lines}
+    SELECT {alpha}::DOUBLE AS alpha, dataset, category, seed, round(line, 6) + 0.0 AS line, n_normals, n_defects, round(false_alarms, 6) + 0.0 AS false_alarms,
+           round(recall, 6) + 0.0 AS recall FROM points)"""
+
+
+@query("operating_points_at_two_levels", f"{_points_sql('0.05')} UNION ALL {_points_sql('0.01')}")
+def operating_points_at_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 % and the 1 % line of every group, from one placement of the scores."""
+    points = conformal.operating_points_at(_kept(spark, sf_dir), KEYS, [0.05, 0.01])
+    return rounded(points.drop("auroc", "precision_5"), "line", "false_alarms", "recall")

@@ -245,6 +245,42 @@ def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(collapse.class_histogram(B.single_view_scores(spark, sf_dir), B.GROUP), "edge")
 
 
+GES = f"{G}, epoch, split"
+EPOCH_SPLIT_METRICS = f"""
+split_rows AS (SELECT {G}, day - 1 AS epoch, split, label, two_view AS score FROM scores),
+{curve('split_rows', GES)},
+chosen AS (
+  SELECT {G}, epoch, CASE WHEN max(p) > 0 AND max(n) > 0 THEN
+           CASE WHEN max(tp / p - fp / n) > 0 THEN arg_max(score, (tp / p - fp / n, score)) ELSE 'infinity'::DOUBLE END
+         ELSE 0.0 END AS threshold
+  FROM curve WHERE split = 'val' GROUP BY ALL),
+ranking AS (SELECT {GES}, {AUROC_OF_CURVE} AS auroc, {AP_OF_CURVE} AS aupr FROM curve GROUP BY ALL),
+fired AS (SELECT r.*, c.threshold, r.score >= c.threshold AS hit FROM split_rows r LEFT JOIN chosen c USING (dataset, category, seed, epoch)),
+confusion AS (
+  SELECT {GES}, max(threshold) AS threshold,
+         sum(CASE WHEN hit AND label = 1 THEN 1 ELSE 0 END)::DOUBLE AS tp, sum(CASE WHEN hit AND label = 0 THEN 1 ELSE 0 END)::DOUBLE AS fp,
+         sum(CASE WHEN NOT hit AND label = 1 THEN 1 ELSE 0 END)::DOUBLE AS fn,
+         avg(CASE WHEN label = 1 THEN ln(1 + exp(-abs(score))) + greatest(-score, 0.0) ELSE ln(1 + exp(-abs(score))) + greatest(score, 0.0) END) AS loss
+  FROM fired GROUP BY ALL),
+{ece_sql('split_rows', '1.0::DOUBLE / (1.0::DOUBLE + exp(-score))', BIN_RIGHT, GES)},
+split_metrics AS (
+  SELECT {GES}, threshold, auroc, aupr, CASE WHEN threshold IS NOT NULL THEN CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END END AS f1,
+         CASE WHEN threshold IS NOT NULL THEN CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END END AS precision,
+         CASE WHEN threshold IS NOT NULL THEN CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END END AS recall, ece, loss
+  FROM ranking JOIN confusion USING (dataset, category, seed, epoch, split) JOIN eces USING (dataset, category, seed, epoch, split))
+"""
+SPLIT_METRICS = ["threshold", *metrics.METRIC_NAMES, "loss"]
+
+
+@query(
+    "epoch_metrics",
+    f"""WITH {SCORES}, {EPOCH_SPLIT_METRICS} SELECT {GES}, {', '.join(f"{r6(c)} AS {c}" for c in SPLIT_METRICS)} FROM split_metrics""",
+)
+def epoch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric of every epoch on each split, at the threshold its validation rows give."""
+    return rounded(metrics.metric_set_by_split(B.epoch_scores(spark, sf_dir), EPOCH_KEYS), *SPLIT_METRICS)
+
+
 EPOCH_METRICS = f"""
 ecurve AS (SELECT {G}, epoch, score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
              sum(pos) OVER (PARTITION BY {G}, epoch) AS p, sum(neg) OVER (PARTITION BY {G}, epoch) AS n

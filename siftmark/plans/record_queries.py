@@ -623,6 +623,36 @@ def donor_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.donor_audit(rows, synthetic, planned, TOP_UP_KEYS)
 
 
+@query(
+    "evaluation_overlap",
+    f"""WITH {DOCS}, files AS (
+      SELECT category, path, label, doc_id, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 = 7 THEN 'val' WHEN doc_id % 10 = 8 THEN 'test' ELSE 'calib' END AS split,
+             doc_id % 41 = 0 AS tagged FROM docs
+      UNION ALL SELECT category, path, label, doc_id, 'val', false FROM docs WHERE doc_id % 50 = 8),
+    pasted AS (SELECT d.category, d.path AS donor, h.path AS host FROM files d JOIN files h ON h.doc_id = d.doc_id + 1 AND h.category = d.category
+               WHERE d.split = 'train' AND d.label = 1 AND h.label = 0),
+    used AS (SELECT category, path FROM files WHERE split = 'train' UNION SELECT category, donor FROM pasted UNION SELECT category, host FROM pasted),
+    judged AS (SELECT DISTINCT category, path FROM files WHERE split <> 'train'),
+    leaks AS (SELECT category, path, 1 AS shared, 0 AS twice FROM judged JOIN used USING (category, path)
+      UNION ALL SELECT category, path, 0, 1 FROM (SELECT category, path FROM files WHERE split = 'val' INTERSECT SELECT category, path FROM files WHERE split = 'test')),
+    found AS (SELECT category, sum(shared)::BIGINT AS shared, sum(twice)::BIGINT AS twice, min(path) AS example FROM leaks GROUP BY category),
+    marked AS (SELECT category, count(*) FILTER (WHERE split <> 'train' AND tagged) AS n_tagged FROM files GROUP BY category)
+    SELECT m.category, coalesce(shared, 0) AS shared_with_training, coalesce(twice, 0) AS in_val_and_test, example, n_tagged AS tagged_evaluation_rows,
+           coalesce(shared, 0) = 0 AND coalesce(twice, 0) = 0 AND n_tagged = 0 AS ok
+    FROM marked m LEFT JOIN found f ON m.category = f.category""",
+)
+def evaluation_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects of training pasted onto their neighbours by id, some of which are evaluated; some files are in val and test."""
+    last = F.col("doc_id") % 10
+    split = F.when(last < 7, "train").when(last == 7, "val").when(last == 8, "test").otherwise("calib")
+    rows = B.document_scores(spark, sf_dir).select("category", "path", "label", "doc_id", split.alias("split"), F.when(F.col("doc_id") % 41 == 0, "pasted").alias("tag"))
+    again = rows.where("doc_id % 50 = 8").withColumn("split", F.lit("val")).withColumn("tag", F.lit(None).cast("string"))
+    files = rows.unionByName(again)
+    donors = files.where("split = 'train' and label = 1").select("category", F.col("path").alias("donor"), (F.col("doc_id") + 1).alias("doc_id"))
+    hosts = files.where("label = 0").select("category", F.col("path").alias("host"), "doc_id")
+    return leaks.evaluation_overlap(files, donors.join(hosts, ["category", "doc_id"]), ["category"])
+
+
 @query(
     "label_integrity",
     f"""WITH {DOCS}, before AS (SELECT category, sum(1 - label)::BIGINT AS normal_before, sum(label)::BIGINT AS anomaly_before FROM docs GROUP BY category)

@@ -189,3 +189,18 @@ def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "markdown")
     sinks.write_markdown(B.table(spark, sf_dir, "nation").select("n_name", "n_regionkey"), path, ["n_name"])
     return spark.read.text(path)
+
+
+@query(
+    "ordered_report",
+    """SELECT '| ' || l_suppkey || ' | ' || CAST(count(*) AS VARCHAR) || ' | ' || CAST(sum(CAST(l_quantity AS BIGINT)) AS VARCHAR) || ' |' AS value FROM lineitem GROUP BY l_suppkey
+    UNION ALL SELECT '| l_suppkey | n | quantity |' UNION ALL SELECT '|---|---|---|'""",
+)
+def ordered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report line per supplier, in files dealt by ranges of the order."""
+    path = scratch_dir(spark, "report")
+    lines = B.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity")
+    )
+    sinks.write_markdown(lines, path, ["l_suppkey"])
+    return spark.read.text(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What an archive of a run leaves out.
@@ -15,21 +15,27 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def markdown_rows(df: DataFrame) -> DataFrame:
-    """Each row as a line of a Markdown table (column ``value``); missing cells stay empty."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+def markdown_line(columns: list[str]) -> Column:
+    """A row as a line of a Markdown table; missing cells stay empty."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
 
 def write_markdown(df: DataFrame, path: str, order_by: list[str]) -> None:
-    """A small report table as Markdown lines, header first."""
-    spark = df.sparkSession
-    head = spark.createDataFrame(
-        [(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "---|" * len(df.columns))], "place long, value string"
+    """A table as Markdown lines in the order of ``order_by``, header first.
+
+    Lines are dealt to files by ranges of the order, so no task holds the whole table: the files read by name, one after
+    the other, are the report. The header sorts before every row and so opens the first file.
+    """
+    order = {f"_order_{i}": c for i, c in enumerate(order_by)}
+    body = df.select(F.lit(2).alias("_place"), *[F.col(c).alias(o) for o, c in order.items()], markdown_line(df.columns).alias("value"))
+    titles = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    blank = [F.lit(None).cast(body.schema[o].dataType).alias(o) for o in order]
+    head = df.sparkSession.range(2).select(
+        F.col("id").cast("int").alias("_place"), *blank, F.when(F.col("id") == 0, titles[0]).otherwise(titles[1]).alias("value")
     )
-    ordered = df.orderBy(*order_by)
-    body = markdown_rows(ordered).withColumn("place", F.monotonically_increasing_id() + 2)
-    head.unionByName(body).orderBy("place").select("value").coalesce(1).write.mode("overwrite").text(path)
+    lines = head.unionByName(body).orderBy("_place", *order)
+    lines.select("value").write.mode("overwrite").text(path)
 
 
 def append_json_lines(df: DataFrame, path: str, by: tuple[str, ...] = ("run", "category", "stream")) -> None:

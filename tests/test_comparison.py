@@ -181,3 +181,10 @@ def test_timing_rules(spark):
     stages = spark.createDataFrame([("s", v) for v in values], "stage string, ms double")
     got = timing.stage_quantiles(stages, ["stage"], "ms").first()
     assert got["median"] == 3.5 and got["high"] == sorted(values)[int(0.9 * 5)]
+
+
+def test_caveat_line(spark):
+    df = spark.createDataFrame([(["no_val", "severe_imbalance"],), ([],), (["odd"],)], "c array<string>")
+    got = [r[0] for r in df.select(reliability.caveat_line(F.col("c"))).collect()]
+    assert got == ["no validation split (selection would fall back to test); severe class imbalance in train", "", "odd"]
+    assert list(reliability.CAVEAT_TEXT) == reliability.CAVEATS

@@ -240,3 +240,30 @@ def test_collapse_reasons(spark):
 def test_histogram_with_equal_scores_uses_the_last_bin(spark):
     got = collapse.class_histogram(frame(spark, [0, 1, 1], [2.0, 2.0, 2.0]), ["g"]).toPandas().sort_values("bin")
     assert len(got) == 30 and got.iloc[29][["normal", "anomaly"]].tolist() == [1, 2] and got.normal.sum() == 1
+
+
+def test_metrics_of_every_split_use_the_validation_threshold(spark):
+    rng = np.random.default_rng(4)
+    data = [("a" if i % 3 else "b", ("val", "test")[i % 2] if i % 3 else "test", int(rng.random() < 0.4), float(np.round(rng.normal(), 1))) for i in range(300)]
+    df = spark.createDataFrame(data, "g string, split string, label int, score double")
+    got = {(r["g"], r["split"]): r for r in metrics.metric_set_by_split(df, ["g"]).collect()}
+    assert set(got) == {("a", "val"), ("a", "test"), ("b", "test")}
+    chosen = metrics.pick_threshold(df.where("split = 'val'"), ["g"])
+    for split in ("val", "test"):
+        want = metrics.metric_set(df.where(F.col("split") == split).where("g = 'a'"), ["g"], chosen).first()
+        assert all(got["a", split][m] == pytest.approx(want[m]) for m in ("threshold", *metrics.METRIC_NAMES))
+    alone = got["b", "test"]
+    assert alone["threshold"] is None and alone["f1"] is None and alone["auroc"] is not None and alone["loss"] > 0
+
+
+def test_every_pool_from_sql_equals_its_column_form(spark):
+    assert A.register_sql_functions(spark) == sorted(f"pool_{name}" for name in A.POOLS)
+    df = spark.createDataFrame([([0.5, -2.0, 3.0],), ([1000.0, 999.0],), ([4.0],)], "x array<double>")
+    x = F.col("x")
+    columns = {"avg": A.pool("avg", x), "max": A.pool("max", x), "avgmax": A.pool("avgmax", x), "gem": A.pool("gem", x), "lse": A.pool("lse", x), "attention": A.pool("attention", x, x)}
+    both = df.select("*", *[c.alias(n) for n, c in columns.items()], *[
+        F.expr(f"pool_{n}(x{', x' if n == 'attention' else ''})").alias(f"sql_{n}") for n in columns
+    ])
+    for row in both.collect():
+        for name in columns:
+            assert row[f"sql_{name}"] == pytest.approx(row[name])

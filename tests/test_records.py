@@ -264,3 +264,21 @@ def test_strict_checks_end_the_job(spark):
     over, known = spark.createDataFrame([("d", "c", "lrr")], "dataset string, category string, key string"), spark.createDataFrame([("lr",)], "key string")
     with pytest.raises(PySparkException, match="unknown settings of d/c: lrr"):
         settings.unknown_keys(over, known, strict=True).collect()
+
+
+def test_evaluation_overlap_catches_each_planted_fault(spark):
+    base = [("d0", 1, "train"), ("h0", 0, "train"), ("v0", 0, "val"), ("t0", 0, "test"), ("c0", 0, "calib"), (None, 0, "test"), (None, 0, "train"), ("x", 0, None)]
+    schema = "category string, path string, label int, split string, tag string"
+
+    def judged(more=(), donor="d0", host="h0", tag=None):
+        rows = [("c", p, y, s, tag if p == "t0" else None) for p, y, s in [*base, *more]]
+        synthetic = spark.createDataFrame([("c", host, donor)], "category string, host string, donor string")
+        r = leaks.evaluation_overlap(spark.createDataFrame(rows, schema), synthetic, ["category"]).first()
+        return r["shared_with_training"], r["in_val_and_test"], r["tagged_evaluation_rows"], r["example"], r["ok"]
+
+    assert judged() == (0, 0, 0, None, True)
+    assert judged(donor="t0") == (1, 0, 0, "t0", False)
+    assert judged(host="c0") == (1, 0, 0, "c0", False)
+    assert judged(more=[("d0", 1, "val")]) == (1, 0, 0, "d0", False)
+    assert judged(more=[("v0", 0, "test")]) == (0, 1, 0, "v0", False)
+    assert judged(tag="pasted") == (0, 0, 1, None, False)
