@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,20 @@ def released(*tables: DataFrame) -> None:
         df.sparkSession._jvm.System.gc()
 
 
+def shielded(
+    docs: DataFrame, operate: Callable[[DataFrame], DataFrame], adds: tuple[str, ...] = (), needed: tuple[str, ...] = ("doc_id", "text")
+) -> DataFrame:
+    """``operate`` on ``docs``, whose columns outside ``needed`` go under names that no operator uses and come back after it.
+
+    So an extra column may have any name. The result has the columns of ``docs`` in their order, then ``adds``; a column
+    of ``docs`` that is named like one of ``adds`` gives way to it.
+    """
+    given = docs.drop(*adds)
+    inside = [c if c in needed else f"kept column {i}" for i, c in enumerate(given.columns)]
+    out = operate(given.toDF(*inside))
+    return out.select(*[F.col(f"`{name}`").alias(c) for name, c in zip(inside, given.columns)], *adds)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.llm.common import LOWER, UPPER, row_key, text_or_empty
+from siftmark.llm.common import LOWER, UPPER, row_key, shielded, text_or_empty
 
 WINDOW = 13
 ANCHOR = 4
@@ -112,7 +112,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Dat
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The document rows, whole and unchanged, that are not contaminated."""
+    """The document rows, whole and unchanged, that are not contaminated; extra columns of any name stay."""
+    return shielded(docs, lambda given: _clean(given, benchmark, n))
+
+
+def _clean(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     bad = contamination(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("_text_key").alias("_key")).distinct()
     keyed = docs.withColumn("_text_key", F.xxhash64(text_or_empty()))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmark.llm.common import WordHashes, arrow_rows, checkpointed, mix, window_hashes
+from siftmark.llm.common import WordHashes, arrow_rows, checkpointed, mix, shielded, window_hashes
 from siftmark.llm.graph import components
 
 WIDTH = 5
@@ -249,15 +249,15 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     """A bit table of fixed size that holds the given ids; ids that are not in it are not among them."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
-            own[_bit(batch.column(0).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], ["bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bit(batch.column(0).to_numpy())).astype(np.int64))], ["bit"])
 
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for row in ids.coalesce(8).mapInArrow(bits, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row["bits"], np.uint8)
-    return np.unpackbits(out).astype(bool)
+    # Bits are combined into words of 64 by an aggregate, map-side first: the driver gets at most 2^FILTER_BITS / 64 rows.
+    words = ids.mapInArrow(bits, "bit long").groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    found = words.toPandas()
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return np.unpackbits(out.astype("<u8").view(np.uint8), bitorder="little").astype(bool)
 
 
 def _bit(ids: np.ndarray) -> np.ndarray:
@@ -329,7 +329,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row of its smallest id. Rows without id or shingle stay."""
+    """One document of each component: the row of its smallest id. Rows without id or shingle stay, as do extra columns of any name."""
+    return shielded(docs, _first_of_each)
+
+
+def _first_of_each(docs: DataFrame) -> DataFrame:
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
     named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text"))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm.common import text_or_empty
+from siftmark.llm.common import shielded, text_or_empty
 
 # Kinds in the order of the report.
 KINDS = ["email", "ip", "card", "phone"]
@@ -337,6 +337,10 @@ def personal_data(docs: DataFrame, labelled: DataFrame | None = None, column: st
 
 def redacted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; texts without spans, and nulls, are as before."""
+    return shielded(docs, lambda given: _redacted(given, labelled))
+
+
+def _redacted(docs: DataFrame, labelled: DataFrame | None) -> DataFrame:
     columns = docs.columns
     found = personal_data(docs, labelled)
 

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm.common import checkpointed, text_or_empty
+from siftmark.llm.common import checkpointed, shielded, text_or_empty
 from siftmark.session import scratch_dir
 
 
@@ -120,6 +120,10 @@ def secrets(docs: DataFrame, ledger_path: str | None = None, rules: list[Rule] =
 
     Without a path the ledger is a new one in the shared scratch folder.
     """
+    return shielded(docs, lambda given: _spans_of(given, ledger_path, rules), ("_base", "_spans"))
+
+
+def _spans_of(docs: DataFrame, ledger_path: str | None, rules: list[Rule]) -> DataFrame:
     spark = docs.sparkSession
     ledger = Ledger(spark, ledger_path or scratch_dir(spark, "ledger"))
     scan(docs, ledger, rules)

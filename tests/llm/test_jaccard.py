@@ -104,3 +104,10 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5), (30, None)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}
+
+
+def test_bit_table_holds_every_id(spark):
+    ids = np.random.default_rng(1).integers(-(2**62), 2**62, 5000)
+    table = jaccard._filter_of(spark.createDataFrame([(int(i),) for i in ids], "doc long").repartition(12))
+    assert len(table) == 1 << jaccard.FILTER_BITS and table[jaccard._bit(ids)].all() and table.sum() == len(np.unique(jaccard._bit(ids)))
+    assert not jaccard._filter_of(spark.createDataFrame([], "doc long")).any()

@@ -86,3 +86,32 @@ def test_each_stage_calls_its_operator():
     names = {toxicity: "toxicity.score", jaccard: "jaccard.without_duplicates", decontamination: "decontamination.decontaminate", pii: "pii.redacted"}
     source = open(corpus_pipeline.__file__, encoding="utf-8").read()
     assert all(call in source for call in names.values()) and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "packing"]
+
+
+# Names that operators use inside, and some that need quoting.
+CLASHING = [
+    "_id", "_key", "_n", "_all", "_text_key", "_blob", "_found_blob", "_score", "_before", "_base", "_spans", "_found", "_w", "_at", "_toxic",
+    "component_id", "n_shingles", "blob", "kind", "spans", "items", "n", "doc", "window", "length", "word", "kept column 3", "a.b", "kept",
+]
+
+
+def test_extra_columns_of_any_name_pass(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60 or doc_id is null")
+    wide = docs.selectExpr("*", *[f"concat('{name}', coalesce(cast(doc_id as string), '')) as `{name}`" for name in CLASHING])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, wide, sf_dir), stage(spark, docs, sf_dir)
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in rows), key=str) == rows_of(want), name
+        for r in rows:
+            assert all(r[c] == f"{c}{'' if r['doc_id'] is None else r['doc_id']}" for c in CLASHING), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, sf_dir).count() >= wide.count()
+
+
+def test_secrets_keep_extra_columns(spark, sf_dir):
+    from siftmark.llm.secrets import secrets
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 20").selectExpr("*", "doc_id as _all", "doc_id as _blob", "'mine' as _spans")
+    got = secrets(docs)
+    assert got.columns == [*docs.columns[:-1], "_base", "_spans"]
+    assert all(r["_all"] == r["_blob"] == r["doc_id"] for r in got.collect())
