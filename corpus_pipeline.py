@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from siftmark.llm import decontamination, jaccard, packing, pii, toxicity  # noqa: E402
-from siftmark.llm.common import checkpointed, table  # noqa: E402
+from siftmark.llm.common import checkpointed, shielded, table  # noqa: E402
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    labels = table(spark, sf_dir, "labels")
+    return shielded(docs, lambda given: toxicity.score(given, labels).where(F.col("_score") < toxicity.THRESHOLD).drop("_score"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hidden = pii.redacted(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
-    return hidden.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_before")
+    def counted(given: DataFrame) -> DataFrame:
+        hidden = pii.redacted(given.withColumn("_before", F.col("text")))
+        changed = ~F.col("text").eqNullSafe(F.col("_before"))
+        return hidden.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_before")
+
+    return shielded(docs, counted, needed=("doc_id", "text", "n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
