@@ -2,7 +2,8 @@
 
 Equal vectors are one node, whose smallest ids are kept as the answer needs no more. Nodes are dealt to shards of about
 ``shard_size`` by hash; a task builds a shard's graph and stores it as flat arrays: vectors, ids, and for each layer the neighbour
-lists in rows of fixed width. Queries travel in blocks to every shard, and the best of all shards are merged by distance.
+lists in rows of fixed width. Queries travel in blocks to every shard, whose graph is sent once, ahead of them; the best of all shards are
+merged by distance. The driver gets counts only, and plans whose size does not depend on the number of shards.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part;
 rows without id take no part; of rows that share an id every distinct vector is a candidate of that id, and the nearest counts;
@@ -166,21 +167,28 @@ def _graph_of(row: dict) -> tuple[Graph, np.ndarray]:
 
 
 def _search(k: int, beam: int):
+    """Answers from rows in order of their shard: its graph, then blocks of queries. A shard without a graph has none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, graph, exact = None, None, None
+        held, graph, exact, ids = None, None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
+                if row["queries"] is None:
+                    held, (graph, exact), ids = row["shard"], _graph_of(row), row["ids"]
+                    continue
                 if row["shard"] != held:
-                    held, (graph, exact) = row["shard"], _graph_of(row)
+                    continue
                 out = []
                 for q in row["queries"]:
+                    if len(q["vector"]) != exact.shape[1]:
+                        continue
                     query = np.array(q["vector"], np.float64)
                     best = []
                     nodes = graph.search(query, max(beam, k + 1))
                     far = np.sqrt(((exact[nodes] - query) ** 2).sum(axis=1))
                     for node, d in zip(nodes, far.tolist()):
-                        best += [(d, i) for i in row["ids"][node] if i != q["id"]]
+                        best += [(d, i) for i in ids[node] if i != q["id"]]
                     out += [(q["id"], q["n"], i, d) for d, i in heapq.nsmallest(k, best)]
                 columns = list(zip(*out)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["query_id", "query_row", "vec_id", "score"])
@@ -194,13 +202,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str
     A query that has several rows with different vectors is answered by the smallest distance over them.
     """
     shards = checkpointed(index(usable(vectors, id_column, vector_column), k + 1, shard_size), "shards")
-    shapes = shards.select("shard", "dim").collect()  # one small row per shard
-    asked = usable(queries, id_column, vector_column).where(F.size("vector").isin([r["dim"] for r in shapes][:1])).distinct()
+    asked = usable(queries, id_column, vector_column).distinct()
     block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked.count() // QUERY_BLOCK))))
     blocks = asked.withColumn("n", F.xxhash64("vector")).groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "n", "vector")).alias("queries"))
     # the stated queries, in blocks, against every shard
-    asked_shards = blocks.withColumn("shard", F.explode(F.array(*[F.lit(n) for n in sorted(r["shard"] for r in shapes)]).cast("array<int>")))
-    met = asked_shards.join(shards, "shard").repartition("shard", "block").mapInArrow(_search(k, beam), "query_id long, query_row long, vec_id long, score double")
+    last = shards.agg(F.max("shard").alias("last"))
+    asked_shards = blocks.crossJoin(F.broadcast(last)).select("queries", F.explode(F.sequence(F.lit(0), "last")).alias("shard"))
+    both = shards.unionByName(asked_shards, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", F.col("queries").isNotNull())
+    met = both.mapInArrow(_search(k, beam), "query_id long, query_row long, vec_id long, score double")
     best = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

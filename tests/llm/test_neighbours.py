@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -64,3 +66,34 @@ def test_graph_layers_are_flat(cloud):
     graph = neighbours.Graph.build(np.array([v for _, v in cloud[:200]]))
     assert all(layer.dtype == np.int32 and layer.ndim == 2 for layer in graph.layers)
     assert (graph.layers[0] >= 0).any(axis=1).all()
+
+
+def test_the_plan_does_not_grow_with_the_shards(spark, cloud):
+    vectors = table(spark, cloud)
+    found = [neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), shard_size=n) for n in (400, 20)]
+    plans = [re.sub(r"#\d+L?|\d+|[0-9a-f]{32}", "", d._jdf.queryExecution().optimizedPlan().toString()) for d in found]
+    assert plans[0] == plans[1]
+    few, many = ({(r["query_id"], r["rank"]): r["score"] for r in d.collect()} for d in found)
+    assert set(few) == set(many) and sum(abs(few[r] - many[r]) < 1e-12 for r in few) >= 0.95 * len(few)
+
+
+def test_each_graph_is_sent_once(spark, cloud, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 5)
+    vectors = table(spark, cloud)
+    whole = neighbours._search
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(k, beam):
+        def run(batches):
+            def passed():
+                for batch in batches:
+                    seen.add(batch.num_rows - batch.column("vectors").null_count)
+                    yield batch
+
+            yield from whole(k, beam)(passed())
+
+        return run
+
+    monkeypatch.setattr(neighbours, "_search", counted)
+    rows = neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), shard_size=100).collect()
+    assert len(rows) == 450 and 5 <= seen.value <= 9  # 681 distinct vectors in 7 shards, 45 queries in 9 blocks
